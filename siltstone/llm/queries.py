@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, decontaminate, language_id, media, mixing, warc_store
+from siltstone.llm import chat_format, decontaminate, language_id, licenses, media, mixing, toxicity, warc_store
 from siltstone.llm.shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_columns(chat_format.format_conversations(turns.unionByName(more)))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), least_coverage=0.8)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +38,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc_store.write_archive(table(spark, sf_dir, "pages"), least_bytes=100)
     back = warc_store.read_archive(spark, archive)
@@ -73,8 +83,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
+    "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op6_toxicity": op6_toxicity,
     "op8_warc": op8_warc,
     "op9_media": op9_media,
     "op10_decontaminate": op10_decontaminate,

@@ -2,7 +2,9 @@
 
 Grades 0..G share one weight vector over sparse text features and differ by
 ordered thresholds: ``P(grade > j) = sigmoid(w x - theta_j)``. The result is
-the expected grade, ``sum_j P(grade > j)``, with the most likely grade.
+the expected grade, ``sum_j P(grade > j)``, with the most likely grade; the
+cut from which a text counts as toxic is the one with the best F1 on the
+fitted rows.
 
 Features are the distinct words of a text and the words' prefixes of
 ``prefixes`` letters (inflected or compounded words share them), hashed to
@@ -71,6 +73,7 @@ class Ordinal:
     keep: dict[int, int]
     prefixes: tuple[int, ...]
     bits: int
+    cut: float
 
     def above(self, columns: list[int]) -> np.ndarray:
         """P(grade > j) for each j."""
@@ -81,7 +84,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3):
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 1200, rate: float = 0.05, ridge: float = 2e-5):
     """Weights and increasing thresholds by full-batch Adam on the cumulative-link likelihood."""
     top = int(grade.max())
     w = np.zeros(x.shape[1])
@@ -135,6 +138,18 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, bits: int, grades
     return out
 
 
+def best_cut(p: np.ndarray, bad: np.ndarray) -> float:
+    """The probability from which calling a text toxic gives the best F1 on the fitted rows."""
+    order = np.argsort(-p, kind="stable")
+    right = np.cumsum(bad[order])
+    f1 = 2 * right / (np.arange(1, len(p) + 1) + bad.sum())
+    # only places where the probability changes can be a cut; between two it lies in the middle
+    ends = np.flatnonzero(np.append(p[order][1:] < p[order][:-1], True))
+    best = ends[np.argmax(f1[ends])]
+    after = p[order][best + 1] if best + 1 < len(p) else 0.0
+    return float((p[order][best] + after) / 2)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -180,11 +195,12 @@ def fit(
     for i, s in enumerate(sets):
         x[i, [keep[p] for p in s.tolist() if p in keep]] = 1
     weights, thresholds = fit_ordinal(x, grade)
-    return Ordinal(weights, thresholds, keep, prefixes, bits)
+    cut = best_cut(_sigmoid(x @ weights - thresholds[0]), grade > 0)
+    return Ordinal(weights, thresholds, keep, prefixes, bits, cut)
 
 
 def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
-    """doc_id, expected_severity, severity (most likely grade), p_toxic (grade above 0), toxic (p_toxic at least a half)."""
+    """doc_id, expected_severity, severity (most likely grade), p_toxic (grade above 0), toxic (p_toxic from the fitted cut on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +215,7 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
                     pa.array([float(a.sum()) for a in above], pa.float64()),
                     pa.array(grades, pa.int32()),
                     pa.array([float(a[0]) for a in above], pa.float64()),
-                    pa.array([bool(a[0] >= 0.5) for a in above], pa.bool_()),
+                    pa.array([bool(m and a[0] >= m.cut) for a in above], pa.bool_()),
                 ],
                 ["doc_id", "expected_severity", "severity", "p_toxic", "toxic"],
             )

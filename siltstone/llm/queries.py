@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, decontaminate, language_id, licenses, media, mixing, toxicity, warc_store
+from siltstone.llm import chat_format, decontaminate, jaccard_join, language_id, licenses, media, mixing, toxicity, warc_store
 from siltstone.llm.shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc_store.write_archive(table(spark, sf_dir, "pages"), least_bytes=100)
     back = warc_store.read_archive(spark, archive)
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_warc": op8_warc,
     "op9_media": op9_media,
     "op10_decontaminate": op10_decontaminate,
@@ -106,6 +111,28 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<|im_start|>') + length(role) + 1 + length(escaped) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 2) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 90 * (a.n + b.n - shared)
+), l AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), r AS (
+  SELECT doc_id AS node, doc_id AS label FROM documents
+  UNION
+  SELECT l.y, r.label FROM r JOIN l ON l.x = r.node WHERE r.label < l.y
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.label) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.node = w.doc_id GROUP BY ALL
 """,
     "op8_warc": r"""
 WITH p AS (

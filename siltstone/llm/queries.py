@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, decontaminate, jaccard_join, language_id, licenses, media, mixing, toxicity, warc_store
+from siltstone.llm import chat_format, decontaminate, jaccard_join, language_id, licenses, media, mixing, suffix_dedup, toxicity, warc_store
 from siltstone.llm.shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.report(suffix_dedup.with_spans(docs, length=100))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_warc": op8_warc,
@@ -111,6 +117,29 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<|im_start|>') + length(role) + 1 + length(escaped) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op5_suffix_dedup": r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k
+  FROM (SELECT doc_id, p, b[p : p + 99] AS s FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS p FROM d WHERE n >= 100))
+), m AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS begins FROM w WHERE k > 1
+), g AS (
+  SELECT doc_id, p, sum(begins) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM m
+), s AS (
+  SELECT doc_id, g, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY doc_id, g
+), k AS (
+  SELECT d.doc_id, coalesce(lag(s.z) OVER (PARTITION BY s.doc_id ORDER BY s.a), 1) AS a, s.a AS z, d.b FROM s JOIN d ON s.doc_id = d.doc_id
+  UNION ALL
+  SELECT d.doc_id, coalesce(t.z, 1), d.n + 1, d.b FROM d LEFT JOIN (SELECT doc_id, max(z) AS z FROM s GROUP BY doc_id) t ON t.doc_id = d.doc_id
+), h AS (
+  SELECT doc_id, string_agg(CASE WHEN z > a THEN hex(b[a : z - 1]) ELSE '' END, '' ORDER BY a, z) AS x FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(t.r, 0) AS BIGINT) AS n_removed, coalesce(t.c, 0) AS n_spans, sha256(unhex(h.x)) AS kept_sha256
+FROM d JOIN h ON h.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, sum(z - a) AS r, count(*) AS c FROM s GROUP BY doc_id) t ON t.doc_id = d.doc_id
 """,
     "op7_jaccard_join": r"""
 WITH RECURSIVE w AS (

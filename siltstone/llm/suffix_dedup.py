@@ -231,7 +231,7 @@ def _carried(length: int, buckets: int, most: int = 150_000):
         for b in batches:
             columns = (b[c].to_pylist() for c in ("doc_id", "mark", "text", "found"))
             for doc, mark, text, found in zip(*columns, strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+                raw = (text or "").encode("utf-8", "surrogatepass")
                 for one in found:
                     packed = np.frombuffer(one["packed"], ENTRY).tolist()
                     above = one["part"] << 32
@@ -363,22 +363,26 @@ def with_spans(docs: DataFrame, length: int = 100, hot: int = 20_000, part_bytes
     shape = Shape(length)
     if not 4 <= length <= 250:
         raise ValueError("length must be from 4 to 250 bytes")
-    marked = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("mark", F.xxhash64(text_or_empty("text")))
-    texts = marked.select("doc_id", "mark", text_or_empty("text").alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    marked = docs.withColumn("mark", F.xxhash64(text_or_empty("text")))
+    known = marked.where(F.col("doc_id").isNotNull())
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(total, part_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2 or 1)
     buckets = 4 * parts
     repeated = (
-        texts.mapInArrow(_dealt(shape, parts), DEALT)
+        known.select("doc_id", "mark", text_or_empty("text").alias("text"))
+        .mapInArrow(_dealt(shape, parts), DEALT)
         .repartition(parts, "part")
         .groupBy("part")
         .applyInArrow(_repeated(hot), REPEATED)
         .groupBy("doc_id", "mark")
         .agg(F.collect_list(F.struct("part", "packed", "hot")).alias("found"))  # no more than a document has
     )
+    # Both joins take the same rows and columns of ``known``, so that one exchange of the texts serves them.
     spans = (
-        texts.join(repeated, ["doc_id", "mark"])
-        .select("doc_id", "mark", "text", "found")
+        known.join(repeated, ["doc_id", "mark"])
+        .select(*known.columns, "found")
         .mapInArrow(_carried(length, buckets), CARRIED_ROWS)
         .repartition(buckets, "bucket")
         .groupBy("bucket")
@@ -386,7 +390,9 @@ def with_spans(docs: DataFrame, length: int = 100, hot: int = 20_000, part_bytes
         .groupBy("doc_id", "mark")
         .agg(F.collect_list("spans").alias("spans"))
     )
-    return marked.join(spans, ["doc_id", "mark"], "left").select(*docs.columns, "spans")
+    found = known.join(spans, ["doc_id", "mark"], "left").select(*docs.columns, "spans")
+    nameless = marked.where(F.col("doc_id").isNull()).select(*docs.columns, F.lit(None).cast("array<binary>").alias("spans"))
+    return found.unionByName(nameless)
 
 
 def spans_of(packed: list[bytes] | None) -> list[Span]:

@@ -83,6 +83,9 @@ class Shape:
 #: first window, how many follow it in the entry, the core's distance from the first window, hash
 ENTRY = np.dtype([("start", "<u4"), ("more", "u1"), ("core", "u1"), ("hash", "<u4")])
 
+#: An entry whose hash occurs again: one row each, so that their number follows the input's size alone.
+FOUND = np.dtype([("start", "<u4"), ("more", "u1"), ("core", "u1"), ("key", "<u8"), ("hot", "u1")])
+
 
 def entries(flat: np.ndarray, starts: np.ndarray, shape: Shape, piece: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, first window (in the row), windows that follow, distance of the core, and the core's hash, for a batch's bytes."""
@@ -139,7 +142,7 @@ def _dealt(shape: Shape, parts: int):
 
 
 DEALT = "part long, docs binary, marks binary, counts binary, packed binary"
-REPEATED = "doc_id long, mark long, part long, packed binary, hot binary"
+REPEATED = "doc_id long, mark long, entry binary"
 
 
 def _repeated(hot: int):
@@ -151,18 +154,19 @@ def _repeated(hot: int):
         who = np.repeat(np.arange(len(counts)), counts)
         _, back, times = np.unique(packed["hash"], return_inverse=True, return_counts=True)
         times = times[back]
-        keep = times > 1
-        packed, who, is_hot = packed[keep], who[keep], (times[keep] > hot).astype(np.uint8)
-        docs, marks = join("docs", np.int64), join("marks", np.int64)
-        cuts = np.flatnonzero(np.diff(who, prepend=-1))
-        ends = [*cuts[1:], len(who)]
+        keep = np.flatnonzero(times > 1)
+        out = np.zeros(len(keep), FOUND)
+        for name in ("start", "more", "core"):
+            out[name] = packed[name][keep]
+        part = t["part"][0].as_py() if t.num_rows else 0
+        out["key"] = packed["hash"][keep].astype(np.uint64) | _U(part << 32)
+        out["hot"] = times[keep] > hot
+        who, raw, n = who[keep], out.tobytes(), FOUND.itemsize
         return pa.table(
             {
-                "doc_id": pa.array(docs[who[cuts]], pa.int64()),
-                "mark": pa.array(marks[who[cuts]], pa.int64()),
-                "part": pa.array(np.full(len(cuts), t["part"][0].as_py() if t.num_rows else 0), pa.int64()),
-                "packed": pa.array([packed[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
-                "hot": pa.array([is_hot[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
+                "doc_id": pa.array(join("docs", np.int64)[who]),
+                "mark": pa.array(join("marks", np.int64)[who]),
+                "entry": pa.Array.from_buffers(pa.binary(n), len(keep), [None, pa.py_buffer(raw)]).cast(pa.binary()),
             }
         )
 
@@ -232,16 +236,13 @@ def _carried(length: int, buckets: int, most: int = 150_000):
             columns = (b[c].to_pylist() for c in ("doc_id", "mark", "text", "found"))
             for doc, mark, text, found in zip(*columns, strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                for one in found:
-                    packed = np.frombuffer(one["packed"], ENTRY).tolist()
-                    above = one["part"] << 32
-                    for (start, more, core, low), is_hot in zip(packed, one["hot"], strict=True):
-                        if not is_hot:
-                            settle(above | low, core, raw[start : start + more + length], doc, mark, start)
-                            continue
-                        for at in range(start, start + more + 1):
-                            window = raw[at : at + length]
-                            settle(xxhash.xxh3_64_intdigest(window), 0, window, doc, mark, at)
+                for start, more, core, key, is_hot in np.frombuffer(b"".join(found), FOUND).tolist():
+                    if not is_hot:
+                        settle(key, core, raw[start : start + more + length], doc, mark, start)
+                        continue
+                    for at in range(start, start + more + 1):
+                        window = raw[at : at + length]
+                        settle(xxhash.xxh3_64_intdigest(window), 0, window, doc, mark, at)
                 if len(best) > most:
                     yield from flush()
         if best or gone:
@@ -377,7 +378,7 @@ def with_spans(docs: DataFrame, length: int = 100, hot: int = 20_000, part_bytes
         .groupBy("part")
         .applyInArrow(_repeated(hot), REPEATED)
         .groupBy("doc_id", "mark")
-        .agg(F.collect_list(F.struct("part", "packed", "hot")).alias("found"))  # no more than a document has
+        .agg(F.collect_list("entry").alias("found"))  # no more than a document has
     )
     # Both joins take the same rows and columns of ``known``, so that one exchange of the texts serves them.
     spans = (

@@ -30,7 +30,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Imports all sets of queries."""
     from siltstone.plans.sets import (  # noqa: F401
+        checks,
+        devices,
+        history,
         layout,
+        logs,
         storage,
     )
 

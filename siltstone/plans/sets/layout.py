@@ -75,11 +75,15 @@ def sorted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extents.out_of_order(rows, "user_id", "ordinal", "event_type").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, lag(l_partkey + 500) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS before FROM lineitem) WHERE before > l_partkey")
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, lag(l_partkey + 500) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem) WHERE before > l_partkey")
 def overlapping_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as extents at their part, 500 long; those that begin before the last one ends."""
     rows = T.read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("logical_offset"), F.lit(500).alias("len")
+        "l_orderkey",
+        "l_linenumber",
+        F.struct("l_linenumber", "l_partkey").alias("ordinal"),
+        F.col("l_partkey").alias("logical_offset"),
+        F.lit(500).alias("len"),
     )
     return extents.overlaps(rows, "l_orderkey").select("l_orderkey", "l_linenumber")
 

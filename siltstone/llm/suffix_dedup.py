@@ -252,7 +252,7 @@ def _carried(length: int, buckets: int, most: int = 150_000):
 
 
 CARRIED_ROWS = "bucket long, carried binary, content binary, removed binary"
-SPANS = "doc_id long, mark long, spans binary"
+SPANS = "doc_id long, mark long, span binary"
 
 
 def later_windows(rows: list[tuple[int, int, int, int, int, bytes]], shape: Shape) -> dict[tuple[int, int], list[Span]]:
@@ -346,20 +346,17 @@ def _compared(shape: Shape):
                     at += more + shape.length
         for key, spans in later_windows(rows, shape).items():
             gone[key] += spans
-        keys = list(gone)
-        return pa.table(
-            {
-                "doc_id": pa.array([k[0] for k in keys], pa.int64()),
-                "mark": pa.array([k[1] for k in keys], pa.int64()),
-                "spans": pa.array([np.array(merged(gone[k]), "<u4").tobytes() for k in keys], pa.binary()),
-            }
-        )
+        # one row a span, so that their number follows the input's size alone
+        spans = np.array([(*key, a, b) for key, own in gone.items() for a, b in merged(own)], REMOVED)
+        pairs = np.ascontiguousarray(np.stack([spans["start"], spans["stop"]], axis=1).astype("<u4"))
+        packed = pa.Array.from_buffers(pa.binary(8), len(spans), [None, pa.py_buffer(pairs.tobytes())])
+        return pa.table({"doc_id": spans["doc"], "mark": spans["mark"], "span": packed.cast(pa.binary())})
 
     return run
 
 
 def with_spans(docs: DataFrame, length: int = 100, hot: int = 20_000, part_bytes: int = 48 << 20) -> DataFrame:
-    """``docs`` with the column ``spans``: pairs of 32-bit offsets (start, stop) to remove, packed pieces of a document in an array."""
+    """``docs`` with the column ``spans``: an array of packed 32-bit offsets (start, stop) to remove; those of a document may touch or overlap."""
     spark = docs.sparkSession
     shape = Shape(length)
     if not 4 <= length <= 250:
@@ -389,7 +386,7 @@ def with_spans(docs: DataFrame, length: int = 100, hot: int = 20_000, part_bytes
         .groupBy("bucket")
         .applyInArrow(_compared(shape), SPANS)
         .groupBy("doc_id", "mark")
-        .agg(F.collect_list("spans").alias("spans"))
+        .agg(F.collect_list("span").alias("spans"))
     )
     found = known.join(spans, ["doc_id", "mark"], "left").select(*docs.columns, "spans")
     nameless = marked.where(F.col("doc_id").isNull()).select(*docs.columns, F.lit(None).cast("array<binary>").alias("spans"))

@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AUTOMATON_BYTES = 16 << 20
@@ -134,7 +134,20 @@ def scan_documents(
     # Several portions: every document was scanned once for each; rows that repeat a doc_id merge.
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     found = reduce(DataFrame.unionByName, scans)
-    return found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *map(merged, ("hit", "items", "spans")))
+    met = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *map(merged, ("hit", "items", "spans")))
+    none = F.lit(None).cast("array<struct<start:int,stop:int>>")
+    return met.withColumn("spans", F.coalesce(F.aggregate("spans", none, _with_span), F.array().cast("array<struct<start:int,stop:int>>")))
+
+
+def _with_span(spans: Column, span: Column) -> Column:
+    """Spans in order, one more behind them; it grows the last one where they overlap."""
+    last = F.element_at(spans, -1)
+    grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))
+    return (
+        F.when(spans.isNull(), F.array(span))
+        .when(span["start"] <= last["stop"], F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(grown)))
+        .otherwise(F.array_append(spans, span))
+    )
 
 
 def _portions_of(benchmark: DataFrame, window: int, most: int) -> Iterator[dict[str, tuple[int, set[str]]]]:

@@ -19,22 +19,30 @@ trie of globally ordered elements (edges are runs), the hub's set is carried
 down once for all that share a prefix, and a subtree is left as soon as its
 overlap so far plus the most that the remaining lengths allow is too small.
 
-Within a group the first pass checks all members against the smallest one,
-which settles groups of true copies in linear work. Members still in
-different components are then checked against each other: all of them in
-groups of up to ``small_group``, and ``hubs_a_round`` at a time, round after
-round, in larger ones. Pairs inside one component are never checked, and no
-link between different texts is lost.
+What meets is not yet paired. Elements that no other set that meets has are
+counted (``alone``): a set with too many of them links with nothing and goes.
+Within a group all members are joined with one hub, the set with the fewest
+elements alone, which settles a group of true copies in linear work. Members
+that did not link are paired with others only where the distances d to the
+hub leave it possible: elements alone count on both ways, so
+
+    d(x, y) >= d(y, hub) + 2 alone(x) - d(x, hub)
+
+and for copies with edits of their own this excludes all that the hub missed.
+What is left is joined by tree as well, so no link between different texts is
+lost and no pair inside a component is checked again.
 
 Scale: equal sets are one class, found by a digest that is summed up in the
-map tasks; signatures travel packed (about 8 bytes each); a hub with many
-partners is salted, so no task holds more than some ``hub_share`` partners of
-it; texts, not sets, are shuffled, once by doc_id for those that meet others.
+map tasks; signatures and elements travel packed (6 bytes each and the ids);
+a hub with many partners is salted, so no task holds more than some
+``hub_share`` partners of it; texts, not sets, are shuffled, once by doc_id,
+and those that meet others are written for the later steps.
 
 Defined results: rows with a null doc_id link with nothing and have a null
-component; repeated doc_ids are one node; ties don't matter as components are
-named by the smallest id; empty tables give an empty result; extra columns
-are ignored.
+component; of rows that repeat a doc_id with other texts the one with the
+largest set (then the greatest digest) links for all of them; ties don't
+matter as components are named by the smallest id; empty tables give an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +55,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
@@ -253,7 +261,7 @@ def _signed(n: int, percent: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = Classes(percent), set()
         for b in batches:
-            ids, counts, said = [], [], []
+            ids, said = [], []
             for doc_id, s in zip(b["doc_id"].to_pylist(), shingle_sets(b["text"], n), strict=True):
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 # equal sets are one class: the first that a task meets speaks for the others it holds
@@ -263,45 +271,21 @@ def _signed(n: int, percent: int, parts: int):
                 k = classes.of(len(s))
                 own = np.concatenate([signatures(s, classes.level(k)), signatures(s, classes.level(k + 1))])
                 ids.append(doc_id)
-                counts.append(len(own))
                 said.append(own)
             if not ids:
                 continue
-            all_said = np.concatenate(said)
-            who = np.repeat(np.arange(len(ids)), counts)
-            part = ((all_said >> _U(48)) * _U(parts) >> _U(16)).astype(np.int64) if parts <= 1 << 16 else (all_said % _U(parts)).astype(np.int64)
-            order = np.lexsort((who, part))
-            part, who, all_said = part[order], who[order], all_said[order]
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            ids_of = np.array(ids, np.int64)
-            rows = {"part": [], "ids": [], "counts": [], "low": [], "high": []}
-            for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True):
-                there, count = np.unique(who[i:j], return_counts=True)
-                rows["part"].append(int(part[i]))
-                rows["ids"].append(ids_of[there].tobytes())
-                rows["counts"].append(count.astype(np.uint16).tobytes())
-                rows["low"].append((all_said[i:j] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes())
-                rows["high"].append((all_said[i:j] >> _U(32) & _U(0xFFFF)).astype(np.uint16).tobytes())
-            kinds = {"part": pa.int64()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()})
+            yield _packed_rows(ids, said, parts)
 
     return run
 
 
 SIGNED = "part long, ids binary, counts binary, low binary, high binary"
-MET = "gid long, hub long, member long, many boolean"
+MET = "gid long, member long"
 
 
 def _meeting(t: pa.Table) -> pa.Table:
-    """The groups of equal signatures of one part, each set of members once: (gid, hub, member, three or more)."""
-    join = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
-    who = np.repeat(join("ids", np.int64), join("counts", np.uint16))
-    said = join("high", np.uint16).astype(np.uint64) << _U(32) | join("low", np.uint32)
-    order = np.lexsort((who, said))
-    said, who = said[order], who[order]
-    fresh = np.ones(len(said), bool)
-    fresh[1:] = (said[1:] != said[:-1]) | (who[1:] != who[:-1])
-    said, who = said[fresh], who[fresh]
+    """The groups of equal signatures of one part: (gid, member), each set of members once."""
+    said, who = _unpacked(t)
     begin = np.flatnonzero(np.diff(said, prepend=said[0] ^ _U(1)) != 0) if len(said) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(said)))
     # a number for each set of members: order doesn't matter, so sums of mixed ids do
@@ -312,17 +296,74 @@ def _meeting(t: pa.Table) -> pa.Table:
     begin, size, gid = begin[once], size[once], gid[once]
     group = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size) + begin[group]
-    return pa.table(
-        {
-            "gid": pa.array(gid[group].view(np.int64)),
-            "hub": pa.array(who[begin[group]]),
-            "member": pa.array(who[place]),
-            "many": pa.array(size[group] > 2),
-        }
-    )
+    return pa.table({"gid": pa.array(gid[group].view(np.int64)), "member": pa.array(who[place])})
+
+
+def _kept_texts(n: int):
+    """The rows (member, key, text) whose set has the digest ``key``: of a repeated doc_id the one that links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = zip(shingle_sets(b["text"], n), b["key"].to_pylist(), strict=True)
+            same = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key for s, key in sets], pa.bool_())
+            yield b.select(["member", "text"]).filter(same)
+
+    return run
+
 
+def _packed_rows(ids: list[int], values: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """64-bit values dealt to parts by their upper bits; a row has ids, how many values each has, and the lower 48 bits."""
+    counts = [len(v) for v in values]
+    every = np.concatenate(values) if values else np.zeros(0, np.uint64)
+    who = np.repeat(np.arange(len(ids)), counts)
+    part = (((every >> _U(48)) * _U(parts)) >> _U(16)).astype(np.int64) if parts <= 1 << 16 else (every % _U(parts)).astype(np.int64)
+    order = np.lexsort((who, part))
+    part, who, every = part[order], who[order], every[order]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    ids_of = np.array(ids, np.int64)
+    rows: dict[str, list] = {"part": [], "ids": [], "counts": [], "low": [], "high": []}
+    for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True):
+        there, count = np.unique(who[i:j], return_counts=True)
+        rows["part"].append(int(part[i]))
+        rows["ids"].append(ids_of[there].tobytes())
+        rows["counts"].append(count.astype(np.uint32).tobytes())
+        rows["low"].append((every[i:j] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes())
+        rows["high"].append(((every[i:j] >> _U(32)) & _U(0xFFFF)).astype(np.uint16).tobytes())
+    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "part" else pa.binary()) for k, v in rows.items()})
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Values (of one part) in order and their ids, each pair once."""
+    join = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
+    who = np.repeat(join("ids", np.int64), join("counts", np.uint32))
+    value = (join("high", np.uint16).astype(np.uint64) << _U(32)) | join("low", np.uint32)
+    order = np.lexsort((who, value))
+    value, who = value[order], who[order]
+    fresh = np.ones(len(value), bool)
+    fresh[1:] = (value[1:] != value[:-1]) | (who[1:] != who[:-1])
+    return value[fresh], who[fresh]
 
-LINKS = "a long, b long, overlap long"
+
+def _elements(n: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _packed_rows(b["member"].to_pylist(), list(shingle_sets(b["text"], n)), parts)
+
+    return run
+
+
+def _shared_elements(t: pa.Table) -> pa.Table:
+    """How many of a member's elements in this part other members have too."""
+    value, who = _unpacked(t)
+    same = value[1:] == value[:-1]
+    shared = np.zeros(len(value), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    member, count = np.unique(who[shared], return_counts=True)
+    return pa.table({"member": pa.array(member), "shared": pa.array(count.astype(np.int64))})
+
+
+CHECKED = "hub long, member long, overlap long, linked boolean"
 
 
 def _joined(n: int, percent: int):
@@ -341,102 +382,126 @@ def _joined(n: int, percent: int):
             if not others:
                 continue
             trie = Trie([sets[k] for k in others])
-            for h in own:
-                found += [(int(hub[i]), int(member[i + others[k]]), o) for k, o in trie.probe(sets[h], percent)]
-        return pa.table({c: pa.array([f[x] for f in found], pa.int64()) for x, c in enumerate(("a", "b", "overlap"))})
+            for h in own[:1]:
+                linked = {others[k] for k, _ in trie.probe(sets[h], percent)}
+                for k in others:
+                    overlap = len(np.intersect1d(sets[h], sets[k], assume_unique=True))
+                    found.append((int(hub[i]), int(member[i + k]), overlap, k in linked))
+        kinds = (("hub", pa.int64()), ("member", pa.int64()), ("overlap", pa.int64()), ("linked", pa.bool_()))
+        return pa.table({c: pa.array([f[x] for f in found], kind) for x, (c, kind) in enumerate(kinds)})
 
     return run
 
 
-def checked(pairs: DataFrame, docs: DataFrame, n: int, percent: int, hub_share: int) -> DataFrame:
-    """The pairs (hub, member) whose texts link, by tree join: (a, b, overlap)."""
-    spark = docs.sparkSession
+def checked(pairs: DataFrame, texts: DataFrame, n: int, percent: int, hub_share: int) -> DataFrame:
+    """The pairs (hub, member) with the overlap of their sets and whether they link, by tree join."""
+    spark = texts.sparkSession
     share = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / hub_share).alias("shares"))
     salted = written(
         pairs.join(share, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("shares")).alias("salt"), "member"), "join-pairs"
     )
-    total = salted.count()
+    buckets = max(parts_for(salted.count(), 2000), int(spark.conf.get("spark.sql.shuffle.partitions")))
     need = salted.unionByName(salted.select("hub", "salt", F.col("hub").alias("member")).distinct())
-    buckets = max(parts_for(total, 2000), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col("doc_id").alias("member"), "text")
     met = need.join(texts, "member").select("hub", "salt", "member", "text")
-    met = met.withColumn("bucket", F.pmod(F.xxhash64("hub", "salt"), F.lit(buckets)))
-    return met.groupBy("bucket").applyInArrow(lambda t: _joined(n, percent)(t.select(["hub", "salt", "member", "text"])), LINKS)
-
-
-def similar(
-    docs: DataFrame,
-    n: int = 5,
-    percent: int = 80,
-    hub_share: int = 512,
-    small_group: int = 256,
-    hubs_a_round: int = 64,
-    part_signatures: int = 3_000_000,
-) -> DataFrame:
+    bucketed = met.withColumn("bucket", F.pmod(F.xxhash64("hub", "salt"), F.lit(buckets)))
+    return bucketed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_joined(n, percent), CHECKED)
+
+
+def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512, part_values: int = 6_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     facts = written(docs.mapInArrow(_described(n), "doc_id long, n_shingles long, key binary"), "join-facts")
-    # one representative a class of equal sets
-    first = facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    said = facts.agg(F.sum(F.col("n_shingles") * (2 * (100 - percent)) / (100 + percent) * 2.6 + 3)).first()[0] or 0
-    signed = docs.mapInArrow(_signed(n, percent, parts := parts_for(said, part_signatures)), SIGNED)
-    met = written(signed.repartition(parts, "part").groupBy("part").applyInArrow(_meeting, MET), "join-met")
-    named = written(
-        facts.where("n_shingles > 0 AND doc_id IS NOT NULL").join(first, "key").select("doc_id", "rep").distinct(), "join-names"
-    )
-    as_rep = lambda df, c: df.join(named.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep")), c)
-    pairs = as_rep(as_rep(met.where("hub <> member").select("hub", "member").distinct(), "hub"), "member").select(
-        F.least("hub_rep", "member_rep").alias("hub"), F.greatest("hub_rep", "member_rep").alias("member")
+    # one set for a doc_id, one representative for a class of equal sets
+    of_doc = facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "key")).alias("t"))
+    own = of_doc.select("doc_id", F.col("t.n_shingles").alias("n"), "t.key")
+    first = own.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    named = written(own.join(first, "key").select("doc_id", "n", "key", "rep"), "join-names")
+
+    elements = facts.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = parts_for(elements * (100 - percent) / (100 + percent) * 5, part_values, 24)
+    signed = docs.mapInArrow(_signed(n, percent, parts), SIGNED)
+    met = signed.repartition(parts, "part").groupBy("part").applyInArrow(_meeting, MET)
+    to_rep = named.select(F.col("doc_id").alias("member"), "rep")
+    groups = written(met.join(to_rep, "member").select("gid", F.col("rep").alias("member")).distinct(), "join-groups")
+
+    classes = named.where("doc_id = rep").select(F.col("doc_id").alias("member"), "n", "key")
+    several = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("gid")
+    meeting = classes.join(groups.join(several, "gid").select("member").distinct(), "member", "left_semi")
+    texts = written(
+        docs.withColumnRenamed("doc_id", "member").join(meeting.select("member", "key"), "member").mapInArrow(_kept_texts(n), "member long, text string"),
+        "join-texts",
     )
-    links = written(checked(pairs.where("hub <> member").distinct(), docs, n, percent, hub_share), "join-links")
-    groups = written(as_rep(met.where("many").select("gid", "member").distinct(), "member").select("gid", F.col("member_rep").alias("member")).distinct(), "join-groups")
-    # a doc_id that comes with several texts ties their classes together
-    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id")
-    ties = named.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    while True:
-        labels = components(links.select("a", "b").unionByName(ties))
-        pairs, groups = _unsettled(groups, labels, small_group, hubs_a_round)
-        if pairs is None:
-            break
-        links = written(links.unionByName(checked(pairs, docs, n, percent, hub_share)), "join-links")
-    of = (
-        named.join(labels, F.col("rep") == F.col("node"), "left")
-        .groupBy("doc_id")
-        .agg(F.min(F.coalesce("label", "rep")).alias("component"))
-    )
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return facts.join(of, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"))
-
-
-def _unsettled(groups: DataFrame, labels: DataFrame, small: int, hubs: int) -> tuple[DataFrame | None, DataFrame]:
-    """Pairs still to be checked in groups that span components, and the groups that remain after that check."""
-    at = groups.join(labels, F.col("member") == F.col("node"), "left").select(
-        "gid", "member", F.coalesce("label", "member").alias("label")
-    )
-    per_label = at.groupBy("gid", "label").agg(F.count(F.lit(1)).alias("n"))
-    spans = per_label.groupBy("gid").agg(
-        F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top")
-    ).where("labels > 1")
-    open_ = written(at.join(spans, "gid").select("gid", "member", "label", "size", F.col("top.label").alias("main")), "join-open")
-    if open_.isEmpty():
-        return None, groups
-    # Hubs lie outside the group's largest component; a hub that was checked against all others leaves the group.
-    outside = open_.where(F.col("label") != F.col("main"))
-    ranked = outside.select(
-        "gid", F.col("member").alias("hub"), F.col("label").alias("hub_label"), "size", F.xxhash64("member", "gid").alias("h")
+    stats = _weighed(texts, meeting.select("member", "n"), n, percent, part_values)
+    members = written(groups.join(stats, "member"), "join-members")
+    hubs = members.groupBy("gid").agg(F.min(F.struct("alone", "member")).alias("h"), F.count(F.lit(1)).alias("size"))
+    hubs = hubs.where("size > 1").select("gid", F.col("h.member").alias("hub"))
+    pairs = members.join(hubs, "gid").where("member <> hub").select("hub", "member").distinct()
+    seen = written(checked(pairs, texts, n, percent, hub_share), "join-seen")
+    links = seen.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
+    labels = components(links)
+    rest = written(_still_possible(members, hubs, stats, seen, labels, percent), "join-rest")
+    if not rest.isEmpty():
+        more = checked(rest, texts, n, percent, hub_share).where("linked")
+        labels = components(links.unionByName(more.select(F.col("hub").alias("a"), F.col("member").alias("b"))))
+    of = named.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("label", "rep").alias("component"))
+    return facts.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _needed(a: Column, b: Column, percent: int) -> Column:
+    return F.ceil(percent * (a + b) / (100 + percent) - 1e-9)
+
+
+def _weighed(texts: DataFrame, sizes: DataFrame, n: int, percent: int, part_values: int) -> DataFrame:
+    """member, n, alone of the sets that can still link: enough of their elements occur in other sets that meet."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = parts_for(total, part_values, 24)
+    dealt = texts.mapInArrow(_elements(n, parts), SIGNED).repartition(parts, "part").groupBy("part")
+    shared = dealt.applyInArrow(_shared_elements, "member long, shared long").groupBy("member").agg(F.sum("shared").alias("shared"))
+    least = _needed(F.col("n"), F.ceil(F.col("n") * percent / 100 - 1e-9), percent)
+    met = sizes.join(shared, "member").where(F.col("shared") >= least)
+    return written(met.select("member", "n", (F.col("n") - F.col("shared")).alias("alone")), "join-stats")
+
+
+def _still_possible(
+    members: DataFrame, hubs: DataFrame, stats: DataFrame, seen: DataFrame, labels: DataFrame, percent: int
+) -> DataFrame:
+    """Pairs of one group, in different components, that distances to the group's hub don't exclude."""
+    hub_size = stats.select(F.col("member").alias("hub"), F.col("n").alias("hub_n"))
+    label = labels.select(F.col("node").alias("member"), "label")
+    hub_label = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    at = (
+        members.join(hubs, "gid")
+        .where("member <> hub")
+        .join(seen.select("hub", "member", "overlap"), ["hub", "member"])
+        .join(hub_size, "hub")
+        .join(label, "member", "left")
+        .join(hub_label, "hub", "left")
+        .select(
+            "gid",
+            "member",
+            "n",
+            "alone",
+            (F.col("n") + F.col("hub_n") - 2 * F.col("overlap")).alias("far"),
+            F.coalesce("label", "member").alias("label"),
+            F.coalesce("hub_label", "hub").alias("hub_label"),
+        )
     )
-    some = ranked.withColumn("place", F.row_number().over(Window.partitionBy("gid").orderBy("h", "hub")))
-    chosen = (
-        ranked.where(F.col("size") <= small)
-        .select("gid", "hub", "hub_label")
-        .unionByName(some.where((F.col("size") > small) & (F.col("place") <= hubs)).select("gid", "hub", "hub_label"))
+    at = written(at, "join-at")
+    apart = F.col("label") != F.col("hub_label")
+    # the least distance of a member that missed the hub, and the greatest that linked sets of the group may have
+    edge = at.groupBy("gid").agg(
+        F.min(F.when(apart, F.col("far"))).alias("nearest"), F.floor(2 * F.max("n") * (100 - percent) / (100 + percent)).alias("most")
     )
-    chosen = written(chosen, "join-hubs")
-    pairs = (
-        chosen.join(open_.select("gid", "member", "label"), "gid")
-        .where("hub_label <> label")
-        .select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
-        .distinct()
+    helpful = at.join(edge.where("nearest IS NOT NULL"), "gid").where("nearest + 2 * alone - far <= most")
+    column = lambda df, p: df.select("gid", *[F.col(c).alias(f"{p}_{c}") for c in ("member", "n", "alone", "far", "label")])
+    x, y = column(helpful, "x"), column(at.where(apart), "y")
+    c = F.col
+    most = F.floor((c("x_n") + c("y_n")) * (100 - percent) / (100 + percent) + 1e-9)
+    possible = (
+        (c("x_label") != c("y_label"))
+        & (c("y_far") + 2 * c("x_alone") - c("x_far") <= most)
+        & (c("x_far") + 2 * c("y_alone") - c("y_far") <= most)
+        & (F.least(c("x_n") - c("x_alone"), c("y_n") - c("y_alone")) >= _needed(c("x_n"), c("y_n"), percent))
     )
-    left = open_.join(chosen.select("gid", F.col("hub").alias("member")), ["gid", "member"], "left_anti")
-    return pairs, written(left.select("gid", "member"), "join-groups")
+    met = x.join(y, (x["gid"] == y["gid"]) & possible)
+    return met.select(F.least("x_member", "y_member").alias("hub"), F.greatest("x_member", "y_member").alias("member")).distinct()

@@ -439,7 +439,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512
     seen = written(checked(pairs, texts, n, percent, hub_share), "join-seen")
     links = seen.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     labels = components(links)
-    rest = written(_still_possible(members, hubs, stats, seen, labels, percent), "join-rest")
+    rest = written(_still_possible(stats, seen, labels, percent), "join-rest")
     if not rest.isEmpty():
         more = checked(rest, texts, n, percent, hub_share).where("linked")
         labels = components(links.unionByName(more.select(F.col("hub").alias("a"), F.col("member").alias("b"))))
@@ -462,22 +462,19 @@ def _weighed(texts: DataFrame, sizes: DataFrame, n: int, percent: int, part_valu
     return written(met.select("member", "n", (F.col("n") - F.col("shared")).alias("alone")), "join-stats")
 
 
-def _still_possible(
-    members: DataFrame, hubs: DataFrame, stats: DataFrame, seen: DataFrame, labels: DataFrame, percent: int
-) -> DataFrame:
-    """Pairs of one group, in different components, that distances to the group's hub don't exclude."""
+def _still_possible(stats: DataFrame, seen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs that met one hub, in different components, that the distances to it don't exclude."""
     hub_size = stats.select(F.col("member").alias("hub"), F.col("n").alias("hub_n"))
     label = labels.select(F.col("node").alias("member"), "label")
     hub_label = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     at = (
-        members.join(hubs, "gid")
-        .where("member <> hub")
-        .join(seen.select("hub", "member", "overlap"), ["hub", "member"])
+        seen.select("hub", "member", "overlap")
+        .join(stats, "member")
         .join(hub_size, "hub")
         .join(label, "member", "left")
         .join(hub_label, "hub", "left")
         .select(
-            "gid",
+            "hub",
             "member",
             "n",
             "alone",
@@ -488,12 +485,12 @@ def _still_possible(
     )
     at = written(at, "join-at")
     apart = F.col("label") != F.col("hub_label")
-    # the least distance of a member that missed the hub, and the greatest that linked sets of the group may have
-    edge = at.groupBy("gid").agg(
+    # the least distance of a member that missed the hub, and the greatest that linked sets near it may have
+    edge = at.groupBy("hub").agg(
         F.min(F.when(apart, F.col("far"))).alias("nearest"), F.floor(2 * F.max("n") * (100 - percent) / (100 + percent)).alias("most")
     )
-    helpful = at.join(edge.where("nearest IS NOT NULL"), "gid").where("nearest + 2 * alone - far <= most")
-    column = lambda df, p: df.select("gid", *[F.col(c).alias(f"{p}_{c}") for c in ("member", "n", "alone", "far", "label")])
+    helpful = at.join(edge.where("nearest IS NOT NULL"), "hub").where("nearest + 2 * alone - far <= most")
+    column = lambda df, p: df.select("hub", *[F.col(c).alias(f"{p}_{c}") for c in ("member", "n", "alone", "far", "label")])
     x, y = column(helpful, "x"), column(at.where(apart), "y")
     c = F.col
     most = F.floor((c("x_n") + c("y_n")) * (100 - percent) / (100 + percent) + 1e-9)
@@ -503,5 +500,5 @@ def _still_possible(
         & (c("x_far") + 2 * c("y_alone") - c("y_far") <= most)
         & (F.least(c("x_n") - c("x_alone"), c("y_n") - c("y_alone")) >= _needed(c("x_n"), c("y_n"), percent))
     )
-    met = x.join(y, (x["gid"] == y["gid"]) & possible)
+    met = x.join(y, (x["hub"] == y["hub"]) & possible)
     return met.select(F.least("x_member", "y_member").alias("hub"), F.greatest("x_member", "y_member").alias("member")).distinct()

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,14 +75,17 @@ def fit(
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(spread * min(1.0, fit_rows / max(total, 1))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        words: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-                for word, n in Counter(words_of(text)).items():
-                    seen[lang, 0, word] += n
-                    for length in lengths:
-                        for gram in grams_of(word, length):
-                            seen[lang, length, gram] += n
+                words[lang].update(words_of(text))
+        seen: Counter = Counter()
+        for lang, counted in words.items():
+            for word, n in counted.items():
+                seen[lang, 0, word] += n
+                for length in lengths:
+                    for gram in grams_of(word, length):
+                        seen[lang, length, gram] += n
         keys = list(seen)
         yield pa.RecordBatch.from_pydict(
             {

@@ -191,7 +191,7 @@ def fit(
         return None
     grade = severity_grades(sets, given > 0, bits) if given.max() == 1 else given.astype(np.int64)
     keep = select_features(sets, grade > 0, bits, least_docs, least_z, most_features)
-    x = np.zeros((len(sets), len(keep)), np.float32)
+    x = np.zeros((len(sets), len(keep)))
     for i, s in enumerate(sets):
         x[i, [keep[p] for p in s.tolist() if p in keep]] = 1
     weights, thresholds = fit_ordinal(x, grade)

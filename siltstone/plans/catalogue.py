@@ -35,6 +35,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         history,
         layout,
         logs,
+        passes,
         storage,
     )
 

@@ -225,3 +225,29 @@ def test_gear_sums_see_64_bytes():
 def test_fixed_blocks_of_empty_files(spark):
     blob = spark.createDataFrame([(1, b""), (2, b"abc")], "ino long, bytes binary")
     assert [tuple(r) for r in tables.fixed_blocks(blob, 2).select("ino", "ordinal", "payload").collect()] == [(2, 0, b"ab"), (2, 1, b"c")]
+
+
+def test_collecting_garbage_twice_is_once(spark):
+    from siltstone.plans import maintenance
+
+    rows = [(f"{s}{i}", s, 100, s * 1000 + i // 4, i % 4 * 100) for s in range(2) for i in range(16)]
+    records = spark.createDataFrame(rows, "content_hash string, shard int, record_len long, segment_id long, offset long")
+    live = records.where("content_hash LIKE '%1' OR content_hash LIKE '%5'").select("content_hash")
+    pinned = records.where("content_hash = '02'").select("content_hash")
+    once = maintenance.collect_garbage(records, live, pinned, 0.9, 1, 400).cache()
+    kept = {r["content_hash"] for r in once.collect()}
+    assert {"02", "01", "05", "012"} <= kept and "00" not in kept and len(kept) < len(rows)
+    assert {r[0] for r in live.collect()} <= kept
+    places = once.groupBy("segment_id", "offset").count().where("count > 1")
+    assert places.isEmpty()
+
+
+def test_xattr_flags_and_limits(spark):
+    from siltstone.operators import attributes
+
+    current = spark.createDataFrame([(1, {"a": "1"}), (2, None)], "ino long, xattrs map<string,string>")
+    sets = spark.createDataFrame(
+        [(1, "a", "2", "create"), (1, "b", "3", None), (2, "c", "4", "replace"), (2, "d" * 256, "5", None)], "ino long, name string, value string, flag string"
+    )
+    assert sorted(r["outcome"] for r in attributes.set_outcomes(current, sets).collect()) == ["exists", "missing", "ok", "too long"]
+    assert {r["ino"]: r["xattrs"] for r in attributes.applied(current, sets).collect()} == {1: {"a": "1", "b": "3"}, 2: None}

@@ -7,19 +7,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def savings(refs: DataFrame, group: str | None = None) -> DataFrame:
-    """chunks, distinct_chunks, logical_bytes, stored_bytes; by a column, or over all.
+def counted(refs: DataFrame, *keys: str) -> DataFrame:
+    """keys, content_hash, n, len: references summed up in the map tasks."""
+    return refs.groupBy(*keys, "content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("len").alias("len"))
 
-    Two steps instead of a distinct count, so that both sums are combined in the map tasks.
+
+def savings(refs: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """chunks, distinct_chunks, logical_bytes, stored_bytes: by a column, and over all.
+
+    Both come from the references counted by group and hash, so the chunks are
+    made and hashed once; sums take the place of distinct counts.
     """
-    keys = [group] if group else []
-    each = refs.groupBy(*keys, "content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("len").alias("len"))
-    return each.groupBy(*keys).agg(
+    sums = (
         F.sum("n").alias("chunks"),
         F.count(F.lit(1)).alias("distinct_chunks"),
         F.sum(F.col("n") * F.col("len")).alias("logical_bytes"),
         F.sum("len").alias("stored_bytes"),
     )
+    each = counted(refs, group)
+    whole = each.groupBy("content_hash").agg(F.sum("n").alias("n"), F.min("len").alias("len"))
+    return each.groupBy(group).agg(*sums), whole.agg(*sums)
 
 
 def new_and_known(incoming: DataFrame, known: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ LIVE = "lang <> 'es'"
 
 
 def live_hashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    refs = T.chunk_refs(spark, sf_dir)
-    location = T.locations(refs)
-    roots = T.read(spark, sf_dir, "documents").where(LIVE).select(F.col("doc_id").alias("ino"))
-    return reach.marked(roots, refs, location), location, refs
+    """Live hashes, locations and references. Liveness is summed up with the locations: one pass over the bytes."""
+    refs = T.chunk_refs(spark, sf_dir).withColumn("reached", F.expr(LIVE))
+    location = T.locations(refs, F.max("reached").alias("reached"))
+    return location.where("reached").select("content_hash"), location.drop("reached"), refs.drop("reached")
 
 
 @query(sql("SELECT ino, q AS start, least(q + 600, n) - q AS n_bytes, sha256(bytes[q + 1 : least(q + 600, n)]) AS content_hash FROM (SELECT ino, bytes, octet_length(bytes) AS n, octet_length(bytes) // 3 AS q FROM blob) WHERE q < n", "blob"))
@@ -120,7 +120,9 @@ _MARK = f", live AS (SELECT DISTINCT content_hash FROM chunk_ref WHERE {LIVE})"
 @query(sql(f"{_MARK} SELECT content_hash FROM live", "location"))
 def mark_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes that live files reach."""
-    return live_hashes(spark, sf_dir)[0]
+    refs = T.chunk_refs(spark, sf_dir)
+    roots = T.read(spark, sf_dir, "documents").where(LIVE).select(F.col("doc_id").alias("ino"))
+    return reach.marked(roots, refs, T.locations(refs))
 
 
 @query(sql(f"{_MARK} SELECT content_hash FROM live WHERE false", "location"))
@@ -189,10 +191,12 @@ SELECT segment_id, content_hash FROM copies WHERE segment_id IN (SELECT segment_
 @query(sql(_KEEP, "chunk_ref"))
 def repack_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs as segments, small ones repacked; hashes that begin with f are pinned."""
-    live, _, refs = live_hashes(spark, sf_dir)
-    records = refs.select("content_hash", F.col("ino").alias("segment_id")).distinct()
-    small = records.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n")).where("n < 8")
-    pinned = refs.where("content_hash LIKE 'f%'").select("content_hash").distinct()
+    refs = T.chunk_refs(spark, sf_dir).withColumn("reached", F.expr(LIVE))
+    # one aggregate over the references feeds all four inputs
+    held = refs.groupBy("content_hash", F.col("ino").alias("segment_id")).agg(F.max("reached").alias("reached"))
+    records, live = held.drop("reached"), held.where("reached").select("content_hash").distinct()
+    small = held.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n")).where("n < 8")
+    pinned = held.where("content_hash LIKE 'f%'").select("content_hash").distinct()
     return reach.repack_keep(records, small, live, pinned).select("segment_id", "content_hash")
 
 

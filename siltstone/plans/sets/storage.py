@@ -127,9 +127,8 @@ SELECT '*' AS dir, CAST(sum(n) AS BIGINT), count(*), CAST(sum(n * len) AS BIGINT
 )
 def dedup_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical and stored bytes by directory and over all (``*``)."""
-    refs = T.chunk_refs(spark, sf_dir)
-    by_dir = store.savings(refs, "dir").withColumn("dir", F.coalesce("dir", F.lit("")))
-    return by_dir.unionByName(store.savings(refs).withColumn("dir", F.lit("*")))
+    by_dir, whole = store.savings(T.chunk_refs(spark, sf_dir), "dir")
+    return by_dir.withColumn("dir", F.coalesce("dir", F.lit(""))).unionByName(whole.withColumn("dir", F.lit("*")))
 
 
 @query(sql("SELECT hit, count(*) AS chunks, CAST(sum(refs) AS BIGINT) AS refs, CAST(sum(len) AS BIGINT) AS n_bytes FROM (SELECT content_hash, min(len) AS len, count(*) AS refs, content_hash IN (SELECT content_hash FROM chunk_ref WHERE lang = 'en') AS hit FROM chunk_ref WHERE lang <> 'en' GROUP BY content_hash) GROUP BY hit", "chunk_ref"))

@@ -59,14 +59,17 @@ def sequence_number(ino: Column, ordinal: Column) -> Column:
     return ino * 1_000_000 + ordinal
 
 
-def locations(refs: DataFrame) -> DataFrame:
+def locations(refs: DataFrame, *more: Column) -> DataFrame:
     """content_hash, len, seq, shard, record_len, segment_id, offset: first copies, appended to their shard's segments.
 
     The running sum goes by shard, so it is as parallel as there are shards.
+    ``more`` are further aggregates over a hash's references, which then need
+    no pass of their own.
     """
     first = refs.groupBy("content_hash").agg(
-        F.min("len").alias("len"), F.min(sequence_number(F.col("ino"), F.col("ordinal"))).alias("seq")
+        F.min("len").alias("len"), F.min(sequence_number(F.col("ino"), F.col("ordinal"))).alias("seq"), *more
     )
+    carried = [c for c in first.columns if c not in ("content_hash", "len", "seq")]
     w = Window.partitionBy("shard").orderBy("seq")
     placed = (
         first.withColumn("shard", hex_digit(F.col("content_hash"), 1))
@@ -81,6 +84,7 @@ def locations(refs: DataFrame) -> DataFrame:
         "record_len",
         (F.col("shard") * 1_000_000 + F.floor(F.col("at") / SEGMENT_CAP)).alias("segment_id"),
         (F.col("at") % SEGMENT_CAP).alias("offset"),
+        *carried,
     )
 
 

@@ -295,3 +295,36 @@ def test_toxic_texts_are_caught(spark, sf_dir):
     caught = [r for r in rows if r["toxic"]]
     assert sum(r["label"] for r in caught) / len(caught) > 0.9
     assert sum(r["label"] for r in caught) / sum(r["label"] for r in rows) > 0.8
+
+
+# WARC
+
+
+def test_records_are_rebuilt_byte_for_byte(spark):
+    from siltstone.llm import warc_store
+
+    pages = spark.createDataFrame([(1, "http://a", "é" * 100), (2, "http://b", "é" * 100), (3, None, "x")], "page_id long, url string, html string")
+    back = warc_store.read_archive(spark, warc_store.write_archive(pages))
+    records = {r["page_id"]: bytes(r["b"]) for r in back.select("page_id", warc_store.record_bytes(F.col("header"), F.col("payload")).alias("b")).collect()}
+    for i, record in records.items():
+        head, _, rest = record.partition(b"\r\n\r\n")
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+        assert head.startswith(b"WARC/1.1\r\n") and rest.endswith(b"\r\n\r\n")
+        assert int(fields[b"Content-Length"]) == len(rest) - 4
+        assert (fields[b"WARC-Type"] == b"revisit") == (i == 2)
+    assert records[1].endswith("é".encode() * 100 + b"\r\n\r\n") and b"WARC-Refers-To: <urn:page:1>" in records[2]
+    stored = spark.read.parquet(warc_store.write_archive(pages).payloads)
+    assert stored.count() == 2
+
+
+def test_damage_is_noticed(spark):
+    from siltstone.llm import warc_store
+
+    archive = warc_store.write_archive(spark.createDataFrame([(1, "u", "y" * 200)], "page_id long, url string, html string"))
+    spoilt = spark.read.parquet(archive.payloads).withColumn("digest", F.lit("0" * 64))
+    spoilt.write.parquet(archive.payloads + "-spoilt")
+    headers = spark.read.parquet(archive.headers).withColumn("digest", F.lit("0" * 64))
+    headers.write.parquet(archive.headers + "-spoilt")
+    broken = warc_store.Archive(archive.payloads + "-spoilt", archive.headers + "-spoilt")
+    with pytest.raises(Exception, match="damaged"):
+        warc_store.read_archive(spark, broken).collect()

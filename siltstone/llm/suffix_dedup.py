@@ -100,7 +100,7 @@ def entries(flat: np.ndarray, starts: np.ndarray, shape: Shape, piece: int = 1 <
         core = np.where(far, named - half, named)
         # an entry ends where the row, the named place or the side changes
         change = np.ones(len(window), bool)
-        change[1:] = (row[1:] != row[:-1]) | (core[1:] != core[:-1]) | (whole[1:] != whole[:-1])
+        change[1:] = (row[1:] != row[:-1]) | (named[1:] != named[:-1]) | (far[1:] != far[:-1]) | (whole[1:] != whole[:-1])
         first = np.flatnonzero(change & whole)
         if not len(first):
             continue

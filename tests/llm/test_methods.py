@@ -328,3 +328,28 @@ def test_damage_is_noticed(spark):
     broken = warc_store.Archive(archive.payloads + "-spoilt", archive.headers + "-spoilt")
     with pytest.raises(Exception, match="damaged"):
         warc_store.read_archive(spark, broken).collect()
+
+
+def test_repeats_of_real_texts_equal_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    want = brute_spans([(r["doc_id"], r["text"].encode()) for r in docs.collect()], 100)
+    for hot in (20_000, 3):
+        found = suffix_dedup.with_spans(docs, 100, hot=hot, part_bytes=1 << 16)
+        assert {r["doc_id"]: suffix_dedup.spans_of(r["spans"]) for r in found.collect()} == want
+
+
+def test_near_copies_of_one_base_equal_brute_force(spark):
+    """A large family of copies with edits of their own and with shared ones, in tiles."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(400)}" for _ in range(150)]
+    docs = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(draw.randrange(0, 12)):
+            at = draw.randrange(len(words))
+            words[at : at + 1] = draw.choice([[], [f"own{i}"], [words[at]] * 2, ["same"]])
+        docs.append((i, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for n, percent in ((3, 90), (5, 80)):
+        found = jaccard_join.similar(frame, n, percent, hub_share=50, tile=40)
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute_components(docs, n, percent)

@@ -39,6 +39,9 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import WORD, text_or_empty, written
 
+#: The plan has a row a source; up to so many rows it is broadcast, beyond that it is shuffled.
+MOST_BROADCAST = 100_000
+
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most_times: float = 2.0) -> list[float]:
     """Each source's target: ``share`` of all sizes by weight, none above ``most_times`` its size, the excess shared anew."""
@@ -125,6 +128,7 @@ def mix(
         ],
         "src int, src_name string, source_size long, target double, rate double, units long",
     )
+    plan = F.broadcast(plan) if len(found) <= MOST_BROADCAST else plan
     planned = units.join(plan, units["source"].eqNullSafe(plan["src_name"])).select(
         "doc_id",
         "src",
@@ -142,6 +146,7 @@ def mix(
         buckets = spark.createDataFrame(
             [(i, max(1, math.ceil(n / bucket_units))) for i, n in left.items()], "at int, buckets long"
         )
+        buckets = F.broadcast(buckets) if len(left) <= MOST_BROADCAST else buckets
         dealt = (
             level.join(buckets, F.col("src") == F.col("at"))
             .withColumn("bucket", F.pmod(F.xxhash64("draw", F.lit(len(settled))), F.col("buckets")))

@@ -23,14 +23,13 @@ What meets is not yet paired. Elements that no other set that meets has are
 counted (``alone``): a set with too many of them links with nothing and goes.
 Within a group all members are joined with one hub, the set with the fewest
 elements alone, which settles a group of true copies in linear work. Members
-that did not link are paired with others only where the distances d to the
-hub leave it possible: elements alone count on both ways, so
-
-    d(x, y) >= d(y, hub) + 2 alone(x) - d(x, hub)
-
-and for copies with edits of their own this excludes all that the hub missed.
-What is left is joined by tree as well, so no link between different texts is
-lost and no pair inside a component is checked again.
+that missed the hub are compared with the others that met it by what they
+differ in from it: x and y differ exactly where their differences to the hub
+do, so these short sets are all that is needed. Elements alone count on both
+ways, d(x, y) >= d(y, hub) + 2 alone(x) - d(x, hub), and members that this
+excludes for all stay out. The comparison goes in tiles of at most ``tile``
+rows a side and gives one link a pair of components, never a pair of rows of
+one component; no link between different texts is lost.
 
 Scale: equal sets are one class, found by a digest that is summed up in the
 map tasks; signatures and elements travel packed (6 bytes each and the ids);
@@ -363,7 +362,7 @@ def _shared_elements(t: pa.Table) -> pa.Table:
     return pa.table({"member": pa.array(member), "shared": pa.array(count.astype(np.int64))})
 
 
-CHECKED = "hub long, member long, overlap long, linked boolean"
+CHECKED = "hub long, member long, far long, linked boolean, differ binary"
 
 
 def _joined(n: int, percent: int):
@@ -385,16 +384,16 @@ def _joined(n: int, percent: int):
             for h in own[:1]:
                 linked = {others[k] for k, _ in trie.probe(sets[h], percent)}
                 for k in others:
-                    overlap = len(np.intersect1d(sets[h], sets[k], assume_unique=True))
-                    found.append((int(hub[i]), int(member[i + k]), overlap, k in linked))
-        kinds = (("hub", pa.int64()), ("member", pa.int64()), ("overlap", pa.int64()), ("linked", pa.bool_()))
+                    differ = np.setxor1d(sets[h], sets[k], assume_unique=True)
+                    found.append((int(hub[i]), int(member[i + k]), len(differ), k in linked, differ.tobytes()))
+        kinds = (("hub", pa.int64()), ("member", pa.int64()), ("far", pa.int64()), ("linked", pa.bool_()), ("differ", pa.binary()))
         return pa.table({c: pa.array([f[x] for f in found], kind) for x, (c, kind) in enumerate(kinds)})
 
     return run
 
 
 def checked(pairs: DataFrame, texts: DataFrame, n: int, percent: int, hub_share: int) -> DataFrame:
-    """The pairs (hub, member) with the overlap of their sets and whether they link, by tree join."""
+    """The pairs (hub, member) with the elements in which they differ and whether they link, by tree join."""
     spark = texts.sparkSession
     share = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / hub_share).alias("shares"))
     salted = written(
@@ -407,7 +406,7 @@ def checked(pairs: DataFrame, texts: DataFrame, n: int, percent: int, hub_share:
     return bucketed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_joined(n, percent), CHECKED)
 
 
-def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512, part_values: int = 6_000_000) -> DataFrame:
+def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512, part_values: int = 6_000_000, tile: int = 8192) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     facts = written(docs.mapInArrow(_described(n), "doc_id long, n_shingles long, key binary"), "join-facts")
@@ -439,10 +438,9 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512
     seen = written(checked(pairs, texts, n, percent, hub_share), "join-seen")
     links = seen.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     labels = components(links)
-    rest = written(_still_possible(stats, seen, labels, percent), "join-rest")
-    if not rest.isEmpty():
-        more = checked(rest, texts, n, percent, hub_share).where("linked")
-        labels = components(links.unionByName(more.select(F.col("hub").alias("a"), F.col("member").alias("b"))))
+    more = written(_missed(stats, seen, labels, percent, tile), "join-more")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     of = named.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("label", "rep").alias("component"))
     return facts.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -462,43 +460,73 @@ def _weighed(texts: DataFrame, sizes: DataFrame, n: int, percent: int, part_valu
     return written(met.select("member", "n", (F.col("n") - F.col("shared")).alias("alone")), "join-stats")
 
 
-def _still_possible(stats: DataFrame, seen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs that met one hub, in different components, that the distances to it don't exclude."""
-    hub_size = stats.select(F.col("member").alias("hub"), F.col("n").alias("hub_n"))
+def _missed(stats: DataFrame, seen: DataFrame, labels: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Links (a, b) between components of members that met one hub; one link a pair of components and tile."""
+    spark = seen.sparkSession
     label = labels.select(F.col("node").alias("member"), "label")
     hub_label = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     at = (
-        seen.select("hub", "member", "overlap")
-        .join(stats, "member")
-        .join(hub_size, "hub")
+        seen.join(stats, "member")
         .join(label, "member", "left")
         .join(hub_label, "hub", "left")
-        .select(
-            "hub",
-            "member",
-            "n",
-            "alone",
-            (F.col("n") + F.col("hub_n") - 2 * F.col("overlap")).alias("far"),
-            F.coalesce("label", "member").alias("label"),
-            F.coalesce("hub_label", "hub").alias("hub_label"),
-        )
+        .select("hub", "member", "n", "alone", "far", "differ", F.coalesce("label", "member").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+        .withColumn("apart", F.col("label") != F.col("hub_label"))
     )
-    at = written(at, "join-at")
-    apart = F.col("label") != F.col("hub_label")
     # the least distance of a member that missed the hub, and the greatest that linked sets near it may have
-    edge = at.groupBy("hub").agg(
-        F.min(F.when(apart, F.col("far"))).alias("nearest"), F.floor(2 * F.max("n") * (100 - percent) / (100 + percent)).alias("most")
-    )
-    helpful = at.join(edge.where("nearest IS NOT NULL"), "hub").where("nearest + 2 * alone - far <= most")
-    column = lambda df, p: df.select("hub", *[F.col(c).alias(f"{p}_{c}") for c in ("member", "n", "alone", "far", "label")])
-    x, y = column(helpful, "x"), column(at.where(apart), "y")
-    c = F.col
-    most = F.floor((c("x_n") + c("y_n")) * (100 - percent) / (100 + percent) + 1e-9)
-    possible = (
-        (c("x_label") != c("y_label"))
-        & (c("y_far") + 2 * c("x_alone") - c("x_far") <= most)
-        & (c("x_far") + 2 * c("y_alone") - c("y_far") <= most)
-        & (F.least(c("x_n") - c("x_alone"), c("y_n") - c("y_alone")) >= _needed(c("x_n"), c("y_n"), percent))
+    edge = (
+        at.groupBy("hub")
+        .agg(
+            F.min(F.when(F.col("apart"), F.col("far"))).alias("nearest"),
+            F.floor(2 * F.max("n") * (100 - percent) / (100 + percent)).alias("most"),
+            F.count(F.lit(1)).alias("members"),
+        )
+        .where("nearest IS NOT NULL AND members > 1")
+        .withColumn("tiles", F.ceil(F.col("members") / tile))
     )
-    met = x.join(y, (x["hub"] == y["hub"]) & possible)
-    return met.select(F.least("x_member", "y_member").alias("hub"), F.greatest("x_member", "y_member").alias("member")).distinct()
+    near = at.join(edge, "hub").where("apart OR nearest + 2 * alone - far <= most")
+    own = F.pmod(F.xxhash64("member"), F.col("tiles"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    columns = ["hub", "member", "n", "label", "differ"]
+    asked = near.where("apart").select(*columns, own.alias("i"), F.lit(True).alias("asks"), "tiles").select("*", every.alias("j"))
+    held = near.select(*columns, own.alias("j"), F.lit(False).alias("asks"), "tiles").select("*", every.alias("i"))
+    order = [*columns, "i", "j", "asks"]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.select(*order).unionByName(held.select(*order)).withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(4 * buckets)))
+    return dealt.repartition(4 * buckets, "bucket").groupBy("bucket").applyInArrow(_tiles(percent), "a long, b long")
+
+
+def _tiles(percent: int):
+    """For each tile (hub, i, j) the distances of those that ask to those that are held, from the differences to the hub.
+
+    x and y differ exactly where their differences to the hub do, so
+    d(x, y) = |dx| + |dy| - 2 |dx and dy|; the last is counted over postings.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("hub", "i", "j", "asks", "member")])
+        key = np.stack([t[c].to_numpy() for c in ("hub", "i", "j")])
+        asks, member, n, label = (t[c].to_numpy(zero_copy_only=False) for c in ("asks", "member", "n", "label"))
+        differ = [np.frombuffer(d, np.uint64) for d in t["differ"].to_pylist()]
+        cuts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if len(member) else []
+        links: dict[tuple[int, int], tuple[int, int]] = {}
+        for start, stop in zip(cuts, [*cuts[1:], len(member)], strict=True):
+            first = start + int(np.searchsorted(asks[start:stop], True))
+            if first in (start, stop):
+                continue
+            sizes = np.array([len(d) for d in differ[start:first]])
+            elements, place = np.unique(np.concatenate(differ[start:first]), return_inverse=True)
+            owners = np.repeat(np.arange(first - start), sizes)[np.argsort(place, kind="stable")]
+            ends = np.cumsum(np.bincount(place, minlength=len(elements)))
+            for y in range(first, stop):
+                found = np.searchsorted(elements, differ[y])
+                found = found[(found < len(elements)) & (elements[np.minimum(found, len(elements) - 1)] == differ[y])] if len(elements) else []
+                lists = [owners[ends[f - 1] if f else 0 : ends[f]] for f in found]
+                both = np.bincount(np.concatenate(lists), minlength=first - start) if lists else np.zeros(first - start, np.int64)
+                most = (n[start:first] + n[y]) * (100 - percent) // (100 + percent)
+                linked = (sizes + len(differ[y]) - 2 * both <= most) & (label[start:first] != label[y])
+                for x in np.flatnonzero(linked):
+                    pair = (int(label[y]), int(label[start + x]))
+                    links.setdefault((min(pair), max(pair)), (int(member[y]), int(member[start + x])))
+        return pa.table({"a": pa.array([v[0] for v in links.values()], pa.int64()), "b": pa.array([v[1] for v in links.values()], pa.int64())})
+
+    return run

@@ -146,3 +146,28 @@ def running_within(rows: DataFrame, order: str, size: str, budget: int) -> DataF
     """Rows whose predecessors' sizes leave some of the budget (the one that spends the last of it included)."""
     spent = F.sum(size).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("spent", F.coalesce(spent, F.lit(0))).where(F.col("spent") < budget).drop("spent")
+
+
+def absent_only(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` with those of ``rows`` whose key it doesn't have: what is there stays."""
+    return table.unionByName(rows.join(table.select(*keys), keys, "left_anti"))
+
+
+def forgotten(index: DataFrame, segments: DataFrame, holds: str = "segment_id") -> DataFrame:
+    """The index without entries that still point into the given segments; entries that moved on stay."""
+    return index.join(segments.select(holds), holds, "left_anti")
+
+
+def restriped(index: DataFrame, segments: DataFrame, stripe_device: int) -> DataFrame:
+    """Entries of striped segments, one a hash under the stripes' pseudo-device in place of the mirrored ones."""
+    own = index.join(segments.select("segment_id"), "segment_id", "left_semi")
+    striped = own.groupBy("content_hash", "segment_id").agg(F.min("offset").alias("offset"), F.min("len").alias("len"))
+    moved = striped.withColumn("vdev_id", F.lit(stripe_device))
+    return forgotten(index, segments).unionByName(moved.select(*index.columns))
+
+
+def replaced_if(table: DataFrame, changes: DataFrame, keys: list[str], expected: str, column: str) -> DataFrame:
+    """``column`` replaced by ``new`` where its present value is the ``expected`` one; a lost race changes nothing."""
+    met = table.join(changes.select(*keys, F.col(expected).alias("wanted"), "new"), keys, "left")
+    value = F.when(F.col(column).eqNullSafe(F.col("wanted")) & F.col("new").isNotNull(), F.col("new")).otherwise(F.col(column))
+    return met.select(*[value.alias(c) if c == column else F.col(c) for c in table.columns])

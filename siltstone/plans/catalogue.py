@@ -33,6 +33,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         checks,
         devices,
         history,
+        index,
         layout,
         logs,
         passes,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -70,3 +72,13 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
     flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return flat[starts[0] : starts[-1]], (starts - starts[0]).astype(np.int64)
+
+
+def portions(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of a column (a longer row is one alone), so that work arrays stay small."""
+    _, starts = flat_bytes(batch[column])
+    row = 0
+    while row < batch.num_rows:
+        stop = max(row + 1, int(np.searchsorted(starts, starts[row] + most, "right")) - 1)
+        yield batch.slice(row, stop - row)
+        row = stop

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.deep_shallow import deep_shallow
-from siltstone.llm.kernels import first_minima, flat_bytes, gram_hashes, mix64
+from siltstone.llm.kernels import first_minima, flat_bytes, gram_hashes, mix64, portions
 from siltstone.llm.shared import parts_for, text_or_empty
 
 _U = np.uint64
@@ -113,8 +113,7 @@ def _dealt(shape: Shape, parts: int):
     """Step 1, map side: one row a batch and part, the entries by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(b["doc_id"].is_valid())
+        for b in (part for whole in batches for part in portions(whole, "text", 8 << 20)):
             flat, starts = flat_bytes(b["text"])
             found = list(entries(flat, starts, shape))
             if not found:
@@ -194,7 +193,7 @@ def _pack_removed(gone: dict[tuple[int, int], list[Span]]) -> bytes:
     return np.array(rows, REMOVED).tobytes()
 
 
-def _carried(length: int, buckets: int, most: int = 150_000):
+def _carried(length: int, buckets: int, most: int = 60_000):
     """Step 2: entries with their bytes, equal ones settled within the task; one row a bucket and flush."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +366,7 @@ def with_spans(docs: DataFrame, length: int = 100, hot: int = 20_000, part_bytes
     known = marked.where(F.col("doc_id").isNotNull())
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(total, part_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2 or 1)
-    buckets = 4 * parts
+    buckets = 8 * parts
     repeated = (
         known.select("doc_id", "mark", text_or_empty("text").alias("text"))
         .mapInArrow(_dealt(shape, parts), DEALT)

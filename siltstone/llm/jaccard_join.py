@@ -58,7 +58,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.kernels import flat_bytes, mix64
+from siltstone.llm.kernels import flat_bytes, mix64, portions
 from siltstone.llm.shared import parts_for, written
 
 _U = np.uint64
@@ -259,7 +259,7 @@ def _signed(n: int, percent: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = Classes(percent), set()
-        for b in batches:
+        for b in (part for whole in batches for part in portions(whole, "text")):
             ids, said = [], []
             for doc_id, s in zip(b["doc_id"].to_pylist(), shingle_sets(b["text"], n), strict=True):
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -345,7 +345,7 @@ def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _elements(n: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in portions(whole, "text")):
             yield _packed_rows(b["member"].to_pylist(), list(shingle_sets(b["text"], n)), parts)
 
     return run
@@ -362,7 +362,7 @@ def _shared_elements(t: pa.Table) -> pa.Table:
     return pa.table({"member": pa.array(member), "shared": pa.array(count.astype(np.int64))})
 
 
-CHECKED = "hub long, member long, far long, linked boolean, differ binary"
+CHECKED = "hub long, member long, far long, linked boolean"
 
 
 def _joined(n: int, percent: int):
@@ -384,16 +384,16 @@ def _joined(n: int, percent: int):
             for h in own[:1]:
                 linked = {others[k] for k, _ in trie.probe(sets[h], percent)}
                 for k in others:
-                    differ = np.setxor1d(sets[h], sets[k], assume_unique=True)
-                    found.append((int(hub[i]), int(member[i + k]), len(differ), k in linked, differ.tobytes()))
-        kinds = (("hub", pa.int64()), ("member", pa.int64()), ("far", pa.int64()), ("linked", pa.bool_()), ("differ", pa.binary()))
+                    far = len(np.setxor1d(sets[h], sets[k], assume_unique=True))
+                    found.append((int(hub[i]), int(member[i + k]), far, k in linked))
+        kinds = (("hub", pa.int64()), ("member", pa.int64()), ("far", pa.int64()), ("linked", pa.bool_()))
         return pa.table({c: pa.array([f[x] for f in found], kind) for x, (c, kind) in enumerate(kinds)})
 
     return run
 
 
 def checked(pairs: DataFrame, texts: DataFrame, n: int, percent: int, hub_share: int) -> DataFrame:
-    """The pairs (hub, member) with the elements in which they differ and whether they link, by tree join."""
+    """The pairs (hub, member) with the distance of their sets and whether they link, by tree join."""
     spark = texts.sparkSession
     share = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / hub_share).alias("shares"))
     salted = written(
@@ -413,7 +413,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512
     # one set for a doc_id, one representative for a class of equal sets
     of_doc = facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "key")).alias("t"))
     own = of_doc.select("doc_id", F.col("t.n_shingles").alias("n"), "t.key")
-    first = own.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    # a table of its own, so that the join with it has exchanges on both sides and a hot class can be split
+    first = written(own.groupBy("key").agg(F.min("doc_id").alias("rep")), "join-classes")
     named = written(own.join(first, "key").select("doc_id", "n", "key", "rep"), "join-names")
 
     elements = facts.agg(F.sum("n_shingles")).first()[0] or 0
@@ -438,7 +439,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512
     seen = written(checked(pairs, texts, n, percent, hub_share), "join-seen")
     links = seen.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     labels = components(links)
-    more = written(_missed(stats, seen, labels, percent, tile), "join-more")
+    more = written(_missed(stats, seen, labels, texts, n, percent, tile), "join-more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     of = named.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("label", "rep").alias("component"))
@@ -460,7 +461,7 @@ def _weighed(texts: DataFrame, sizes: DataFrame, n: int, percent: int, part_valu
     return written(met.select("member", "n", (F.col("n") - F.col("shared")).alias("alone")), "join-stats")
 
 
-def _missed(stats: DataFrame, seen: DataFrame, labels: DataFrame, percent: int, tile: int) -> DataFrame:
+def _missed(stats: DataFrame, seen: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int, tile: int) -> DataFrame:
     """Links (a, b) between components of members that met one hub; one link a pair of components and tile."""
     spark = seen.sparkSession
     label = labels.select(F.col("node").alias("member"), "label")
@@ -469,33 +470,45 @@ def _missed(stats: DataFrame, seen: DataFrame, labels: DataFrame, percent: int,
         seen.join(stats, "member")
         .join(label, "member", "left")
         .join(hub_label, "hub", "left")
-        .select("hub", "member", "n", "alone", "far", "differ", F.coalesce("label", "member").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+        .select("hub", "member", "n", "alone", "far", F.coalesce("label", "member").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
         .withColumn("apart", F.col("label") != F.col("hub_label"))
+        .withColumn("gain", 2 * F.col("alone") - F.col("far"))
     )
-    # the least distance of a member that missed the hub, and the greatest that linked sets near it may have
+    at = written(at, "join-at")
+    # What the bounds need of a hub's members: the least distance and gain of all and of those that missed it,
+    # and the greatest distance that linked sets near it may have.
+    missed = lambda c: F.min(F.when(F.col("apart"), F.col(c))).alias(f"missed_{c}")
     edge = (
         at.groupBy("hub")
         .agg(
-            F.min(F.when(F.col("apart"), F.col("far"))).alias("nearest"),
+            missed("far"),
+            missed("gain"),
+            F.min("far").alias("least_far"),
+            F.min("gain").alias("least_gain"),
             F.floor(2 * F.max("n") * (100 - percent) / (100 + percent)).alias("most"),
-            F.count(F.lit(1)).alias("members"),
         )
-        .where("nearest IS NOT NULL AND members > 1")
-        .withColumn("tiles", F.ceil(F.col("members") / tile))
+        .where("missed_far IS NOT NULL")
     )
-    near = at.join(edge, "hub").where("apart OR nearest + 2 * alone - far <= most")
-    own = F.pmod(F.xxhash64("member"), F.col("tiles"))
+    asks = F.expr("apart AND far + least_gain <= most AND least_far + gain <= most")
+    holds = F.expr("missed_far + gain <= most AND far + missed_gain <= most")
+    near = at.join(edge, "hub").select("hub", "member", "n", "label", asks.alias("asks"), holds.alias("holds")).where("asks OR holds")
+    sized = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"), F.max("asks").alias("asked")).where("asked").drop("asked")
+    near = near.join(sized, "hub").withColumn("own", F.pmod(F.xxhash64("member"), F.col("tiles")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    columns = ["hub", "member", "n", "label", "differ"]
-    asked = near.where("apart").select(*columns, own.alias("i"), F.lit(True).alias("asks"), "tiles").select("*", every.alias("j"))
-    held = near.select(*columns, own.alias("j"), F.lit(False).alias("asks"), "tiles").select("*", every.alias("i"))
-    order = [*columns, "i", "j", "asks"]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = asked.select(*order).unionByName(held.select(*order)).withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(4 * buckets)))
-    return dealt.repartition(4 * buckets, "bucket").groupBy("bucket").applyInArrow(_tiles(percent), "a long, b long")
-
-
-def _tiles(percent: int):
+    columns = ["hub", "member", "n", "label"]
+    no = F.lit(False)
+    asked = near.where("asks").select(*columns, F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("asks"), no.alias("holds"))
+    held = near.where("holds").select(*columns, every.alias("i"), F.col("own").alias("j"), no.alias("asks"), F.lit(True).alias("holds"))
+    rows = asked.unionByName(held).groupBy(*columns, "i", "j").agg(F.max("asks").alias("asks"), F.max("holds").alias("holds"))
+    rows = written(rows, "join-near")
+    hubs = rows.select("hub", F.col("hub").alias("member"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("label"), "i", "j").distinct()
+    need = rows.unionByName(hubs.withColumn("asks", no).withColumn("holds", no))
+    buckets = max(parts_for(rows.count(), 2000), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = need.join(texts, "member").withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(buckets)))
+    return met.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_tiles(n, percent), "a long, b long")
+
+
+def _tiles(shingle: int, percent: int):
     """For each tile (hub, i, j) the distances of those that ask to those that are held, from the differences to the hub.
 
     x and y differ exactly where their differences to the hub do, so
@@ -503,30 +516,37 @@ def _tiles(percent: int):
     """
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in ("hub", "i", "j", "asks", "member")])
+        t = t.sort_by([(c, "ascending") for c in ("hub", "i", "j", "member")]).combine_chunks()
         key = np.stack([t[c].to_numpy() for c in ("hub", "i", "j")])
-        asks, member, n, label = (t[c].to_numpy(zero_copy_only=False) for c in ("asks", "member", "n", "label"))
-        differ = [np.frombuffer(d, np.uint64) for d in t["differ"].to_pylist()]
+        hub, member, n, label, asks, holds = (t[c].to_numpy(zero_copy_only=False) for c in ("hub", "member", "n", "label", "asks", "holds"))
+        text = t["text"].chunk(0) if t["text"].num_chunks else pa.array([], pa.string())
         cuts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if len(member) else []
         links: dict[tuple[int, int], tuple[int, int]] = {}
         for start, stop in zip(cuts, [*cuts[1:], len(member)], strict=True):
-            first = start + int(np.searchsorted(asks[start:stop], True))
-            if first in (start, stop):
+            centre = [k for k in range(start, stop) if member[k] == hub[k]]
+            if not centre:
+                continue
+            base = next(shingle_sets(text.slice(int(centre[0]), 1), shingle))
+            sets = shingle_sets(text.slice(int(start), int(stop - start)), shingle)
+            differ = [np.setxor1d(base, s, assume_unique=True) for s in sets]
+            x = np.array([k for k in range(start, stop) if holds[k]], np.int64)
+            if not len(x):
                 continue
-            sizes = np.array([len(d) for d in differ[start:first]])
-            elements, place = np.unique(np.concatenate(differ[start:first]), return_inverse=True)
-            owners = np.repeat(np.arange(first - start), sizes)[np.argsort(place, kind="stable")]
-            ends = np.cumsum(np.bincount(place, minlength=len(elements)))
-            for y in range(first, stop):
-                found = np.searchsorted(elements, differ[y])
-                found = found[(found < len(elements)) & (elements[np.minimum(found, len(elements) - 1)] == differ[y])] if len(elements) else []
-                lists = [owners[ends[f - 1] if f else 0 : ends[f]] for f in found]
-                both = np.bincount(np.concatenate(lists), minlength=first - start) if lists else np.zeros(first - start, np.int64)
-                most = (n[start:first] + n[y]) * (100 - percent) // (100 + percent)
-                linked = (sizes + len(differ[y]) - 2 * both <= most) & (label[start:first] != label[y])
-                for x in np.flatnonzero(linked):
-                    pair = (int(label[y]), int(label[start + x]))
-                    links.setdefault((min(pair), max(pair)), (int(member[y]), int(member[start + x])))
+            sizes = np.array([len(differ[k - start]) for k in x])
+            elements, place = np.unique(np.concatenate([differ[k - start] for k in x]), return_inverse=True)
+            owners = np.repeat(np.arange(len(x)), sizes)[np.argsort(place, kind="stable")]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(elements)))])
+            for y in (k for k in range(start, stop) if asks[k]):
+                own = differ[y - start]
+                found = np.searchsorted(elements, own)
+                found = found[(found < len(elements)) & (elements[np.minimum(found, len(elements) - 1)] == own)] if len(elements) else []
+                lists = [owners[ends[f] : ends[f + 1]] for f in found]
+                both = np.bincount(np.concatenate(lists), minlength=len(x)) if lists else np.zeros(len(x), np.int64)
+                most = (n[x] + n[y]) * (100 - percent) // (100 + percent)
+                linked = (sizes + len(own) - 2 * both <= most) & (label[x] != label[y])
+                for k in x[linked]:
+                    pair = (int(label[y]), int(label[k]))
+                    links.setdefault((min(pair), max(pair)), (int(member[y]), int(member[k])))
         return pa.table({"a": pa.array([v[0] for v in links.values()], pa.int64()), "b": pa.array([v[1] for v in links.values()], pa.int64())})
 
     return run

@@ -48,6 +48,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -299,17 +300,29 @@ def _meeting(t: pa.Table) -> pa.Table:
 
 
 def _kept_texts(n: int):
-    """The rows (member, key, text) whose set has the digest ``key``: of a repeated doc_id the one that links."""
+    """The rows (member, key, text) whose set has the digest ``key``, packed: of a repeated doc_id the one that links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in portions(whole, "text")):
             sets = zip(shingle_sets(b["text"], n), b["key"].to_pylist(), strict=True)
             same = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key for s, key in sets], pa.bool_())
-            yield b.select(["member", "text"]).filter(same)
+            kept = b.filter(same)
+            packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in kept["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([kept["member"], pa.array(packed, pa.binary())], ["member", "packed"])
 
     return run
 
 
+def _packed_sets(column: pa.Array | pa.ChunkedArray, n: int) -> list[np.ndarray]:
+    """The sets of packed texts; they are unpacked a few at a time."""
+    out: list[np.ndarray] = []
+    packed = column.to_pylist()
+    for at in range(0, len(packed), 256):
+        texts = [zlib.decompress(p).decode("utf-8", "surrogatepass") for p in packed[at : at + 256]]
+        out += shingle_sets(pa.array(texts, pa.string()), n)
+    return out
+
+
 def _packed_rows(ids: list[int], values: list[np.ndarray], parts: int) -> pa.RecordBatch:
     """64-bit values dealt to parts by their upper bits; a row has ids, how many values each has, and the lower 48 bits."""
     counts = [len(v) for v in values]
@@ -345,8 +358,8 @@ def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _elements(n: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in portions(whole, "text")):
-            yield _packed_rows(b["member"].to_pylist(), list(shingle_sets(b["text"], n)), parts)
+        for b in (part for whole in batches for part in portions(whole, "packed", 2 << 20)):
+            yield _packed_rows(b["member"].to_pylist(), _packed_sets(b["packed"], n), parts)
 
     return run
 
@@ -366,16 +379,15 @@ CHECKED = "hub long, member long, far long, linked boolean"
 
 
 def _joined(n: int, percent: int):
-    """The tree join of a bucket's rows (hub, salt, member, text); the hub's own row has member = hub."""
+    """The tree join of a bucket's rows (hub, salt, member, packed); the hub's own row has member = hub."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("hub", "ascending"), ("salt", "ascending"), ("member", "ascending")]).combine_chunks()
         hub, salt, member = (t[c].to_numpy() for c in ("hub", "salt", "member"))
-        text = t["text"].chunk(0) if t["text"].num_chunks else pa.array([], pa.string())
         cuts = np.flatnonzero((np.diff(hub, prepend=hub[0] - 1) != 0) | (np.diff(salt, prepend=salt[0] - 1) != 0)) if len(hub) else []
         found = []
         for i, j in zip(cuts, [*cuts[1:], len(hub)], strict=True):
-            sets = list(shingle_sets(text.slice(int(i), int(j - i)), n))
+            sets = _packed_sets(t["packed"].slice(int(i), int(j - i)), n)
             own = [k for k in range(j - i) if member[i + k] == hub[i] and len(sets[k])]
             others = [k for k in range(j - i) if member[i + k] != hub[i] and len(sets[k])]
             if not others:
@@ -401,12 +413,12 @@ def checked(pairs: DataFrame, texts: DataFrame, n: int, percent: int, hub_share:
     )
     buckets = max(parts_for(salted.count(), 2000), int(spark.conf.get("spark.sql.shuffle.partitions")))
     need = salted.unionByName(salted.select("hub", "salt", F.col("hub").alias("member")).distinct())
-    met = need.join(texts, "member").select("hub", "salt", "member", "text")
+    met = need.join(texts, "member").select("hub", "salt", "member", "packed")
     bucketed = met.withColumn("bucket", F.pmod(F.xxhash64("hub", "salt"), F.lit(buckets)))
     return bucketed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_joined(n, percent), CHECKED)
 
 
-def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512, part_values: int = 6_000_000, tile: int = 8192) -> DataFrame:
+def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512, part_values: int = 2_000_000, tile: int = 8192) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     facts = written(docs.mapInArrow(_described(n), "doc_id long, n_shingles long, key binary"), "join-facts")
@@ -418,7 +430,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512
     named = written(own.join(first, "key").select("doc_id", "n", "key", "rep"), "join-names")
 
     elements = facts.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = parts_for(elements * (100 - percent) / (100 + percent) * 5, part_values, 24)
+    parts = parts_for(elements * (100 - percent) / (100 + percent) * 5, part_values, 48)
     signed = docs.mapInArrow(_signed(n, percent, parts), SIGNED)
     met = signed.repartition(parts, "part").groupBy("part").applyInArrow(_meeting, MET)
     to_rep = named.select(F.col("doc_id").alias("member"), "rep")
@@ -428,7 +440,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512
     several = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("gid")
     meeting = classes.join(groups.join(several, "gid").select("member").distinct(), "member", "left_semi")
     texts = written(
-        docs.withColumnRenamed("doc_id", "member").join(meeting.select("member", "key"), "member").mapInArrow(_kept_texts(n), "member long, text string"),
+        docs.withColumnRenamed("doc_id", "member").join(meeting.select("member", "key"), "member").mapInArrow(_kept_texts(n), "member long, packed binary"),
         "join-texts",
     )
     stats = _weighed(texts, meeting.select("member", "n"), n, percent, part_values)
@@ -453,7 +465,7 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 def _weighed(texts: DataFrame, sizes: DataFrame, n: int, percent: int, part_values: int) -> DataFrame:
     """member, n, alone of the sets that can still link: enough of their elements occur in other sets that meet."""
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    parts = parts_for(total, part_values, 24)
+    parts = parts_for(total, part_values, 48)
     dealt = texts.mapInArrow(_elements(n, parts), SIGNED).repartition(parts, "part").groupBy("part")
     shared = dealt.applyInArrow(_shared_elements, "member long, shared long").groupBy("member").agg(F.sum("shared").alias("shared"))
     least = _needed(F.col("n"), F.ceil(F.col("n") * percent / 100 - 1e-9), percent)
@@ -519,15 +531,14 @@ def _tiles(shingle: int, percent: int):
         t = t.sort_by([(c, "ascending") for c in ("hub", "i", "j", "member")]).combine_chunks()
         key = np.stack([t[c].to_numpy() for c in ("hub", "i", "j")])
         hub, member, n, label, asks, holds = (t[c].to_numpy(zero_copy_only=False) for c in ("hub", "member", "n", "label", "asks", "holds"))
-        text = t["text"].chunk(0) if t["text"].num_chunks else pa.array([], pa.string())
         cuts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if len(member) else []
         links: dict[tuple[int, int], tuple[int, int]] = {}
         for start, stop in zip(cuts, [*cuts[1:], len(member)], strict=True):
             centre = [k for k in range(start, stop) if member[k] == hub[k]]
             if not centre:
                 continue
-            base = next(shingle_sets(text.slice(int(centre[0]), 1), shingle))
-            sets = shingle_sets(text.slice(int(start), int(stop - start)), shingle)
+            sets = _packed_sets(t["packed"].slice(int(start), int(stop - start)), shingle)
+            base = sets[centre[0] - start]
             differ = [np.setxor1d(base, s, assume_unique=True) for s in sets]
             x = np.array([k for k in range(start, stop) if holds[k]], np.int64)
             if not len(x):

@@ -136,7 +136,7 @@ def fit(
 class Scorer:
     """Scores texts with a model; scored words are remembered, up to ``remember`` of them."""
 
-    def __init__(self, model: Model, evidence: int = 25, remember: int = 400_000) -> None:
+    def __init__(self, model: Model, evidence: int = 25, remember: int = 100_000) -> None:
         self.model, self.evidence, self.remember = model, evidence, remember
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1 << 14, len(model.langs)))

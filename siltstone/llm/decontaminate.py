@@ -13,8 +13,9 @@ place is its place in the original UTF-8 text.
 
 What is broadcast is bounded: the items are cut into portions whose windows
 have at most ``automaton_bytes`` bytes, each portion has its own automaton and
-scan, and the scans' results meet by doc_id. Any number of items is thus
-searched whole; benchmarks of usual size make one portion and one scan.
+scan. Any number of items is thus searched whole; benchmarks of usual size make
+one portion and one scan. For several, the rows are numbered and written once
+and the scans' results meet by row, so that the results are those of one scan.
 
 Defined results: null or wordless texts have no words and no hits; an item
 without words has no window; repeated doc_id rows are each scanned and
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import written
+
 AUTOMATON_BYTES = 16 << 20
 
 #: Bytes to bytes: lower-casing of A-Z, spaces for ASCII that is neither letter nor digit.
@@ -37,16 +40,14 @@ _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
-FOUND = "doc_id long, n_words long, hit array<int>, items array<string>, spans array<struct<start:int,stop:int>>"
-_FOUND_ARROW = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("n_words", pa.int64()),
-        ("hit", pa.list_(pa.int32())),
-        ("items", pa.list_(pa.string())),
-        ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-    ]
-)
+#: What a scan finds in a row; runs are of consecutive hit words, by number and by bytes.
+_SCANNED = "n_words long, hit array<int>, items array<string>, runs array<struct<first:int,last:int,start:int,stop:int>>"
+_SCANNED_ARROW = [
+    ("n_words", pa.int64()),
+    ("hit", pa.list_(pa.int32())),
+    ("items", pa.list_(pa.string())),
+    ("runs", pa.list_(pa.struct([(c, pa.int32()) for c in ("first", "last", "start", "stop")]))),
+]
 
 
 def fold(text: str | None) -> bytes:
@@ -78,8 +79,8 @@ def portions(items: Iterable[tuple[str, str | None]], window: int, most: int) ->
         yield part
 
 
-def scanner(part: dict[str, tuple[int, set[str]]]) -> Callable[[str | None], tuple[int, list[int], list[str], list[tuple[int, int]]]]:
-    """A function from a text to its word count, the hit words' numbers, the items found and the hit byte spans."""
+def scanner(part: dict[str, tuple[int, set[str]]]) -> Callable[[str | None], tuple[int, list[int], list[str], list[tuple[int, int, int, int]]]]:
+    """A function from a text to its word count, the hit words' numbers, the items found and the runs of hit words."""
     import ahocorasick
 
     machine = ahocorasick.Automaton()
@@ -106,7 +107,7 @@ def scanner(part: dict[str, tuple[int, set[str]]]) -> Callable[[str | None], tup
             last = ends[stop]
             hit.update(range(last - n + 1, last + 1))
             items |= ids
-        spans: list[tuple[int, int]] = []
+        runs: list[tuple[int, int, int, int]] = []
         if hit:
             at, before = 0, -2
             for k, w in enumerate(words):
@@ -114,11 +115,11 @@ def scanner(part: dict[str, tuple[int, set[str]]]) -> Callable[[str | None], tup
                 at = start + len(w)
                 if k in hit:
                     if before == k - 1:
-                        spans[-1] = (spans[-1][0], at)
+                        runs[-1] = (runs[-1][0], k, runs[-1][2], at)
                     else:
-                        spans.append((start, at))
+                        runs.append((k, k, start, at))
                     before = k
-        return len(words), sorted(hit), sorted(items), spans
+        return len(words), sorted(hit), sorted(items), runs
 
     return scan
 
@@ -128,26 +129,30 @@ def scan_documents(
 ) -> DataFrame:
     """doc_id, n_words, hit (word numbers), items (ids as text, sorted) and spans (byte ranges of the original)."""
     context = docs.sparkSession.sparkContext
-    scans = [_scan_portion(docs, context.broadcast(p)) for p in _portions_of(benchmark, window, automaton_bytes)]
-    if len(scans) < 2:
-        return scans[0] if scans else _scan_portion(docs, context.broadcast({}))
-    # Several portions: every document was scanned once for each; rows that repeat a doc_id merge.
+    shared = [context.broadcast(p) for p in _portions_of(benchmark, window, automaton_bytes)]
+    if len(shared) < 2:
+        return _with_spans(_scan_portion(docs, shared[0] if shared else context.broadcast({}), "doc_id"))
+    # Several portions: every row is scanned once for each; what they find meets by the row's number, not its doc_id.
+    rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "decontaminate-rows")
+    found = reduce(DataFrame.unionByName, (_scan_portion(rows, s, "row", "doc_id") for s in shared))
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    found = reduce(DataFrame.unionByName, scans)
-    met = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *map(merged, ("hit", "items", "spans")))
-    none = F.lit(None).cast("array<struct<start:int,stop:int>>")
-    return met.withColumn("spans", F.coalesce(F.aggregate("spans", none, _with_span), F.array().cast("array<struct<start:int,stop:int>>")))
-
-
-def _with_span(spans: Column, span: Column) -> Column:
-    """Spans in order, one more behind them; it grows the last one where they overlap."""
-    last = F.element_at(spans, -1)
-    grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))
-    return (
-        F.when(spans.isNull(), F.array(span))
-        .when(span["start"] <= last["stop"], F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(grown)))
-        .otherwise(F.array_append(spans, span))
-    )
+    met = found.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), *map(merged, ("hit", "items", "runs")))
+    none = F.array().cast("array<struct<first:int,last:int,start:int,stop:int>>")
+    return _with_spans(met.withColumn("runs", F.aggregate("runs", none, _with_run)))
+
+
+def _with_spans(scanned: DataFrame) -> DataFrame:
+    span = lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"))
+    return scanned.select("doc_id", "n_words", "hit", "items", F.transform("runs", span).alias("spans"))
+
+
+def _with_run(runs: Column, run: Column) -> Column:
+    """Runs in order, one more behind them; it grows the last one where they overlap or are neighbours."""
+    last = F.get(runs, F.size(runs) - 1)
+    longer = lambda c: F.greatest(last[c], run[c]).alias(c)
+    grown = F.struct(last["first"].alias("first"), longer("last"), last["start"].alias("start"), longer("stop"))
+    joins = run["first"] <= last["last"] + 1
+    return F.when(joins, F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(grown))).otherwise(F.array_append(runs, run))
 
 
 def _portions_of(benchmark: DataFrame, window: int, most: int) -> Iterator[dict[str, tuple[int, set[str]]]]:
@@ -156,23 +161,27 @@ def _portions_of(benchmark: DataFrame, window: int, most: int) -> Iterator[dict[
     return portions(named.orderBy("item_id", "text").toLocalIterator(), window, most)
 
 
-def _scan_portion(docs: DataFrame, shared) -> DataFrame:
+def _scan_portion(docs: DataFrame, shared, *keys: str) -> DataFrame:
+    """The keys (64-bit numbers) of each row and what one portion's scan finds in its text."""
+    schema = pa.schema([*((k, pa.int64()) for k in keys), *_SCANNED_ARROW])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(shared.value)
         for b in batches:
             out = [scan(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": b["doc_id"],
+                    **{k: b[k] for k in keys},
                     "n_words": [x[0] for x in out],
                     "hit": [x[1] for x in out],
                     "items": [x[2] for x in out],
-                    "spans": [[{"start": s, "stop": e} for s, e in x[3]] for x in out],
+                    "runs": [[dict(zip(("first", "last", "start", "stop"), r, strict=True)) for r in x[3]] for x in out],
                 },
-                schema=_FOUND_ARROW,
+                schema=schema,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    names = ", ".join(f"{k} long" for k in keys)
+    return docs.select(*keys, "text").mapInArrow(run, f"{names}, {_SCANNED}")
 
 
 def contamination(found: DataFrame) -> DataFrame:

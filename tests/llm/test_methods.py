@@ -274,6 +274,17 @@ def test_windows_equal_brute_force(spark):
             assert len(decontaminate.fold(spanned.decode()).split()) == len(hit)
 
 
+def test_portions_keep_rows_that_repeat_a_doc_id(spark):
+    texts = ["x a b c y d e f", "d e f", "nothing here", "a b c d e f", ""]
+    rows = [(key, t) for key in (1, 1, 2, None) for t in texts]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "item_id long, text string")
+    one, several = (
+        sorted(map(repr, decontaminate.scan_documents(frame, asked, window=3, automaton_bytes=most).collect())) for most in (1 << 20, 1)
+    )
+    assert len(one) == len(rows) and several == one
+
+
 # toxicity
 
 

@@ -1,13 +1,15 @@
-"""License scans: winnowed fingerprints find candidates, banded alignment decides.
+"""License scans: winnowed fingerprints find candidates, alignment decides.
 
 Templates and texts are folded to lower-case runs of letters and digits. Every
 run of ``gram`` words of a template is hashed; of each ``window`` consecutive
 hashes the least is kept (winnowing), and an inverted index leads from a kept
-hash to the templates and places that have it. Texts are winnowed alike, so
-any ``gram + window - 1`` words in common share a fingerprint. Hits near one
-diagonal make a candidate, and an alignment banded around that diagonal
-(match 2, other -1) tells which template words the text has: the matched
-coverage and the span of the text, in bytes of its UTF-8 form.
+hash to the templates that have it. Texts are winnowed alike, so
+any ``gram + window - 1`` words in common share a fingerprint. Hits of one
+template make stretches of text, and a local alignment of the template with a
+stretch (match 2, other -1) tells which template words the text has: the
+matched coverage and the span of the text, in bytes of its UTF-8 form. A gap
+costs at most ``band`` however long it is, so pieces on different diagonals
+count together; words of the text up to the template's length are such a gap.
 
 Words that no template has can't be in a fingerprint that matters; they share
 one number. The index is as large as the templates and travels with the job;
@@ -114,11 +116,11 @@ class LicenseIndex:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.ids = [np.array([self.vocabulary[w] for w in words], np.int64) for words in self.words]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: dict[int, set[int]] = defaultdict(set)
         for t, ids in enumerate(self.ids):
             grams = self.grams(ids)
             for place in winnow(grams, window):
-                self.postings[int(grams[place])].append((t, int(place)))
+                self.postings[int(grams[place])].add(t)
         self.keys = np.array(sorted(self.postings), np.int64)
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
@@ -132,8 +134,8 @@ class LicenseIndex:
             known &= ids[j : j + n] > 0
         return np.where(known, out, 0)
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Template, place in it, place in the text: of the text's kept fingerprints that the index has."""
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Template and place in the text: of the text's kept fingerprints that the index has."""
         grams = self.grams(ids)
         if not grams.any():
             return
@@ -142,8 +144,8 @@ class LicenseIndex:
         found = np.searchsorted(self.keys, grams[kept])
         for i, place in zip(found, kept, strict=True):
             if i < len(self.keys) and self.keys[i] == grams[place]:
-                for t, at in self.postings[int(grams[place])]:
-                    yield t, at, int(place)
+                for t in self.postings[int(grams[place])]:
+                    yield t, int(place)
 
     def scan(self, text: str | None, least: float, band: int) -> list[tuple[str, float, int, int, list[tuple[int, int]]]]:
         """License, coverage, matched words, template words and byte spans, best template of each name."""
@@ -151,17 +153,13 @@ class LicenseIndex:
         words = folded.split()
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        by: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, at, place in self.hits(ids):
-            by[t].append((place - at, place))
+        by: dict[int, list[int]] = defaultdict(list)
+        for t, place in self.hits(ids):
+            by[t].append(place)
         best: dict[str, tuple[float, int, int, list[tuple[int, int]]]] = {}
         for t, found in by.items():
-            spans, most = [], 0
-            for diagonal in _diagonals(found, band):
-                matched, first, last = align(self.ids[t], ids, diagonal, band)
-                if matched >= least * len(self.ids[t]):
-                    most = max(most, matched)
-                    spans.append((first, last))
+            pieces = [m for a, b in _stretches(found, len(self.ids[t]), len(ids)) for m in matches(self.ids[t], ids, a, b, least, band)]
+            spans, most = [(first, last) for _, first, last in pieces], max((m for m, _, _ in pieces), default=0)
             if spans:
                 one = (most / len(self.ids[t]), most, len(self.ids[t]), spans)
                 if self.names[t] not in best or one[:2] > best[self.names[t]][:2]:
@@ -185,40 +183,84 @@ class LicenseIndex:
         return out
 
 
-def _diagonals(found: list[tuple[int, int]], band: int) -> list[int]:
-    """One diagonal for each cluster of hits: those that a band around the first doesn't reach start another."""
-    out: list[int] = []
-    for diagonal, _ in sorted(found):
-        if not out or diagonal > out[-1] + band:
-            out.append(diagonal)
+def _stretches(places: list[int], n: int, words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the text, apart from each other, with two lengths of the template around the hits."""
+    start = before = None
+    for place in sorted(places):
+        if before is None or place > before + 4 * n:
+            if before is not None:
+                yield max(0, start - 2 * n), before + 2 * n
+            start = place
+        before = place
+    if before is not None:
+        yield max(0, start - 2 * n), min(words, before + 2 * n)
+
+
+def matches(template: np.ndarray, text: np.ndarray, start: int, stop: int, least: float, band: int) -> list[tuple[int, int, int]]:
+    """Matched words, first and last text word of the matches in a range: the best ones that don't overlap, then those between."""
+    out, waiting, need = [], [(start, stop)], least * len(template)
+    times = np.bincount(template)
+    while waiting:
+        start, stop = waiting.pop()
+        part = text[start:stop]
+        # no alignment matches more words than both have
+        if np.minimum(np.bincount(part[part < len(times)], minlength=len(times)), times).sum() < need:
+            continue
+        ends = align(template, part, band)
+        count = (ends >> _FIRST_BITS) & ((1 << _COUNT_BITS) - 1)
+        good = np.flatnonzero((count >= need) & (count > 0))
+        used, taken = np.zeros(len(part), bool), []
+        for last in good[np.argsort(-ends[good], kind="stable")].tolist():
+            first = int(ends[last]) & ((1 << _FIRST_BITS) - 1)
+            if not used[first : last + 1].any():
+                used[first : last + 1] = True
+                taken.append((int(count[last]), start + first, start + last))
+        taken.sort(key=lambda m: m[1])
+        if taken:
+            out += taken
+            waiting += zip([start, *(m[2] + 1 for m in taken)], [*(m[1] for m in taken), stop], strict=True)
     return out
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Local alignment within ``band`` of a diagonal: matched words, and the first and last text word of the best path."""
-    width = 2 * band + 1
-    score = np.zeros(width + 1, np.int64)  # the last cell is a wall
-    # matched words and first text word of the path that ends in a cell
-    count, first = np.zeros(width + 1, np.int64), np.full(width + 1, -1)
-    best = (0, 0, -1, -1)
-    for i, word in enumerate(template.tolist()):
-        new, new_count, new_first = np.zeros_like(score), np.zeros_like(count), np.full_like(first, -1)
-        for b in range(width):
-            j = diagonal + i - band + b
-            if not 0 <= j < len(text):
-                continue
-            same = bool(text[j] == word)
-            options = [(score[b] + (2 if same else -1), count[b] + same, first[b])]
-            options.append((score[b + 1] - 1, count[b + 1], first[b + 1]) if b + 1 < width else (0, 0, -1))
-            options.append((new[b - 1] - 1, new_count[b - 1], new_first[b - 1]) if b else (0, 0, -1))
-            top = max(options, key=lambda o: (o[0], o[1]))
-            if top[0] > 0:
-                new[b], new_count[b] = top[0], top[1]
-                new_first[b] = top[2] if top[2] >= 0 else j
-                if same and (top[0], top[1]) > best[:2]:
-                    best = (int(top[0]), int(top[1]), int(new_first[b]), j)
-        score, count, first = new, new_count, new_first
-    return best[1], best[2], best[3]
+#: A path is one number: its score, below it its matched words, below them its first text word (the later the better).
+_COUNT_BITS, _FIRST_BITS = 16, 28
+_ONE = 1 << (_COUNT_BITS + _FIRST_BITS)
+
+
+def align(template: np.ndarray, text: np.ndarray, band: int) -> np.ndarray:
+    """For each text word the best path of a local alignment that ends in a match of it, or 0.
+
+    A match scores 2, a replaced word -1, a gap in either -1 a word, but -``band`` at most; a gap in the text
+    is no longer than the template.
+    """
+    n = len(text)
+    fresh = np.arange(n, dtype=np.int64)
+    ahead = lambda paths, k: np.concatenate([np.zeros(min(k, n), np.int64), paths[: max(0, n - k)]])
+    paths, ever, ends = (np.zeros(n, np.int64) for _ in range(3))
+    for word in template.tolist():
+        same, before = text == word, ahead(paths, 1)
+        matched = np.where(same, np.maximum(before, fresh) + (2 * _ONE + (1 << _FIRST_BITS)), 0)
+        ends = np.maximum(ends, matched)
+        here = np.maximum(np.maximum(matched, np.where(same, 0, before - _ONE)), np.maximum(paths - _ONE, ever - band * _ONE))
+        here[here < _ONE] = 0
+        skipped = _most_before(here, len(template)) - band * _ONE
+        for k in range(1, band):
+            skipped = np.maximum(skipped, ahead(here, k) - k * _ONE)
+        paths = np.maximum(here, skipped)
+        paths[paths < _ONE] = 0
+        ever = np.maximum(ever, paths)
+    return ends
+
+
+def _most_before(values: np.ndarray, width: int) -> np.ndarray:
+    """For each place the most of the ``width`` values before it (0 if there are none), from block-wise running maxima."""
+    blocks = -(-len(values) // width) + 1
+    padded = np.zeros(blocks * width + width, np.int64)
+    padded[width : width + len(values)] = values
+    grid = padded.reshape(-1, width)
+    up = np.maximum.accumulate(grid, axis=1).ravel()
+    down = np.maximum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.maximum(down[: len(values)], up[width - 1 : width - 1 + len(values)])
 
 
 def scan_licenses(

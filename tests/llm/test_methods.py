@@ -61,6 +61,29 @@ def test_licenses_are_found_edited_and_whole(spark):
     assert texts[0][span["start"] : span["stop"]] == mit.rstrip(".")
 
 
+def test_licenses_in_pieces_are_found(spark):
+    n, mit = 17, dict(licenses.TEMPLATES[2:3])["MIT"].split()
+    isc = dict(licenses.TEMPLATES)["ISC"].split()
+    other = [f"w{i}" for i in range(40)]
+    texts = [
+        mit[:45] + mit[51:],
+        mit[:45] + other[:7] + mit[45:],
+        mit[:30] + other[:30] + mit[30:60] + other[:9] + mit[60:],
+        isc[:n] + other[:20] + isc[n:],
+        mit + other[:3] + mit[:45] + other[:12] + mit[45:],
+        mit[:45] + other * 10 + mit[45:],
+    ]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    assert {i: r["license"] for i, r in rows.items()} == {0: "MIT", 1: "MIT", 2: "MIT", 3: "ISC", 4: "MIT"}
+    assert 0.9 < rows[0]["coverage"] < 1 and all(rows[i]["coverage"] == 1 for i in (1, 2, 3, 4))
+    assert [len(rows[i]["spans"]) for i in range(5)] == [1, 1, 1, 1, 2]
+    for i in range(4):
+        text = " ".join(texts[i])
+        assert [tuple(x) for x in rows[i]["spans"]] == [(0, len(text) - 1)]
+
+
+
 # mixing
 
 

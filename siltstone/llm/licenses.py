@@ -16,9 +16,10 @@ one number. The index is as large as the templates and travels with the job;
 texts stay where they are, so there is no shuffle.
 
 Defined results: null and wordless texts match nothing; a text may match many
-templates and one template many times, each a span; of several templates with
-one name the best coverage counts; a span inside that of a license with more
-matched words is left to that license; repeated rows are each reported; empty
+templates and one template many times, each a span; a license has the
+spans of all templates of its name, and the counts and coverage of the span with
+the most matched words (then the best coverage); a span inside one with more
+matched words is left to that one; repeated rows are each reported; empty
 tables give an empty result; extra columns are ignored.
 """
 
@@ -148,7 +149,7 @@ class LicenseIndex:
                     yield t, int(place)
 
     def scan(self, text: str | None, least: float, band: int) -> list[tuple[str, float, int, int, list[tuple[int, int]]]]:
-        """License, coverage, matched words, template words and byte spans, best template of each name."""
+        """License, coverage, matched words, template words (all three of the span with the most) and byte spans."""
         folded = fold(text)
         words = folded.split()
         get = self.vocabulary.get
@@ -156,30 +157,28 @@ class LicenseIndex:
         by: dict[int, list[int]] = defaultdict(list)
         for t, place in self.hits(ids):
             by[t].append(place)
-        best: dict[str, tuple[float, int, int, list[tuple[int, int]]]] = {}
+        every: list[tuple[int, int, int, int]] = []  # matched words, template, first and last text word
         for t, found in by.items():
-            pieces = [m for a, b in _stretches(found, len(self.ids[t]), len(ids)) for m in matches(self.ids[t], ids, a, b, least, band)]
-            spans, most = [(first, last) for _, first, last in pieces], max((m for m, _, _ in pieces), default=0)
-            if spans:
-                one = (most / len(self.ids[t]), most, len(self.ids[t]), spans)
-                if self.names[t] not in best or one[:2] > best[self.names[t]][:2]:
-                    best[self.names[t]] = one
-        if not best:
+            for a, b in _stretches(found, len(self.ids[t]), len(ids)):
+                every += [(m, t, first, last) for m, first, last in matches(self.ids[t], ids, a, b, least, band)]
+        if not every:
             return []
         starts, at = [], 0
         for w in words:
             at = folded.index(w, at)
             starts.append(at)
             at += len(w)
-        # A span that lies in the span of a license with more matched words is that license's, read too generously.
-        inside = lambda s, m: any(
-            o[1] > m and any(t[0] <= s[0] and s[1] <= t[1] for t in o[3]) for o in best.values()
-        )
+        # A span that lies in a span with more matched words is that one's, read too generously.
+        inside = lambda m, first, last: any(o > m and a <= first and last <= b for o, _, a, b in every)
+        own: dict[str, list[tuple[int, int, int, int]]] = defaultdict(list)
+        for m, t, first, last in every:
+            if not inside(m, first, last):
+                own[self.names[t]].append((m, t, first, last))
         out = []
-        for name, (coverage, m, n, spans) in sorted(best.items()):
-            own = {s for s in spans if not inside(s, m)}
-            if own:
-                out.append((name, coverage, m, n, sorted((starts[a], starts[b] + len(words[b])) for a, b in own)))
+        for name, spans in sorted(own.items()):
+            m, t = max(((m, t) for m, t, _, _ in spans), key=lambda x: (x[0], -len(self.ids[x[1]])))
+            places = sorted({(starts[a], starts[b] + len(words[b])) for _, _, a, b in spans})
+            out.append((name, m / len(self.ids[t]), m, len(self.ids[t]), places))
         return out
 
 

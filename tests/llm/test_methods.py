@@ -84,6 +84,23 @@ def test_licenses_in_pieces_are_found(spark):
 
 
 
+def test_all_templates_of_a_license_have_spans(spark):
+    mit, (_, header) = dict(licenses.TEMPLATES[2:3])["MIT"], licenses.TEMPLATES[4]
+    line, edited = "Released under the MIT License.", mit.replace("merge, ", "").replace("sublicense, ", "")
+    secure = header.replace("http:", "https:")
+    docs = spark.createDataFrame([(0, secure), (1, f"{line} Some prose goes between. {edited}"), (2, f"{mit} {mit} {line}")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    texts = {i: [secure] if i == 0 else [line, edited] if i == 1 else [mit, mit, line] for i in range(3)}
+    for r in docs.collect():
+        found = [r["text"][a:b] for a, b in rows[r["doc_id"]]["spans"]]
+        assert found == [t.rstrip(".") for t in texts[r["doc_id"]]]
+    n = len(licenses.fold(header).split())
+    assert (rows[0]["license"], rows[0]["matched_words"], rows[0]["template_words"]) == ("Apache-2.0", n - 1, n)
+    n = len(licenses.fold(mit).split())
+    assert [(rows[i]["license"], rows[i]["matched_words"], rows[i]["template_words"]) for i in (1, 2)] == [("MIT", n - 2, n), ("MIT", n, n)]
+
+
+
 # mixing
 
 

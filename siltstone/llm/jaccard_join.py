@@ -242,6 +242,14 @@ class Trie:
             waiting += [(self._build(*c), overlap) for c in children]
 
 
+#: Hex digits of a set's digest that name it where signatures meet; classes that share a name meet, and are then compared.
+_NAME_DIGITS = 15
+
+
+def _name_of(key: Column) -> Column:
+    return F.conv(F.substring(F.hex(key), 1, _NAME_DIGITS), 16, 10).cast("long")
+
+
 def _described(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,7 +264,7 @@ def _described(n: int):
 
 
 def _signed(n: int, percent: int, parts: int):
-    """Packed signatures by part: doc ids, how many signatures each has, their lower 48 bits."""
+    """Packed signatures by part: the sets' names, how many signatures each has, their lower 48 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = Classes(percent), set()
@@ -264,13 +272,13 @@ def _signed(n: int, percent: int, parts: int):
             ids, said = [], []
             for doc_id, s in zip(b["doc_id"].to_pylist(), shingle_sets(b["text"], n), strict=True):
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                # equal sets are one class: the first that a task meets speaks for the others it holds
+                # equal sets are one class and speak under its name, whichever row a task meets first
                 if not len(s) or doc_id is None or key in seen:
                     continue
                 seen.add(key)
                 k = classes.of(len(s))
                 own = np.concatenate([signatures(s, classes.level(k)), signatures(s, classes.level(k + 1))])
-                ids.append(doc_id)
+                ids.append(int(key.hex()[:_NAME_DIGITS], 16))
                 said.append(own)
             if not ids:
                 continue
@@ -433,7 +441,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512
     parts = parts_for(elements * (100 - percent) / (100 + percent) * 5, part_values, 48)
     signed = docs.mapInArrow(_signed(n, percent, parts), SIGNED)
     met = signed.repartition(parts, "part").groupBy("part").applyInArrow(_meeting, MET)
-    to_rep = named.select(F.col("doc_id").alias("member"), "rep")
+    # a set that represents no doc_id has no name here: what it said goes
+    to_rep = first.select(_name_of(F.col("key")).alias("member"), "rep")
     groups = written(met.join(to_rep, "member").select("gid", F.col("rep").alias("member")).distinct(), "join-groups")
 
     classes = named.where("doc_id = rep").select(F.col("doc_id").alias("member"), "n", "key")

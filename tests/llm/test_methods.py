@@ -250,6 +250,16 @@ def test_components_equal_brute_force(spark, n, percent, size):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute_components(docs, n, percent)
 
 
+def test_a_repeated_doc_id_speaks_for_no_other_set(spark):
+    words = [f"w{i}" for i in range(60)]
+    b, near, larger = words[:40], [*words[:39], "other"], [f"v{i}" for i in range(50)]
+    rows = [(5, b), (7, b), (5, larger), (8, near), (9, larger), (None, near)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in order], "doc_id long, text string").coalesce(1)
+        found = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar(docs, n=3, percent=90).collect()}
+        assert found == {5: 5, 7: 7, 8: 7, 9: 5, None: None}
+
+
 def test_shingles_don_t_depend_on_batches():
     texts = ["a b c d", None, "", "one", "A\tB\nC d", "x" * 50 + " y z", "b c"] * 9
     column = pa.array(texts)

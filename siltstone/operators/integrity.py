@@ -49,6 +49,12 @@ def within(parts: DataFrame, owner: str, size: str, rule: str) -> DataFrame:
     return finding(per.where("total > size OR end > size"), rule, F.col(owner), F.concat_ws("/", "total", "end", "size"))
 
 
+def versions(slots: DataFrame, key: str, version: str, oldest: int, newest: int) -> DataFrame:
+    """Valid slots of a format that is too old to read, or newer than this code."""
+    legacy = where(slots, "LegacyFormatVersion", F.col(version) < oldest, key, F.col(version))
+    return legacy.unionByName(where(slots, "UnsupportedFormatVersion", F.col(version) > newest, key, F.col(version)))
+
+
 def gaps(records: DataFrame, rule: str) -> DataFrame:
     """Stretches of a segment that no record covers."""
     end = F.lag(F.col("offset") + F.col("record_len")).over(Window.partitionBy("segment_id").orderBy("offset"))

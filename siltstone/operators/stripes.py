@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.codecs import rs_decode, rs_encode
+from siltstone.functions.codecs import coding_rows, gf_apply, rs_decode, rs_encode
 
 SHARDS = "segment_id long, shard_index int, logical_len long, body_hash string, shard_hash string, bytes binary"
 
@@ -50,6 +51,34 @@ def reconstructed(shards: DataFrame, k: int, m: int) -> DataFrame:
     return shards.groupBy("segment_id").applyInArrow(run, "segment_id long, good int, ok boolean, body_bytes long")
 
 
+def inconsistent(shards: DataFrame, k: int, m: int, page: int = 4096) -> DataFrame:
+    """(rule, key, detail) of stripes whose shards contradict each other: descriptor, parity or body.
+
+    The shard with the least number gives the descriptor; shards that say another are named and left aside. The
+    others that verify are encoded again where there are at least k; fewer are for other rules.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: (r["shard_index"], r["body_hash"], r["logical_len"]))
+        body_hash, length = rows[0]["body_hash"], rows[0]["logical_len"]
+        size, held, found = -(-(-(-length // k)) // page) * page, {}, []
+        for r in rows:
+            if (r["body_hash"], r["logical_len"]) != (body_hash, length):
+                found.append(f"shard {r['shard_index']} disagrees with its siblings")
+            elif r["bytes"] is not None and len(r["bytes"]) == size and hashlib.sha256(r["bytes"]).hexdigest() == r["shard_hash"]:
+                held[r["shard_index"]] = r["bytes"]
+        if len(held) >= k:
+            whole = rs_decode(held, k, m, size * k)
+            again = gf_apply(coding_rows(k, m), np.frombuffer(whole, np.uint8).reshape(k, size))
+            found += [f"parity shard {j} does not match the data shards" for j in range(k, k + m) if j in held and again[j].tobytes() != held[j]]
+            if hashlib.sha256(whole[:length]).hexdigest() != body_hash:
+                found.append("body does not have its hash")
+        rule, key = ["StripeInconsistent"] * len(found), [str(rows[0]["segment_id"])] * len(found)
+        return pa.table({c: pa.array(v, pa.string()) for c, v in (("rule", rule), ("key", key), ("detail", found))})
+
+    return shards.groupBy("segment_id").applyInArrow(run, "rule string, key string, detail string")
+
+
 def missing_shards(descriptors: DataFrame, present: DataFrame) -> DataFrame:
     """segment_id, shard_index, vdev_id: shards that a descriptor's device list names and nobody has."""
     named = descriptors.select("segment_id", F.posexplode("devices").alias("shard_index", "vdev_id"))

@@ -194,7 +194,8 @@ def discover_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT path, CASE WHEN count(*) OVER (PARTITION BY pool, vdev_id) > 1 THEN 'duplicate' WHEN generation < max(generation) OVER (PARTITION BY pool) THEN 'behind' END AS finding FROM m""")
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members that can't be trusted."""
-    return slots.membership(members(spark, sf_dir)).select("path", "finding")
+    labelled = members(spark, sf_dir).withColumns({"pool_uuid": F.md5(F.col("pool").cast("string")), "position": F.col("path")})
+    return slots.membership(labelled, slots.foreign()).select("path", "finding")
 
 
 @query(f"""WITH m AS ({_MEMBERS}), s AS (SELECT pool, unnest(range(0, 3)) AS v FROM (SELECT DISTINCT pool FROM m))

@@ -26,16 +26,27 @@ def discovered(candidates: DataFrame) -> DataFrame:
     return pools.withColumn("missing", F.array_except(slots, F.transform("members", lambda m: m.cast("int"))))
 
 
-def membership(members: DataFrame) -> DataFrame:
-    """members with ``finding``: duplicate slot, wrong count, or behind the newest generation; null when all is well."""
-    pool = Window.partitionBy("pool")
-    several = F.count(F.lit(1)).over(Window.partitionBy("pool", "vdev_id")) > 1
+def foreign(uuid: str = "pool_uuid", position: str = "position") -> Column:
+    """Whether a member's label names another pool than the label of its pool's first member."""
+    first = F.min_by(uuid, position).over(Window.partitionBy("pool"))
+    return ~F.col(uuid).eqNullSafe(first)
+
+
+def membership(members: DataFrame, foreign: Column | None = None) -> DataFrame:
+    """members with ``finding``: foreign, duplicate slot, wrong count, or behind the newest generation; null when all is well.
+
+    Nothing else that a foreign device says counts, for itself or for others.
+    """
+    members = members.withColumn("is_foreign", F.lit(False) if foreign is None else foreign)
+    pool = Window.partitionBy("pool", "is_foreign")
+    several = F.count(F.lit(1)).over(Window.partitionBy("pool", "is_foreign", "vdev_id")) > 1
     finding = (
-        F.when(several, "duplicate")
+        F.when(F.col("is_foreign"), "foreign")
+        .when(several, "duplicate")
         .when(F.col("vdev_count") != F.max("vdev_count").over(pool), "count")
         .when(F.col("generation") < F.max("generation").over(pool), "behind")
     )
-    return members.withColumn("finding", finding)
+    return members.withColumn("finding", finding).drop("is_foreign")
 
 
 def slot_health(members: DataFrame, count: Column) -> DataFrame:

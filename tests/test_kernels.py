@@ -10,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import addresses, chunker, codecs
-from siltstone.operators import delta, namespace, reach, replicas, store, stripes
-from siltstone.sources import records, tables, versions
+from siltstone.operators import delta, integrity, namespace, reach, replicas, store, stripes
+from siltstone.sources import records, slots, tables, versions
 
 
 @given(st.binary(max_size=20_000), st.sampled_from([(256, 64, 1024), (1024, 256, 4096)]))
@@ -251,3 +251,43 @@ def test_xattr_flags_and_limits(spark):
     )
     assert sorted(r["outcome"] for r in attributes.set_outcomes(current, sets).collect()) == ["exists", "missing", "ok", "too long"]
     assert {r["ino"]: r["xattrs"] for r in attributes.applied(current, sets).collect()} == {1: {"a": "1", "b": "3"}, 2: None}
+
+
+# integrity rules
+
+
+def test_stripes_that_contradict_each_other_are_found(spark):
+    draw = random.Random(5)
+    bodies = spark.createDataFrame([(i, draw.randbytes(9000 + i)) for i in range(5)], "segment_id long, body binary")
+    rows = [r.asDict() for r in stripes.encoded(bodies, 3, 2).collect()]
+    for r in rows:
+        at = (r["segment_id"], r["shard_index"])
+        if at in ((1, 4), (4, 0)):  # other bytes under a hash of their own
+            r["bytes"] = bytes([r["bytes"][0] ^ 1]) + bytes(r["bytes"][1:])
+            r["shard_hash"] = hashlib.sha256(r["bytes"]).hexdigest()
+        if at == (2, 3):
+            r["logical_len"] += 1
+        if at == (3, 1):  # damaged: another rule's
+            r["bytes"] = b"x"
+    frame = spark.createDataFrame([tuple(r[c] for c in ("segment_id", "shard_index", "logical_len", "body_hash", "shard_hash", "bytes")) for r in rows], stripes.SHARDS)
+    found = sorted((r["key"], r["detail"]) for r in stripes.inconsistent(frame, 3, 2).collect())
+    assert found == [
+        ("1", "parity shard 4 does not match the data shards"),
+        ("2", "shard 3 disagrees with its siblings"),
+        ("4", "body does not have its hash"),
+        ("4", "parity shard 3 does not match the data shards"),
+        ("4", "parity shard 4 does not match the data shards"),
+    ]
+
+
+def test_a_foreign_device_is_one_finding(spark):
+    rows = [(1, 0, "a", 0, 2, 5, "x"), (1, 1, "b", 1, 2, 5, "x"), (1, 2, "c", 1, 3, 9, "y"), (2, 0, "d", 0, 1, 1, "y")]
+    members = spark.createDataFrame(rows, "pool long, position int, path string, vdev_id int, vdev_count int, generation long, pool_uuid string")
+    found = {r["path"]: r["finding"] for r in slots.membership(members, slots.foreign()).collect()}
+    assert found == {"a": None, "b": None, "c": "foreign", "d": None}
+
+
+def test_format_versions_out_of_range(spark):
+    rows = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5), ("d", 6)], "slot string, format_version int")
+    found = integrity.versions(rows, "slot", "format_version", 4, 5).collect()
+    assert sorted(map(tuple, found)) == [("LegacyFormatVersion", "a", "3"), ("UnsupportedFormatVersion", "d", "6")]

@@ -4,7 +4,10 @@ Templates and texts are folded to lower-case runs of letters and digits. Every
 run of ``gram`` words of a template is hashed; of each ``window`` consecutive
 hashes the least is kept (winnowing), and an inverted index leads from a kept
 hash to the templates that have it. Texts are winnowed alike, so
-any ``gram + window - 1`` words in common share a fingerprint. Hits of one
+any ``gram + window - 1`` words in common share a fingerprint. Runs that no
+template has sort last, so they never take the place of one that counts. Of
+templates with less than ``short`` words every run is indexed and looked up: any
+``gram`` words in common are a hit. Hits of one
 template make stretches of text, and a local alignment of the template with a
 stretch (match 2, other -1) tells which template words the text has: the
 matched coverage and the span of the text, in bytes of its UTF-8 form. A gap
@@ -96,11 +99,13 @@ def fold(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
-def winnow(grams: np.ndarray, window: int) -> np.ndarray:
-    """Places of the kept grams: the first least hash of each window; all of one window if there are fewer."""
+def winnow(grams: np.ndarray, window: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Places of the kept grams: the first least hash of each window (of those ``known``, if there are any); all of one window if there are fewer."""
     if not len(grams):
         return np.zeros(0, np.int64)
     hashes = mix64(grams.astype(np.uint64))
+    if known is not None:
+        hashes = np.where(known, hashes, np.uint64(2**64 - 1))
     views = np.lib.stride_tricks.sliding_window_view(hashes, min(window, len(hashes)))
     return np.unique(views.argmin(axis=1) + np.arange(len(views)))
 
@@ -108,7 +113,7 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
 class LicenseIndex:
     """Templates, their vocabulary and the inverted index of their fingerprints."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES, gram: int = 3, window: int = 3) -> None:
+    def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES, gram: int = 3, window: int = 3, short: int = 20) -> None:
         self.gram, self.window = gram, window
         self.names = [name for name, _ in templates]
         self.words = [fold(text).split() for _, text in templates]
@@ -120,9 +125,10 @@ class LicenseIndex:
         self.postings: dict[int, set[int]] = defaultdict(set)
         for t, ids in enumerate(self.ids):
             grams = self.grams(ids)
-            for place in winnow(grams, window):
+            for place in winnow(grams, window if len(ids) >= short else 1):
                 self.postings[int(grams[place])].add(t)
         self.keys = np.array(sorted(self.postings), np.int64)
+        self.of_short = np.array([any(len(self.ids[t]) < short for t in self.postings[int(k)]) for k in self.keys], bool)
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """One exact number for each run of ``gram`` words; those with a word of no template are 0."""
@@ -140,13 +146,16 @@ class LicenseIndex:
         grams = self.grams(ids)
         if not grams.any():
             return
-        kept = winnow(grams, self.window)
-        kept = kept[grams[kept] > 0]
-        found = np.searchsorted(self.keys, grams[kept])
-        for i, place in zip(found, kept, strict=True):
-            if i < len(self.keys) and self.keys[i] == grams[place]:
-                for t in self.postings[int(grams[place])]:
-                    yield t, int(place)
+        if not len(self.keys):
+            return
+        found = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        known = self.keys[found] == grams
+        if not known.any():
+            return
+        kept = np.union1d(winnow(grams, self.window, known), np.flatnonzero(known & self.of_short[found]))
+        for place in kept[known[kept]]:
+            for t in self.postings[int(grams[place])]:
+                yield t, int(place)
 
     def scan(self, text: str | None, least: float, band: int) -> list[tuple[str, float, int, int, list[tuple[int, int]]]]:
         """License, coverage, matched words, template words (all three of the span with the most) and byte spans."""

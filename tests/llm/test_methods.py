@@ -101,6 +101,20 @@ def test_all_templates_of_a_license_have_spans(spark):
 
 
 
+def test_edited_lines_are_found_between_other_words(spark):
+    lines = {"Licensed under the Apache OSS License, Version 2.0": "Apache-2.0"}
+    lines |= {f"Licensed under CC {w} 4.0": "CC-BY-NC-4.0" for w in ("BX-NC",)}
+    words = ["Licensed", "under", "the", "Apache", "License", "Version", "2", "0"]
+    for i in range(1, len(words)):
+        lines[" ".join([*words[:i], "zq", *words[i:]])] = "Apache-2.0"
+    for k in range(30):
+        around = [" ".join(f"p{k}x{j}y{s}" for j in range(6)) for s in (0, 1)]
+        texts = [f"{around[0]} {line} {around[1]}" for line in lines]
+        index = licenses.LicenseIndex()
+        assert [[r[0] for r in index.scan(t, 0.8, 4)] for t in texts] == [[name] for name in lines.values()]
+
+
+
 # mixing
 
 

@@ -26,12 +26,27 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group that links at five words and 0.8."""
+    """Keeps the document with the smallest id of each group that links at five words and 0.8.
+
+    Where ids repeat or are missing each row is a document: rows are numbered and linked by number, and of a group
+    the row with the smallest id stays (then of the least hash of its text; rows without an id come last).
+    """
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return _drop_near_duplicate_rows(docs)
     classes = jaccard_join.similar(docs, n=5, percent=80)
     gone = classes.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _drop_near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    classes = jaccard_join.similar(rows.select(F.col("row").alias("doc_id"), "text"), n=5, percent=80)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "row").alias("o")
+    met = rows.select("row", order).join(classes.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    kept = met.groupBy("component_id").agg(F.min("o").alias("o")).select("o.row")
+    return rows.join(kept, "row", "left_semi").select(*docs.columns)
+
+
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every passage of 100 bytes or more that also starts earlier; n_chars follows."""
     return suffix_dedup.without_repeats(docs, length=100)

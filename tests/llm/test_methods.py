@@ -274,6 +274,19 @@ def test_a_repeated_doc_id_speaks_for_no_other_set(spark):
         assert found == {5: 5, 7: 7, 8: 7, 9: 5, None: None}
 
 
+def test_rows_that_repeat_a_doc_id_are_dropped_one_by_one(spark):
+    import corpus_pipeline
+
+    a, clean, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "abc")
+    near = a + " more"
+    rows = [(1, a), (1, a), (2, near), (2, clean), (3, b), (4, b), (None, b), (None, clean + " x y"), (5, "lone words that nobody else has")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, a), (2, clean), (3, b), (5, rows[-1][1])])
+    distinct = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], docs.schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, distinct, "").collect()) == [0, 3, 4, 8]
+
+
 def test_shingles_don_t_depend_on_batches():
     texts = ["a b c d", None, "", "one", "A\tB\nC d", "x" * 50 + " y z", "b c"] * 9
     column = pa.array(texts)

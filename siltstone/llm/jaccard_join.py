@@ -14,22 +14,24 @@ fewer than ``q`` elements say nothing as long as the others suffice (``m`` has
 room for that); a set with too many of them says all its ranges in a space of
 its own, where it meets its likes.
 
-The sets that meet are joined by tree: those that share a hub are stored in a
-trie of globally ordered elements (edges are runs), the hub's set is carried
-down once for all that share a prefix, and a subtree is left as soon as its
-overlap so far plus the most that the remaining lengths allow is too small.
+The sets that meet are joined by tree: globally ordered sets are stored in a
+trie (edges are runs) and a set is carried down it, level by level, with the
+overlap so far, which counts once for all sets that share a prefix. A subtree
+is left as soon as the remaining lengths allow no distance in it that matters,
+or if all of it is in the component of the set that is carried down.
 
 What meets is not yet paired. Elements that no other set that meets has are
 counted (``alone``): a set with too many of them links with nothing and goes.
-Within a group all members are joined with one hub, the set with the fewest
-elements alone, which settles a group of true copies in linear work. Members
-that missed the hub are compared with the others that met it by what they
-differ in from it: x and y differ exactly where their differences to the hub
-do, so these short sets are all that is needed. Elements alone count on both
-ways, d(x, y) >= d(y, hub) + 2 alone(x) - d(x, hub), and members that this
-excludes for all stay out. The comparison goes in tiles of at most ``tile``
-rows a side and gives one link a pair of components, never a pair of rows of
-one component; no link between different texts is lost.
+Within a group a trie of the members is probed with one hub, the set with the
+fewest elements alone, which settles a group of true copies in linear work and
+gives bounds of all distances d to it. Members that missed the hub are then
+joined with the others that met it, by what they differ in from it: x and y
+differ exactly where their differences to the hub do, so a trie of these short
+sets is all that is needed. Elements alone count on both ways, d(x, y) >= d(y,
+hub) + 2 alone(x) - d(x, hub), and members that this excludes for all stay out.
+Such a join goes in tiles of at most ``tile`` rows a side and gives one link a
+pair of components, never a pair of rows of one component; no link between
+different texts is lost.
 
 Scale: equal sets are one class, found by a digest that is summed up in the
 map tasks; signatures and elements travel packed (6 bytes each and the ids);
@@ -60,7 +62,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
 from siltstone.llm.kernels import flat_bytes, mix64, portions
-from siltstone.llm.shared import parts_for, written
+from siltstone.llm.shared import applied, mapped, parts_for, written
 
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
@@ -194,52 +196,109 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+@dataclass(frozen=True)
+class Reached:
+    """What a probe knows of the distance to each stored set: its bounds, which are equal where no subtree was left."""
+
+    low: np.ndarray
+    high: np.ndarray
+
+
 class Trie:
-    """Globally ordered sets as a tree of runs; each node knows the sizes below it."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
-        self.root = self._build(sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()), 0)
-
-    def _build(self, members: list[int], depth: int) -> tuple:
-        """(start, stop, a member whose run it is, members that end here, least size, greatest size, children)."""
-        first, last = self.sets[members[0]], self.sets[members[-1]]
-        # members are sorted, so what the first and the last share all share
-        m = min(len(first), len(last))
-        differ = np.flatnonzero(first[depth:m] != last[depth:m])
-        stop = depth + int(differ[0]) if len(differ) else m
-        sizes = [len(self.sets[i]) for i in members]
-        ends = [i for i in members if len(self.sets[i]) == stop]
-        rest = [i for i in members if len(self.sets[i]) > stop]
-        children, begin = [], 0
-        for j in range(1, len(rest) + 1):
-            if j == len(rest) or self.sets[rest[j]][stop] != self.sets[rest[begin]][stop]:
-                children.append((rest[begin:j], stop))
-                begin = j
-        return (depth, stop, members[0], ends, min(sizes), max(sizes), children)
-
-    def probe(self, tokens: np.ndarray, percent: int, run: int = 64) -> Iterator[tuple[int, int]]:
-        """Members that link with ``tokens``, and the overlap: nodes are built as they are reached."""
-        n = len(tokens)
-        waiting = [(self.root, 0)]
+    """Globally ordered sets as a tree of runs, level by level; each node knows the sizes and labels below it.
+
+    Sets are kept in the order of their elements, so that those below a node
+    are neighbours and those that end in it come first among them.
+    """
+
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray | None = None) -> None:
+        self.order = np.array(sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()), np.int64)
+        self.size = np.array([len(sets[i]) for i in self.order], np.int64)
+        self.label = None if labels is None else labels[self.order]
+        rows: list[tuple[int, int, int, int, int]] = []
+        runs: list[np.ndarray] = []
+        self.levels: list[tuple[int, int]] = []
+        waiting = [(0, len(sets), 0, -1)] if sets else []
         while waiting:
-            (depth, stop, owner, ends, least, greatest, children), overlap = waiting.pop()
-            need, edge = needed(n, least, percent), self.sets[owner]
-            alive = True
-            for at in range(depth, stop, run):
-                part = edge[at : min(at + run, stop)]
-                place = np.searchsorted(tokens, part)
-                overlap += int((tokens[np.minimum(place, n - 1)] == part).sum())
-                rest = n - int(np.searchsorted(tokens, part[-1], "right"))
-                if overlap + min(greatest - at - len(part), rest) < need:
-                    alive = False
-                    break
-            if not alive:
-                continue
-            for i in ends:
-                if 100 * overlap >= percent * (n + len(self.sets[i]) - overlap):
-                    yield i, overlap
-            waiting += [(self._build(*c), overlap) for c in children]
+            following = []
+            self.levels.append((len(rows), len(rows) + len(waiting)))
+            for lo, hi, depth, parent in waiting:
+                first, last = sets[self.order[lo]], sets[self.order[hi - 1]]
+                # in order, so what the first and the last share all share
+                m = min(len(first), len(last))
+                differ = np.flatnonzero(first[depth:m] != last[depth:m])
+                stop = depth + int(differ[0]) if len(differ) else m
+                begin = lo
+                while begin < hi and self.size[begin] == stop:
+                    begin += 1
+                rows.append((lo, hi, stop, parent, begin))
+                runs.append(first[depth:stop])
+                while begin < hi:
+                    head = sets[self.order[begin]][stop]
+                    end = begin + 1
+                    while end < hi and sets[self.order[end]][stop] == head:
+                        end += 1
+                    following.append((begin, end, stop, len(rows) - 1))
+                    begin = end
+            waiting = following
+        table = np.array(rows, np.int64).reshape(-1, 5)
+        self.lo, self.hi, self.stop, self.parent, self.ended = table.T
+        self.length = np.array([len(r) for r in runs], np.int64)
+        self.elements, self.flat = np.unique(np.concatenate([*runs, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.flat = self.flat.astype(np.int32)
+        self.at = np.cumsum(self.length) - self.length
+        self.last = np.array([r[-1] if len(r) else 0 for r in runs], np.uint64)
+        below = lambda f, of: np.array([f(of[i:j]) for i, j in zip(self.lo, self.hi, strict=True)], np.int64)
+        self.least, self.greatest = below(np.min, self.size), below(np.max, self.size)
+        if self.label is not None:
+            self.one_label = below(np.min, self.label) == below(np.max, self.label)
+
+    def probe(self, tokens: np.ndarray, reach: int, label: int | None = None) -> Reached:
+        """Distances of ``tokens`` to the stored sets, in the order they were given in.
+
+        The overlap of a run counts once for all sets below it. A subtree is
+        left as soon as the remaining lengths allow no distance up to
+        ``reach`` in it, or if all below has ``label``.
+        """
+        n = len(tokens)
+        found = np.searchsorted(self.elements, tokens)
+        found = found[(found < len(self.elements)) & (self.elements[np.minimum(found, len(self.elements) - 1)] == tokens)] if len(self.elements) else found[:0]
+        mine = np.zeros(len(self.elements), np.int8)
+        mine[found] = 1
+        overlap = np.zeros(len(self.lo), np.int64)
+        rest = np.full(len(self.lo), n, np.int64)
+        alive = np.zeros(len(self.lo) + 1, bool)
+        alive[-1] = True  # the root's parent
+        low, high = np.zeros(len(self.size), np.int64), n + self.size
+        for start, stop in self.levels:
+            here = start + np.flatnonzero(alive[self.parent[start:stop]])
+            if label is not None:
+                here = here[~(self.one_label[here] & (self.label[self.lo[here]] == label))]
+            if not len(here):
+                break
+            length = self.length[here]
+            if 2 * len(here) > stop - start:  # a level's runs are neighbours: all of them take less than picking some
+                edges = self.at[here] - self.at[start]
+                picked = self.flat[self.at[start] : self.at[stop - 1] + self.length[stop - 1]]
+            else:
+                edges = np.cumsum(length) - length
+                picked = self.flat[np.repeat(self.at[here] - edges, length) + np.arange(int(length.sum()))]
+            hits = np.concatenate([[0], np.cumsum(mine[picked], dtype=np.int32)])
+            parent = self.parent[here]
+            overlap[here] = np.where(parent >= 0, overlap[parent], 0) + hits[edges + length] - hits[edges]
+            rest[here] = np.where(length > 0, n - np.searchsorted(tokens, self.last[here], "right"), np.where(parent >= 0, rest[parent], n))
+            # the size below at which the distance can be least
+            size = np.clip(self.stop[here] + rest[here], self.least[here], self.greatest[here])
+            nearest = n + size - 2 * (overlap[here] + np.minimum(rest[here], size - self.stop[here]))
+            alive[here] = nearest <= reach
+            # what is known of all sets below; deeper nodes say it again and better
+            lo, count = self.lo[here], self.hi[here] - self.lo[here]
+            at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            node = np.repeat(here, count)
+            high[at] = n + self.size[at] - 2 * overlap[node]
+            low[at] = high[at] - 2 * np.minimum(rest[node], self.size[at] - self.stop[node])
+        back = np.argsort(self.order)
+        return Reached(low[back], high[back])
 
 
 #: Hex digits of a set's digest that name it where signatures meet; classes that share a name meet, and are then compared.
@@ -300,8 +359,12 @@ def _meeting(t: pa.Table) -> pa.Table:
     mixed = np.concatenate([[_U(0)], np.cumsum(mix64(who.astype(np.uint64)), dtype=np.uint64)])
     gid = (mixed[np.append(begin, len(said))[1:]] - mixed[begin]) if len(begin) else np.zeros(0, np.uint64)
     begin, size, gid = begin[size > 1], size[size > 1], gid[size > 1]
-    _, once = np.unique(gid, return_index=True)
-    begin, size, gid = begin[once], size[once], gid[once]
+    # a set of members is said once; other sets with the same number (of other size or least member) stay, and share its name
+    least = who[begin]
+    order = np.lexsort((least, size, gid))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (gid[order][1:] != gid[order][:-1]) | (size[order][1:] != size[order][:-1]) | (least[order][1:] != least[order][:-1])
+    begin, size, gid = begin[order][fresh], size[order][fresh], gid[order][fresh]
     group = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size) + begin[group]
     return pa.table({"gid": pa.array(gid[group].view(np.int64)), "member": pa.array(who[place])})
@@ -383,7 +446,7 @@ def _shared_elements(t: pa.Table) -> pa.Table:
     return pa.table({"member": pa.array(member), "shared": pa.array(count.astype(np.int64))})
 
 
-CHECKED = "hub long, member long, far long, linked boolean"
+CHECKED = "hub long, member long, low long, high long, linked boolean"
 
 
 def _joined(n: int, percent: int):
@@ -393,21 +456,20 @@ def _joined(n: int, percent: int):
         t = t.sort_by([("hub", "ascending"), ("salt", "ascending"), ("member", "ascending")]).combine_chunks()
         hub, salt, member = (t[c].to_numpy() for c in ("hub", "salt", "member"))
         cuts = np.flatnonzero((np.diff(hub, prepend=hub[0] - 1) != 0) | (np.diff(salt, prepend=salt[0] - 1) != 0)) if len(hub) else []
-        found = []
+        found: list[tuple[np.ndarray, ...]] = []
         for i, j in zip(cuts, [*cuts[1:], len(hub)], strict=True):
             sets = _packed_sets(t["packed"].slice(int(i), int(j - i)), n)
             own = [k for k in range(j - i) if member[i + k] == hub[i] and len(sets[k])]
-            others = [k for k in range(j - i) if member[i + k] != hub[i] and len(sets[k])]
-            if not others:
+            others = np.array([k for k in range(j - i) if member[i + k] != hub[i] and len(sets[k])], np.int64)
+            if not len(others) or not own:
                 continue
-            trie = Trie([sets[k] for k in others])
-            for h in own[:1]:
-                linked = {others[k] for k, _ in trie.probe(sets[h], percent)}
-                for k in others:
-                    far = len(np.setxor1d(sets[h], sets[k], assume_unique=True))
-                    found.append((int(hub[i]), int(member[i + k]), far, k in linked))
-        kinds = (("hub", pa.int64()), ("member", pa.int64()), ("far", pa.int64()), ("linked", pa.bool_()))
-        return pa.table({c: pa.array([f[x] for f in found], kind) for x, (c, kind) in enumerate(kinds)})
+            size = np.array([len(sets[k]) for k in others], np.int64)
+            most = (len(sets[own[0]]) + size) * (100 - percent) // (100 + percent)
+            # beyond twice the distance of linked sets nothing links with a set that links with the hub
+            near = Trie([sets[k] for k in others]).probe(sets[own[0]], 2 * int(most.max()))
+            found.append((np.full(len(others), hub[i]), member[i + others], near.low, near.high, near.high <= most))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
+        return pa.table(dict(zip(("hub", "member", "low", "high", "linked"), map(pa.array, columns), strict=True)))
 
     return run
 
@@ -423,13 +485,13 @@ def checked(pairs: DataFrame, texts: DataFrame, n: int, percent: int, hub_share:
     need = salted.unionByName(salted.select("hub", "salt", F.col("hub").alias("member")).distinct())
     met = need.join(texts, "member").select("hub", "salt", "member", "packed")
     bucketed = met.withColumn("bucket", F.pmod(F.xxhash64("hub", "salt"), F.lit(buckets)))
-    return bucketed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_joined(n, percent), CHECKED)
+    return applied(bucketed.repartition(buckets, "bucket").groupBy("bucket"), _joined(n, percent), CHECKED)
 
 
-def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512, part_values: int = 2_000_000, tile: int = 8192) -> DataFrame:
+def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512, part_values: int = 2_000_000, tile: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    facts = written(docs.mapInArrow(_described(n), "doc_id long, n_shingles long, key binary"), "join-facts")
+    facts = written(mapped(docs, _described(n), "doc_id long, n_shingles long, key binary"), "join-facts")
     # one set for a doc_id, one representative for a class of equal sets
     of_doc = facts.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "key")).alias("t"))
     own = of_doc.select("doc_id", F.col("t.n_shingles").alias("n"), "t.key")
@@ -439,8 +501,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512
 
     elements = facts.agg(F.sum("n_shingles")).first()[0] or 0
     parts = parts_for(elements * (100 - percent) / (100 + percent) * 5, part_values, 48)
-    signed = docs.mapInArrow(_signed(n, percent, parts), SIGNED)
-    met = signed.repartition(parts, "part").groupBy("part").applyInArrow(_meeting, MET)
+    signed = mapped(docs, _signed(n, percent, parts), SIGNED)
+    met = applied(signed.repartition(parts, "part").groupBy("part"), _meeting, MET)
     # a set that represents no doc_id has no name here: what it said goes
     to_rep = first.select(_name_of(F.col("key")).alias("member"), "rep")
     groups = written(met.join(to_rep, "member").select("gid", F.col("rep").alias("member")).distinct(), "join-groups")
@@ -449,13 +511,14 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, hub_share: int = 512
     several = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("gid")
     meeting = classes.join(groups.join(several, "gid").select("member").distinct(), "member", "left_semi")
     texts = written(
-        docs.withColumnRenamed("doc_id", "member").join(meeting.select("member", "key"), "member").mapInArrow(_kept_texts(n), "member long, packed binary"),
+        mapped(docs.withColumnRenamed("doc_id", "member").join(meeting.select("member", "key"), "member"), _kept_texts(n), "member long, packed binary"),
         "join-texts",
     )
     stats = _weighed(texts, meeting.select("member", "n"), n, percent, part_values)
     members = written(groups.join(stats, "member"), "join-members")
     hubs = members.groupBy("gid").agg(F.min(F.struct("alone", "member")).alias("h"), F.count(F.lit(1)).alias("size"))
-    hubs = hubs.where("size > 1").select("gid", F.col("h.member").alias("hub"))
+    # written, so that the join with them has exchanges on both sides and a large group can be split
+    hubs = written(hubs.where("size > 1").select("gid", F.col("h.member").alias("hub")), "join-hubs")
     pairs = members.join(hubs, "gid").where("member <> hub").select("hub", "member").distinct()
     seen = written(checked(pairs, texts, n, percent, hub_share), "join-seen")
     links = seen.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
@@ -475,8 +538,8 @@ def _weighed(texts: DataFrame, sizes: DataFrame, n: int, percent: int, part_valu
     """member, n, alone of the sets that can still link: enough of their elements occur in other sets that meet."""
     total = sizes.agg(F.sum("n")).first()[0] or 0
     parts = parts_for(total, part_values, 48)
-    dealt = texts.mapInArrow(_elements(n, parts), SIGNED).repartition(parts, "part").groupBy("part")
-    shared = dealt.applyInArrow(_shared_elements, "member long, shared long").groupBy("member").agg(F.sum("shared").alias("shared"))
+    dealt = mapped(texts, _elements(n, parts), SIGNED).repartition(parts, "part").groupBy("part")
+    shared = applied(dealt, _shared_elements, "member long, shared long").groupBy("member").agg(F.sum("shared").alias("shared"))
     least = _needed(F.col("n"), F.ceil(F.col("n") * percent / 100 - 1e-9), percent)
     met = sizes.join(shared, "member").where(F.col("shared") >= least)
     return written(met.select("member", "n", (F.col("n") - F.col("shared")).alias("alone")), "join-stats")
@@ -491,9 +554,9 @@ def _missed(stats: DataFrame, seen: DataFrame, labels: DataFrame, texts: DataFra
         seen.join(stats, "member")
         .join(label, "member", "left")
         .join(hub_label, "hub", "left")
-        .select("hub", "member", "n", "alone", "far", F.coalesce("label", "member").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+        .select("hub", "member", "n", "alone", "low", "high", F.coalesce("label", "member").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
         .withColumn("apart", F.col("label") != F.col("hub_label"))
-        .withColumn("gain", 2 * F.col("alone") - F.col("far"))
+        .withColumn("gain", 2 * F.col("alone") - F.col("high"))
     )
     at = written(at, "join-at")
     # What the bounds need of a hub's members: the least distance and gain of all and of those that missed it,
@@ -502,16 +565,16 @@ def _missed(stats: DataFrame, seen: DataFrame, labels: DataFrame, texts: DataFra
     edge = (
         at.groupBy("hub")
         .agg(
-            missed("far"),
+            missed("low"),
             missed("gain"),
-            F.min("far").alias("least_far"),
+            F.min("low").alias("least_low"),
             F.min("gain").alias("least_gain"),
             F.floor(2 * F.max("n") * (100 - percent) / (100 + percent)).alias("most"),
         )
-        .where("missed_far IS NOT NULL")
+        .where("missed_low IS NOT NULL")
     )
-    asks = F.expr("apart AND far + least_gain <= most AND least_far + gain <= most")
-    holds = F.expr("missed_far + gain <= most AND far + missed_gain <= most")
+    asks = F.expr("apart AND low + least_gain <= most AND least_low + gain <= most")
+    holds = F.expr("missed_low + gain <= most AND low + missed_gain <= most")
     near = at.join(edge, "hub").select("hub", "member", "n", "label", asks.alias("asks"), holds.alias("holds")).where("asks OR holds")
     sized = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"), F.max("asks").alias("asked")).where("asked").drop("asked")
     near = near.join(sized, "hub").withColumn("own", F.pmod(F.xxhash64("member"), F.col("tiles")))
@@ -526,14 +589,15 @@ def _missed(stats: DataFrame, seen: DataFrame, labels: DataFrame, texts: DataFra
     need = rows.unionByName(hubs.withColumn("asks", no).withColumn("holds", no))
     buckets = max(parts_for(rows.count(), 2000), int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = need.join(texts, "member").withColumn("bucket", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(buckets)))
-    return met.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_tiles(n, percent), "a long, b long")
+    return applied(met.repartition(buckets, "bucket").groupBy("bucket"), _tiles(n, percent), "a long, b long")
 
 
 def _tiles(shingle: int, percent: int):
-    """For each tile (hub, i, j) the distances of those that ask to those that are held, from the differences to the hub.
+    """For each tile (hub, i, j) the links of those that ask with those that are held, from the differences to the hub.
 
-    x and y differ exactly where their differences to the hub do, so
-    d(x, y) = |dx| + |dy| - 2 |dx and dy|; the last is counted over postings.
+    x and y differ exactly where their differences to the hub do, so the
+    differences of those that are held are stored in a trie and those of each
+    that asks are carried down; subtrees of its own component are left.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -544,27 +608,18 @@ def _tiles(shingle: int, percent: int):
         links: dict[tuple[int, int], tuple[int, int]] = {}
         for start, stop in zip(cuts, [*cuts[1:], len(member)], strict=True):
             centre = [k for k in range(start, stop) if member[k] == hub[k]]
-            if not centre:
+            x = np.array([k for k in range(start, stop) if holds[k]], np.int64)
+            if not centre or not len(x):
                 continue
             sets = _packed_sets(t["packed"].slice(int(start), int(stop - start)), shingle)
             base = sets[centre[0] - start]
             differ = [np.setxor1d(base, s, assume_unique=True) for s in sets]
-            x = np.array([k for k in range(start, stop) if holds[k]], np.int64)
-            if not len(x):
-                continue
-            sizes = np.array([len(differ[k - start]) for k in x])
-            elements, place = np.unique(np.concatenate([differ[k - start] for k in x]), return_inverse=True)
-            owners = np.repeat(np.arange(len(x)), sizes)[np.argsort(place, kind="stable")]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(elements)))])
+            del sets
+            trie, greatest = Trie([differ[k - start] for k in x], label[x]), int(n[x].max())
             for y in (k for k in range(start, stop) if asks[k]):
-                own = differ[y - start]
-                found = np.searchsorted(elements, own)
-                found = found[(found < len(elements)) & (elements[np.minimum(found, len(elements) - 1)] == own)] if len(elements) else []
-                lists = [owners[ends[f] : ends[f + 1]] for f in found]
-                both = np.bincount(np.concatenate(lists), minlength=len(x)) if lists else np.zeros(len(x), np.int64)
-                most = (n[x] + n[y]) * (100 - percent) // (100 + percent)
-                linked = (sizes + len(own) - 2 * both <= most) & (label[x] != label[y])
-                for k in x[linked]:
+                reach = (greatest + int(n[y])) * (100 - percent) // (100 + percent)
+                far = trie.probe(differ[y - start], reach, int(label[y])).high
+                for k in x[(far <= (n[x] + n[y]) * (100 - percent) // (100 + percent)) & (label[x] != label[y])]:
                     pair = (int(label[y]), int(label[k]))
                     links.setdefault((min(pair), max(pair)), (int(member[y]), int(member[k])))
         return pa.table({"a": pa.array([v[0] for v in links.values()], pa.int64()), "b": pa.array([v[1] for v in links.values()], pa.int64())})

@@ -2,16 +2,62 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The separators of words in the query contracts (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that go to a Python worker at once, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers are used again, and would keep the most they ever needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _in_batches(spark: SparkSession) -> None:
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH_BYTES; the worker gives its free memory back when the task ends."""
+    _in_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def applied(groups: GroupedData, kernel: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``groups.applyInArrow``; the worker gives its free memory back after each group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = kernel(t)
+        del t
+        give_back()
+        return out
+
+    return groups.applyInArrow(run, schema)
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 

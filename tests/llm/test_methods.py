@@ -441,3 +441,19 @@ def test_near_copies_of_one_base_equal_brute_force(spark):
     for n, percent in ((3, 90), (5, 80)):
         found = jaccard_join.similar(frame, n, percent, hub_share=50, tile=40)
         assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute_components(docs, n, percent)
+
+
+def test_trie_bounds_and_prunes_like_brute_force():
+    draw = np.random.default_rng(7)
+    for _ in range(150):
+        space = int(draw.integers(1, 60))
+        one = lambda: np.unique(draw.integers(0, space, draw.integers(0, 40)).astype(np.uint64))  # noqa: E731, B023
+        sets = [one() for _ in range(int(draw.integers(1, 25)))]
+        label, tokens = draw.integers(0, 3, len(sets)), one()
+        trie, true = jaccard_join.Trie(sets, label), np.array([len(np.setxor1d(s, tokens)) for s in sets])
+        for reach in (0, 3, 10, 1000):
+            got = trie.probe(tokens, reach)
+            near = true <= reach
+            assert (got.low <= true).all() and (got.high >= true).all() and (got.high[near] == got.low[near]).all()
+            other = near & (label != 1)
+            assert (trie.probe(tokens, reach, 1).high[other] == true[other]).all()

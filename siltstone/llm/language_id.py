@@ -1,201 +1,226 @@
 """Language identification: known words first, then ever shorter n-grams.
 
-A model is two tables of log frequencies by language: words, and character
-n-grams of the words' edges and insides (``^`` and ``$`` mark the edges).
-A known word is scored by its own frequencies. An unseen word backs off to
-its n-grams of the greatest length of which the model knows one, with the
-weight ``backoff ** steps``; a word of which nothing is known says nothing.
-
-Fitting reads a bounded sample of labelled rows (``fit_rows``, a parameter;
-rows are chosen by a hash of doc_id, so the sample doesn't depend on order)
-and keeps the ``entries`` most frequent units: that is the model's size
-bound, and the model is what is broadcast. Prediction reads every whole text.
+A model is log frequencies by language of units of two kinds: words (maximal
+runs of letters, lower-cased) and character n-grams of the words' edges and
+insides (an edged word begins with ``^`` and ends with ``$``). A known word is
+scored by its own frequencies. An unseen word backs off to its n-grams of the
+greatest length of which the model knows one: the mean of those it knows, with
+the weight ``backoff ** steps`` (how many of its n-grams are known doesn't
+matter); a word of which nothing is known says nothing.
+
+Fitting reads a bounded sample of labelled rows (``fit_rows``, a parameter,
+shared out evenly over the languages so that none falls out; rows are chosen
+by a hash of doc_id, so the sample doesn't depend on order) and keeps every
+unit that occurs ``least`` times in it. The sample bounds the model, which is
+what is broadcast: 8 bytes a unit and 8 a unit and language, as units are
+named by 64-bit hashes of their code points. Prediction reads every whole
+text; a batch scores each of its distinct words once.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0, as is every text when nothing could be learned; ties go to the language
 first by code point; text of which no unit is known gets the language with
 the most training words and its share as score. Empty tables give an empty
-result. Other columns pass through, but for ones named lang_pred or score,
-which are replaced.
+result; repeated rows are each predicted. Other columns pass through, but for
+ones that are named like the two that are added, which are replaced.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
-
+from siltstone.llm.kernels import mix64
+from siltstone.llm.shared import mapped
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; runs without a real letter (superscripts and such) don't count."""
-    return [w for w in _LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
-
-
-def grams_of(word: str, n: int) -> list[str]:
-    edged = f"^{word}$"
-    return [edged[i : i + n] for i in range(len(edged) - n + 1)]
+UNKNOWN = "und"
+_U = np.uint64
+_CODE, _PLACE = _U(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a column, each occurrence's number, and each text's first occurrence (one more than texts)."""
+    lower = pc.utf8_lower(pc.fill_null(texts, ""))
+    spaced = pc.utf8_trim(pc.replace_substring_regex(lower, r"\P{L}+", " "), " ")
+    lists = pc.split_pattern(spaced, " ")
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    starts = starts - starts[0]
+    coded = lists.flatten().dictionary_encode()
+    place = coded.indices.to_numpy().astype(np.int64)
+    words = coded.dictionary
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    if empty >= 0:  # a text without a letter splits into one empty word
+        real = place != empty
+        starts = np.concatenate([[0], np.cumsum(real)])[starts]
+        place = place[real]
+    return words, place, starts
+
+
+class Units:
+    """Hashes of words and of their n-grams: sums of mixed code points and places, so one pass does for all lengths."""
+
+    def __init__(self, words: pa.Array) -> None:
+        codes = np.frombuffer("".join(f"^{w}$" for w in words.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.codes = codes.astype(np.uint64)
+        self.length = pc.utf8_length(words).to_numpy().astype(np.int64) + 2
+        self.start = np.cumsum(self.length) - self.length
+        self.word = np.repeat(np.arange(len(words)), self.length)
+        self.place = np.arange(len(codes)) - self.start[self.word]
+
+    def words(self) -> np.ndarray:
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        mixed = mix64(self.codes * _CODE + (self.place + 1).astype(np.uint64) * _U(_PLACE))
+        return mix64(np.add.reduceat(mixed, self.start) + _U(1))
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and word of every n-gram."""
+        total = np.zeros(max(0, len(self.codes) - n + 1), np.uint64)
+        for j in range(n):
+            total += mix64(self.codes[j : j + len(total)] * _CODE + _U((j + 1) * _PLACE % (1 << 64)))
+        whole = self.place[: len(total)] + n <= self.length[self.word[: len(total)]]
+        return mix64(total[whole] + _U(n + 1)), self.word[: len(total)][whole]
 
 
 @dataclass(frozen=True)
 class Model:
-    """langs in code-point order; rows of ``table`` are log frequencies by language."""
+    """langs in code-point order; by kind (0 for words, n for n-grams) the units' hashes in order and their log frequencies."""
 
     langs: list[str]
-    prior: list[float]
-    words: dict[str, int]
-    grams: dict[str, int]
-    table: np.ndarray
+    prior: np.ndarray
+    units: dict[int, np.ndarray]
+    logs: dict[int, np.ndarray]
     lengths: tuple[int, ...]
     backoff: float
 
+    def find(self, kind: int, hashes: np.ndarray) -> np.ndarray:
+        """Rows of units; -1 for unknown ones."""
+        known = self.units.get(kind, np.zeros(0, np.uint64))
+        if not len(known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, at, -1)
+
 
 def fit(
     labelled: DataFrame,
     fit_rows: int = 6000,
-    entries: int = 120_000,
+    least: int = 2,
     lengths: tuple[int, ...] = (5, 4, 3, 2, 1),
     backoff: float = 0.4,
     smooth: float = 0.5,
 ) -> Model:
     """Learns from ``text`` and ``lang`` of a bounded sample of ``labelled``."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
-    spread = 1 << 30
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(spread * min(1.0, fit_rows / max(total, 1))))
+    # one row a language, as the model has a column a language
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    spread, each = 1 << 30, fit_rows / max(len(found), 1)
+    below = F.lit(0)
+    if found:
+        parts = [F.lit(x) for lang, n in found.items() for x in (lang, int(spread * min(1.0, each / n)))]
+        below = F.element_at(F.create_map(*parts), F.col("lang"))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
-            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-                words[lang].update(words_of(text))
-        seen: Counter = Counter()
-        for lang, counted in words.items():
-            for word, n in counted.items():
-                seen[lang, 0, word] += n
-                for length in lengths:
-                    for gram in grams_of(word, length):
-                        seen[lang, length, gram] += n
-        keys = list(seen)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "lang": pa.array([k[0] for k in keys], pa.string()),
-                "kind": pa.array([k[1] for k in keys], pa.int32()),
-                "unit": pa.array([k[2] for k in keys], pa.string()),
-                "n": pa.array([seen[k] for k in keys], pa.int64()),
-            }
-        )
+            langs = b["lang"].dictionary_encode()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                words, place, _ = split_words(b["text"].filter(pc.equal(langs.indices, k)))
+                times = np.bincount(place, minlength=len(words))
+                units = Units(words)
+                for kind in (0, *lengths):
+                    hashes, word = units.grams(kind) if kind else (units.words(), np.arange(len(words)))
+                    unit, at = np.unique(hashes, return_inverse=True)
+                    n = np.bincount(at, weights=times[word], minlength=len(unit)).astype(np.int64)
+                    unit, n = unit[n > 0], n[n > 0]
+                    columns = [pa.array([lang] * len(unit), pa.string()), pa.array(np.full(len(unit), kind, np.int32)), pa.array(unit.view(np.int64)), pa.array(n)]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "kind", "unit", "n"])
 
     counts = (
-        chosen.select("lang", "text")
-        .mapInArrow(count, "lang string, kind int, unit string, n long")
+        mapped(chosen.select("lang", "text"), count, "lang string, kind int, unit long, n long")
         .groupBy("lang", "kind", "unit")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "kind", "unit", "lang")
-        .limit(entries)
+        .where(F.col("n") >= least)
         .toArrow()
-        .to_pydict()
-    )
-    langs = sorted(set(counts["lang"]))
-    place = {lang: i for i, lang in enumerate(langs)}
-    sums: dict[int, np.ndarray] = {}
-    at: dict[tuple[int, str], int] = {}
-    table: list[np.ndarray] = []
-    for lang, kind, unit, n in zip(*(counts[c] for c in ("lang", "kind", "unit", "n")), strict=True):
-        if (kind, unit) not in at:
-            at[kind, unit] = len(table)
-            table.append(np.zeros(len(langs)))
-        table[at[kind, unit]][place[lang]] += n
-        sums.setdefault(kind, np.zeros(len(langs)))[place[lang]] += n
-    sizes = Counter(kind for kind, _ in at)
-    logs = [
-        np.log((table[i] + smooth) / (sums[kind] + smooth * sizes[kind])) for (kind, _), i in at.items()
-    ]
-    word_sums = sums.get(0, np.ones(len(langs)))
-    return Model(
-        langs,
-        list(word_sums / word_sums.sum()) if langs else [],
-        {unit: i for (kind, unit), i in at.items() if kind == 0},
-        {unit: i for (kind, unit), i in at.items() if kind},
-        np.array(logs) if logs else np.zeros((0, 0)),
-        tuple(sorted(lengths, reverse=True)),
-        backoff,
     )
-
-
-class Scorer:
-    """Scores texts with a model; scored words are remembered, up to ``remember`` of them."""
-
-    def __init__(self, model: Model, evidence: int = 25, remember: int = 100_000) -> None:
-        self.model, self.evidence, self.remember = model, evidence, remember
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((1 << 14, len(model.langs)))
-
-    def vector(self, word: str) -> np.ndarray:
-        m = self.model
-        if (i := m.words.get(word)) is not None:
-            return m.table[i]
-        for step, n in enumerate(m.lengths, 1):
-            known = [m.grams[g] for g in grams_of(word, n) if g in m.grams]
-            if known:
-                return m.table[known].mean(axis=0) * m.backoff**step
-        return np.zeros(len(m.langs))
-
-    def row(self, word: str) -> int:
-        if len(self.rows) >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        i = self.rows[word] = len(self.rows)
-        self.table[i] = self.vector(word)
-        return i
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        m = self.model
-        words = Counter(words_of(text))
-        if not words or not m.langs:
-            return UNKNOWN, 0.0
-        if len(self.rows) > self.remember:
-            self.rows.clear()
-        known = self.rows.get
-        at = [i if (i := known(w)) is not None else self.row(w) for w in words]
-        n = np.fromiter(words.values(), float, len(words))
-        total = n @ self.table[at]
-        if not total.any():
-            best = max(range(len(m.langs)), key=lambda i: m.prior[i])
-            return m.langs[best], float(m.prior[best])
-        # Evidence counts as that of at most so many words: the score tells texts apart instead of saturating.
-        total *= min(1.0, self.evidence / n.sum())
-        odds = np.exp(total - total.max())
-        best = int(np.argmax(odds))
-        score = float(odds[best] / odds.sum())
-        return m.langs[best], score if math.isfinite(score) else 0.0
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1) behind its own columns."""
+    langs = sorted(set(counts["lang"].unique().to_pylist()))
+    lang = pc.index_in(counts["lang"], value_set=pa.array(langs, pa.string())).to_numpy().astype(np.int64)
+    kind, n = counts["kind"].to_numpy(), counts["n"].to_numpy()
+    unit = counts["unit"].to_numpy().view(np.uint64)
+    units, logs = {}, {}
+    words = np.ones(len(langs))
+    for k in np.unique(kind).tolist():
+        here = kind == k
+        units[k], at = np.unique(unit[here], return_inverse=True)
+        table = np.zeros((len(units[k]), len(langs)))
+        table[at, lang[here]] = n[here]
+        logs[k] = np.log((table + smooth) / (table.sum(axis=0) + smooth * len(table)))
+        words = table.sum(axis=0) if k == 0 else words
+    return Model(langs, words / words.sum(), units, logs, tuple(sorted(lengths, reverse=True)), backoff)
+
+
+def vectors(model: Model, words: pa.Array) -> np.ndarray:
+    """What each word says for each language."""
+    units = Units(words)
+    out = np.zeros((len(words), len(model.langs)))
+    row = model.find(0, units.words())
+    known = row >= 0
+    if known.any():
+        out[known] = model.logs[0][row[known]]
+    for step, n in enumerate(model.lengths, 1):
+        if known.all():
+            break
+        hashes, word = units.grams(n)
+        open_ = ~known[word]
+        row, word = model.find(n, hashes[open_]), word[open_]
+        row, word = row[row >= 0], word[row >= 0]
+        if not len(word):
+            continue
+        # the n-grams of a word are neighbours
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        mean = np.add.reduceat(model.logs[n][row], first, axis=0) / np.diff(np.append(first, len(word)))[:, None]
+        out[word[first]] = mean * model.backoff**step
+        known[word[first]] = True
+    return out
+
+
+def predict(model: Model, texts: pa.Array, evidence: int = 25) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    words, place, starts = split_words(texts)
+    n = np.diff(starts)
+    has = np.flatnonzero(n)
+    label, score = np.array([UNKNOWN] * len(texts), object), np.zeros(len(texts))
+    if not len(has) or not model.langs:
+        return label.tolist(), score
+    total = np.add.reduceat(vectors(model, words)[place], starts[has], axis=0)
+    # Evidence counts as that of at most so many words: the score tells texts apart instead of saturating.
+    total *= np.minimum(1.0, evidence / n[has])[:, None]
+    odds = np.exp(total - total.max(axis=1, keepdims=True))
+    odds = np.where(total.any(axis=1)[:, None], odds / odds.sum(axis=1, keepdims=True), model.prior)
+    best = odds.argmax(axis=1)
+    label[has] = np.array(model.langs, object)[best]
+    score[has] = odds[np.arange(len(has)), best]
+    return label.tolist(), score
+
+
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and the score (0 to 1) behind its own columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType(
-        [*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    )
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for b in batches:
-            found = [scorer.predict(t) for t in b["text"].to_pylist()]
-            more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "lang_pred", "score"])
+            label, score = predict(shared.value, b["text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.string()), pa.array(score)], [*b.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

@@ -1,12 +1,14 @@
 """Each operator against brute force, an exact round trip, or held-out accuracy."""
 
+import functools
 import hashlib
 import io
+import math
 import random
 import re
 import tarfile
 import urllib.parse
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -164,8 +166,53 @@ def test_held_out_accuracy(spark, sf_dir):
 def test_unseen_words_back_off(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("schnelligkeit heiterkeit", "de"), ("nation station", "en")] * 5)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    scorer = language_id.Scorer(model)
-    assert scorer.predict("dankbarkeit")[0] == "de" and scorer.predict("relation")[0] == "en" and scorer.predict("42")[0] == "und"
+    assert language_id.predict(model, pa.array(["dankbarkeit", "relation", "42", None]))[0] == ["de", "en", "und", "und"]
+
+
+def test_a_rare_language_keeps_its_words(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 7)}{chr(97 + j % 11)}wort" for j in range(40)), "de") for i in range(400)]
+    rows += [(1000 + i, "hitz arraroak hemen", "eu") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=60)
+    assert model.langs == ["de", "eu"]
+    assert language_id.predict(model, pa.array(["hitz arraroak"]))[0] == ["eu"]
+
+
+def test_predictions_equal_a_plain_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.collect()
+    seen = defaultdict(lambda: defaultdict(Counter))
+    words = lambda text: re.findall(r"[^\W\d_]+", (text or "").lower())
+    grams = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    for r in rows[::2]:
+        for w in words(r["text"]):
+            seen[0][r["lang"]][w] += 1
+            for n in range(1, 6):
+                seen[n][r["lang"]].update(grams(w, n))
+    langs = sorted(seen[0])
+    kept = {k: {lang: {u: c for u, c in own.items() if c > 1} for lang, own in by.items()} for k, by in seen.items()}
+    units = {k: set().union(*by.values()) for k, by in kept.items()}
+    log = lambda k, u: np.array([math.log((kept[k][x].get(u, 0) + 0.5) / (sum(kept[k][x].values()) + 0.5 * len(units[k]))) for x in langs])
+
+    @functools.cache
+    def said(w):
+        if w in units[0]:
+            return log(0, w)
+        for step, n in enumerate((5, 4, 3, 2, 1), 1):
+            if known := [g for g in grams(w, n) if g in units[n]]:
+                return np.mean([log(n, g) for g in known], axis=0) * 0.4**step
+        return np.zeros(len(langs))
+
+    half = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows[::2]], "doc_id long, text string, lang string")
+    model = language_id.fit(half, fit_rows=10**6)
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs.select("doc_id", "text"), model).collect()}
+    for r in rows:
+        own = words(r["text"])
+        if not own:
+            assert found[r["doc_id"]] == ("und", 0.0)
+            continue
+        total = sum(map(said, own)) * min(1, 25 / len(own))
+        odds = np.exp(total - total.max())
+        assert found[r["doc_id"]] == (langs[int(odds.argmax())], pytest.approx(odds.max() / odds.sum(), rel=1e-6))
 
 
 # suffix arrays

@@ -94,5 +94,13 @@ def parts_for(amount: float, each: float, least: int = 1) -> int:
     return max(least, int(amount // each) + 1)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that no column has (Spark doesn't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

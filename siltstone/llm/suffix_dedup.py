@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.deep_shallow import deep_shallow
 from siltstone.llm.kernels import first_minima, flat_bytes, gram_hashes, mix64, portions
-from siltstone.llm.shared import parts_for, text_or_empty
+from siltstone.llm.shared import applied, mapped, parts_for, text_or_empty, unused
 
 _U = np.uint64
 Span = tuple[int, int]
@@ -354,41 +354,42 @@ def _compared(shape: Shape):
     return run
 
 
-def with_spans(docs: DataFrame, length: int = 100, hot: int = 20_000, part_bytes: int = 48 << 20) -> DataFrame:
-    """``docs`` with the column ``spans``: an array of packed 32-bit offsets (start, stop) to remove; those of a document may touch or overlap."""
+def with_spans(docs: DataFrame, length: int = 100, hot: int = 20_000, part_bytes: int = 48 << 20, name: str = "spans") -> DataFrame:
+    """``docs`` with the column ``name`` (one that is there is replaced): an array of packed 32-bit offsets (start, stop) to remove.
+
+    The spans of a document may touch or overlap.
+    """
     spark = docs.sparkSession
     shape = Shape(length)
     if not 4 <= length <= 250:
         raise ValueError("length must be from 4 to 250 bytes")
     if dict(docs.dtypes)["doc_id"] != "bigint":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    marked = docs.withColumn("mark", F.xxhash64(text_or_empty("text")))
+    columns = [c for c in docs.columns if c != name]
+    # the other columns travel under numbers, so that none has a name that is used here
+    others = {c: f"own{i}" for i, c in enumerate(columns) if c not in ("doc_id", "text")}
+    given = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(own) for c, own in others.items()))
+    marked = given.withColumn("mark", F.xxhash64(text_or_empty("text")))
     known = marked.where(F.col("doc_id").isNotNull())
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(total, part_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2 or 1)
     buckets = 8 * parts
+    dealt = mapped(known.select("doc_id", "mark", text_or_empty("text").alias("text")), _dealt(shape, parts), DEALT)
     repeated = (
-        known.select("doc_id", "mark", text_or_empty("text").alias("text"))
-        .mapInArrow(_dealt(shape, parts), DEALT)
-        .repartition(parts, "part")
-        .groupBy("part")
-        .applyInArrow(_repeated(hot), REPEATED)
+        applied(dealt.repartition(parts, "part").groupBy("part"), _repeated(hot), REPEATED)
         .groupBy("doc_id", "mark")
         .agg(F.collect_list("entry").alias("found"))  # no more than a document has
     )
     # Both joins take the same rows and columns of ``known``, so that one exchange of the texts serves them.
+    carried = mapped(known.join(repeated, ["doc_id", "mark"]).select(*known.columns, "found"), _carried(length, buckets), CARRIED_ROWS)
     spans = (
-        known.join(repeated, ["doc_id", "mark"])
-        .select(*known.columns, "found")
-        .mapInArrow(_carried(length, buckets), CARRIED_ROWS)
-        .repartition(buckets, "bucket")
-        .groupBy("bucket")
-        .applyInArrow(_compared(shape), SPANS)
+        applied(carried.repartition(buckets, "bucket").groupBy("bucket"), _compared(shape), SPANS)
         .groupBy("doc_id", "mark")
         .agg(F.collect_list("span").alias("spans"))
     )
-    found = known.join(spans, ["doc_id", "mark"], "left").select(*docs.columns, "spans")
-    nameless = marked.where(F.col("doc_id").isNull()).select(*docs.columns, F.lit(None).cast("array<binary>").alias("spans"))
+    back = [F.col(others.get(c, c)).alias(c) for c in columns]
+    found = known.join(spans, ["doc_id", "mark"], "left").select(*back, F.col("spans").alias(name))
+    nameless = marked.where(F.col("doc_id").isNull()).select(*back, F.lit(None).cast("array<binary>").alias(name))
     return found.unionByName(nameless)
 
 
@@ -418,7 +419,7 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def report(marked: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of :func:`with_spans`' rows."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return marked.select("doc_id", "text", "spans").mapInArrow(_reported, schema)
+    return mapped(marked.select("doc_id", "text", "spans"), _reported, schema)
 
 
 def char_spans(raw: bytes, spans: list[Span]) -> list[Span]:
@@ -436,12 +437,12 @@ def char_spans(raw: bytes, spans: list[Span]) -> list[Span]:
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs``, all columns, their texts without the repeated spans; n_chars follows; texts that lose everything go."""
-    columns, schema = docs.columns, docs.schema
+    columns, schema, name = docs.columns, docs.schema, unused("spans", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep = [], []
-            for text, packed in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
+            for text, packed in zip(b["text"].to_pylist(), b[name].to_pylist(), strict=True):
                 if packed and text:
                     raw = text.encode("utf-8", "surrogatepass")
                     text = kept(raw, char_spans(raw, spans_of(packed))).decode("utf-8", "surrogatepass")
@@ -456,4 +457,4 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 whole = whole.set_column(columns.index("n_chars"), "n_chars", sizes)
             yield whole.filter(pa.array(keep, pa.bool_()))
 
-    return with_spans(docs, length).mapInArrow(run, schema)
+    return mapped(with_spans(docs, length, name=name), run, schema)

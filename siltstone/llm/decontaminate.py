@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import written
+from siltstone.llm.shared import mapped, written
 
 AUTOMATON_BYTES = 16 << 20
 
@@ -72,9 +72,9 @@ def portions(items: Iterable[tuple[str, str | None]], window: int, most: int) ->
                 part[key] = (w.count(b" ") + 1, set())
                 held += len(key)
             part[key][1].add(item_id)
-        if held >= most:
-            yield part
-            part, held = {}, 0
+            if held >= most:  # also within an item: its windows may be in several portions
+                yield part
+                part, held = {}, 0
     if part:
         yield part
 
@@ -181,7 +181,7 @@ def _scan_portion(docs: DataFrame, shared, *keys: str) -> DataFrame:
             )
 
     names = ", ".join(f"{k} long" for k in keys)
-    return docs.select(*keys, "text").mapInArrow(run, f"{names}, {_SCANNED}")
+    return mapped(docs.select(*keys, "text"), run, f"{names}, {_SCANNED}")
 
 
 def contamination(found: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def decontaminated(
     """The documents, all columns, in which no window occurs. The scan runs where the rows are: no text is shuffled."""
     kept = docs
     for part in _portions_of(benchmark, window, automaton_bytes):
-        kept = kept.mapInArrow(_clean_only(docs.sparkSession.sparkContext.broadcast(part)), docs.schema)
+        kept = mapped(kept, _clean_only(docs.sparkSession.sparkContext.broadcast(part)), docs.schema)
     return kept
 
 

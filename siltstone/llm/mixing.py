@@ -13,8 +13,10 @@ At scale the flight runs in levels. Units are dealt into buckets of about
 ``bucket_units`` (a source with a third of all rows gets a third of the
 buckets); a bucket leaves at most two open units, and these make up the next
 level, until a source has one bucket. That last level ends with the landing:
-the document constraint is let go, then the last open unit is settled by its
-own probability. So the error of a source is at most a few documents' words.
+of the at most four ways to settle the last two units the one whose words come
+nearest to the total is taken, and single units of the last level make up for
+the rest. So the error of a source is mostly less than its shortest documents'
+words.
 
 Repeated rows (same doc_id, source and size) are summed up before they move:
 of ``n`` such rows with fraction ``f``, ``floor(n f)`` are taken for sure and
@@ -29,10 +31,12 @@ driver from one row a source.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,25 +65,20 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5,
     return out
 
 
-def flight(prob: list[float], size: list[int], draw: random.Random, balance_count: bool = True) -> list[float]:
-    """Moves ``prob`` in place until at most two (one, without the count) are strictly between 0 and 1."""
+def flight(prob: list[float], size: list[int], draw: random.Random) -> list[float]:
+    """Moves ``prob`` in place until at most two are strictly between 0 and 1."""
     tiny = 1e-9
     for i, p in enumerate(prob):
         prob[i] = 0.0 if p < tiny else 1.0 if p > 1 - tiny else p
     todo = iter([i for i, p in enumerate(prob) if 0 < p < 1])
     held: list[int] = []
-    need = 3 if balance_count else 2
     while True:
-        while len(held) < need and (i := next(todo, None)) is not None:
+        while len(held) < 3 and (i := next(todo, None)) is not None:
             held.append(i)
-        if len(held) < need:
+        if len(held) < 3:
             return prob
-        if balance_count:
-            a, b, c = (size[i] for i in held)
-            u = [c - b, a - c, b - a] if not a == b == c else [1, -1, 0]
-        else:
-            a, b = (size[i] for i in held)
-            u = [b, -a] if a or b else [1, 0]
+        a, b, c = (size[i] for i in held)
+        u = [c - b, a - c, b - a] if not a == b == c else [1, -1, 0]
         up = min((1 - prob[i]) / x if x > 0 else prob[i] / -x for i, x in zip(held, u, strict=True) if x)
         down = min(prob[i] / x if x > 0 else (1 - prob[i]) / -x for i, x in zip(held, u, strict=True) if x)
         step = up if draw.random() * (up + down) < down else -down
@@ -89,20 +88,47 @@ def flight(prob: list[float], size: list[int], draw: random.Random, balance_coun
         held = [i for i in held if 0 < prob[i] < 1]
 
 
-def land(prob: list[float], size: list[int], draw: random.Random) -> list[float]:
-    """Settles what a flight left open: words balanced alone, then by probability."""
-    flight(prob, size, draw, balance_count=False)
-    return [p if p in (0.0, 1.0) else float(draw.random() < p) for p in prob]
+def land(start: list[float], prob: list[float], size: list[int], draw: random.Random) -> list[float]:
+    """Settles what a flight from ``start`` to ``prob`` left open.
+
+    Of the few completions that with the nearest words is taken, then count,
+    then by lot. What is still missing or too much is then made up for unit by
+    unit: of those that were open at the start the one goes in or out that
+    brings the words nearest to their total, as long as one does.
+    """
+    open_ = [i for i, p in enumerate(prob) if 0 < p < 1]
+    words, count = sum(prob[i] * size[i] for i in open_), sum(prob[i] for i in open_)
+
+    def off(taken: tuple[float, ...]) -> tuple[float, float, float]:
+        return abs(sum(t * size[i] for t, i in zip(taken, open_, strict=True)) - words), abs(sum(taken) - count), draw.random()
+
+    best = min(itertools.product((0.0, 1.0), repeat=len(open_)), key=off)
+    for i, taken in zip(open_, best, strict=True):
+        prob[i] = taken
+    free = np.array([i for i, p in enumerate(start) if 0 < p < 1], np.int64)
+    if len(free):
+        now, sizes = np.array(prob)[free], np.array(size)[free]
+        missing = words - sum(t * size[i] for t, i in zip(best, open_, strict=True))
+        while True:
+            left = np.abs(missing - np.where(now > 0, -sizes, sizes))
+            k = int(left.argmin())
+            if not left[k] < abs(missing):
+                break
+            missing -= -sizes[k] if now[k] else sizes[k]
+            now[k] = 1 - now[k]
+        for i, p in zip(free.tolist(), now.tolist(), strict=True):
+            prob[i] = p
+    return prob
 
 
 def _level(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["draw", "doc_id", "size"], na_position="first", kind="stable").reset_index(drop=True)
     name = repr((pdf["src"].iloc[0], pdf["bucket"].iloc[0], len(pdf), int(pdf["draw"].iloc[0])))
     draw = random.Random(hashlib.sha256(name.encode()).digest())
-    prob, size = pdf["prob"].tolist(), pdf["size"].tolist()
-    flight(prob, size, draw)
+    start, size = pdf["prob"].tolist(), pdf["size"].tolist()
+    prob = flight(list(start), size, draw)
     if pdf["last"].iloc[0]:
-        prob = land(prob, size, draw)
+        prob = land(start, prob, size, draw)
     return pdf.assign(prob=prob).drop(columns=["bucket", "last"])
 
 

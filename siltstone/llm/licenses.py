@@ -22,8 +22,9 @@ Defined results: null and wordless texts match nothing; a text may match many
 templates and one template many times, each a span; a license has the
 spans of all templates of its name, and the counts and coverage of the span with
 the most matched words (then the best coverage); a span inside one with more
-matched words is left to that one; repeated rows are each reported; empty
-tables give an empty result; extra columns are ignored.
+matched words, or as many and a better coverage, is left to that one, whatever
+the names; repeated rows are each reported; empty tables give an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siltstone.llm.kernels import mix64
+from siltstone.llm.shared import mapped
 
 #: Public notices and license texts, by SPDX name.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -177,11 +179,11 @@ class LicenseIndex:
             at = folded.index(w, at)
             starts.append(at)
             at += len(w)
-        # A span that lies in a span with more matched words is that one's, read too generously.
-        inside = lambda m, first, last: any(o > m and a <= first and last <= b for o, _, a, b in every)
+        # A span that lies in one with more matched words, or as many of a shorter template, is that one's, read too generously.
+        rank = lambda m, t: (m, -len(self.ids[t]))
         own: dict[str, list[tuple[int, int, int, int]]] = defaultdict(list)
         for m, t, first, last in every:
-            if not inside(m, first, last):
+            if not any(a <= first and last <= b and rank(o, u) > rank(m, t) for o, u, a, b in every):
                 own[self.names[t]].append((m, t, first, last))
         out = []
         for name, spans in sorted(own.items()):
@@ -299,7 +301,7 @@ def scan_licenses(
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=_MATCHES_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, MATCHES)
+    return mapped(docs.select("doc_id", "text"), run, MATCHES)
 
 
 _MATCHES_ARROW = pa.schema(

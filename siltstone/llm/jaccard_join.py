@@ -562,6 +562,7 @@ def _missed(stats: DataFrame, seen: DataFrame, labels: DataFrame, texts: DataFra
     # What the bounds need of a hub's members: the least distance and gain of all and of those that missed it,
     # and the greatest distance that linked sets near it may have.
     missed = lambda c: F.min(F.when(F.col("apart"), F.col(c))).alias(f"missed_{c}")
+    # edge and sized are written, so that joins with them have exchanges on both sides and a large hub can be split
     edge = (
         at.groupBy("hub")
         .agg(
@@ -573,10 +574,13 @@ def _missed(stats: DataFrame, seen: DataFrame, labels: DataFrame, texts: DataFra
         )
         .where("missed_low IS NOT NULL")
     )
+    edge = written(edge, "join-edge")
     asks = F.expr("apart AND low + least_gain <= most AND least_low + gain <= most")
     holds = F.expr("missed_low + gain <= most AND low + missed_gain <= most")
     near = at.join(edge, "hub").select("hub", "member", "n", "label", asks.alias("asks"), holds.alias("holds")).where("asks OR holds")
+    near = written(near, "join-held")
     sized = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"), F.max("asks").alias("asked")).where("asked").drop("asked")
+    sized = written(sized, "join-sized")
     near = near.join(sized, "hub").withColumn("own", F.pmod(F.xxhash64("member"), F.col("tiles")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     columns = ["hub", "member", "n", "label"]

@@ -6,13 +6,18 @@ about ``shard_bytes``, members named by their digest, so any tar tool reads
 them and a range read of ``length`` bytes at ``offset`` gives one medium.
 
 * :func:`store` writes shards from the tasks that hold the rows and returns
-  the index. A task writes a payload it meets again only once. A shard's name
-  is the digest of its bytes and it appears by a rename, so a task that runs
-  again after a lost executor leaves the same or a stray file, never a broken
-  one; the index itself is a written table.
-* :func:`canonical` points all rows of one digest at one place, across tasks.
-* :func:`with_header` fills metadata columns by reading only the first bytes
-  of each medium; :func:`with_media` reads and verifies the whole.
+  the index. No payload is shuffled, and each is stored once over all tasks: a
+  first pass writes digests and row numbers only, of equal digests the row with
+  the least number stores the payload, and each task reads the list of its own
+  rows that don't. (So rows must come in the same order and partitions when
+  they are computed twice, as those of files and written tables do; a payload
+  that nobody stored ends the job.) A shard's name is the digest of its bytes
+  and it appears by a rename, so a task that runs again after a lost executor
+  leaves the same or a stray file, never a broken one.
+* :func:`places` has one row a stored payload; :func:`with_header` fills
+  metadata columns by reading only the first bytes of each medium and
+  :func:`with_media` reads and verifies the whole, once a payload.
+* :func:`placed` joins what is known of the payloads to all rows.
 
 The codec here is an 8-bit grey PNG, :data:`WIDTH` samples a row: lossless,
 deflated, and its first 33 bytes tell its size. Payloads are padded with
@@ -23,7 +28,8 @@ gs, abfs); a task's memory is bounded by one shard and one batch.
 
 Defined results: null bytes are an empty payload (one row of padding); equal
 payloads have equal values throughout; repeated rows each get an index row;
-an empty table writes no shard; other columns pass through.
+an empty table writes no shard; other columns pass through, but for ones named
+like those that are added, which are replaced.
 """
 
 from __future__ import annotations
@@ -37,12 +43,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.shared import fresh_path
+from siltstone.llm.shared import fresh_path, mapped, parts_for, written
 
 #: Samples in a row of the image.
 WIDTH = 576
@@ -152,59 +159,112 @@ class ShardWriter:
         return name, at
 
 
+def _own_names(rows: DataFrame, payload: str) -> tuple[DataFrame, list[str]]:
+    """``rows`` with the payload as bytes, its digest (``content``), the row's number and the other columns but those the index has."""
+    keep = [c for c in rows.columns if c != payload and c not in ("content", *(n for n, _, _ in INDEX))]
+    raw = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
+    given = rows.select(F.monotonically_increasing_id().alias("at"), raw.alias("raw"), *(F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(keep)))
+    return given.withColumn("content", F.sha2("raw", 256)), keep
+
+
+def _elsewhere(given: DataFrame) -> str:
+    """Writes, by partition of the rows, the numbers of those whose payload another row stores; the folder."""
+    spark = given.sparkSession
+    slim = written(given.select("content", "at"), "media-contents")
+    # a table of its own, so that a content that a third of all rows have can be split in the join
+    first = written(slim.groupBy("content").agg(F.min("at").alias("first")), "media-first")
+    folder = fresh_path(spark, "media-elsewhere")
+    others = slim.join(first, "content").where("at <> first").select("at", F.shiftright("at", 33).alias("part"))
+    others.write.partitionBy("part").parquet(folder)
+    return folder
+
+
+def _numbers(files: fs.FileSystem, folder: str, part: int) -> set[int]:
+    at = f"{folder}/part={part}"
+    if files.get_file_info(at).type == fs.FileType.NotFound:
+        return set()
+    listed = files.get_file_info(fs.FileSelector(at))
+    out: set[int] = set()
+    for f in listed:
+        if f.path.endswith(".parquet"):
+            with files.open_input_file(f.path) as source:
+                out.update(pq.read_table(source, columns=["at"])["at"].to_pylist())
+    return out
+
+
 def store(rows: DataFrame, payload: str, folder: str, shard_bytes: int = 16 << 20) -> DataFrame:
-    """Writes the column ``payload`` (binary or string) to shards; ``rows`` without it, with the index columns behind."""
-    keep = [c for c in rows.columns if c != payload]
-    fields = [rows.schema[c] for c in keep]
-    schema = T.StructType([*fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in INDEX)])
+    """Writes the column ``payload`` (binary or string) to shards, each payload once.
+
+    Returns ``rows`` without it, with the digest of the payload itself
+    (``content``) and the index columns behind; digest and place are null
+    where another row stores the payload: :func:`places` has them by content.
+    """
+    given, keep = _own_names(rows, payload)
+    others = _elsewhere(given)
+    kept = [f"own{i}" for i in range(len(keep))]
+    nullable = [T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in INDEX]
+    fields = [T.StructField(own, rows.schema[c].dataType) for own, c in zip(kept, keep, strict=True)]
+    schema = T.StructType([*fields, T.StructField("content", T.StringType()), *nullable])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = ShardWriter(folder, shard_bytes)
-        waiting: list[tuple[pa.RecordBatch, list[str], list[int]]] = []
+        files, others_at = fs.FileSystem.from_uri(others)
+        skip: set[int] | None = None
+        waiting: list[tuple[pa.RecordBatch, list[str | None], list[int]]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not waiting:
                 return
-            name, at = writer.close()
-            for kept, digests, sizes in waiting:
+            name, at = writer.close() if writer.at else (None, {})
+            for part, digests, sizes in waiting:
+                placed = [at.get(d, (None, None)) for d in digests]
                 more = [
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.string()),
-                    pa.array([name] * len(digests), pa.string()),
-                    pa.array([at[d][0] for d in digests], pa.int64()),
-                    pa.array([at[d][1] for d in digests], pa.int64()),
+                    pa.array([name if p[0] is not None else None for p in placed], pa.string()),
+                    pa.array([p[0] for p in placed], pa.int64()),
+                    pa.array([p[1] for p in placed], pa.int64()),
                 ]
-                yield pa.RecordBatch.from_arrays([*kept.columns, *more], [*keep, *(n for n, _, _ in INDEX)])
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *(n for n, _, _ in INDEX)])
             waiting.clear()
 
         for b in batches:
-            known: dict[bytes, tuple[str, bytes]] = {}
             digests, sizes, start = [], [], 0
-            for i, value in enumerate(b[payload].to_pylist()):
-                raw = value.encode("utf-8", "surrogatepass") if isinstance(value, str) else value or b""
-                if raw not in known:
+            for i, (at, raw) in enumerate(zip(b["at"].to_pylist(), b["raw"].to_pylist(), strict=True)):
+                if skip is None:
+                    skip = _numbers(files, others_at, at >> 33)
+                digest = None
+                if at not in skip:
                     stored = encode_png(padded(raw))
-                    known[raw] = hashlib.sha256(stored).hexdigest(), stored
-                digest, stored = known[raw]
-                writer.add(digest, stored)
+                    digest = hashlib.sha256(stored).hexdigest()
+                    writer.add(digest, stored)
                 digests.append(digest)
                 sizes.append(len(raw))
                 if writer.full or i == b.num_rows - 1:
-                    waiting.append((b.slice(start, i + 1 - start).select(keep), digests, sizes))
+                    waiting.append((b.slice(start, i + 1 - start).select([*kept, "content"]), digests, sizes))
                     digests, sizes, start = [], [], i + 1
                     if writer.full:
                         yield from flush()
         yield from flush()
 
-    return rows.mapInArrow(run, schema)
+    out = mapped(given, run, schema)
+    return out.select(*(F.col(own).alias(c) for own, c in zip(kept, keep, strict=True)), "content", *(n for n, _, _ in INDEX))
+
+
+def places(index: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
+    """One row a stored payload: content, digest, shard, offset, length; dealt by shard into parts of about ``part_bytes``."""
+    stored = index.where(F.col("shard").isNotNull()).select("content", "digest", "shard", "offset", "length")
+    total = stored.agg(F.sum("length")).first()[0] or 0
+    return stored.repartition(parts_for(total, part_bytes), "shard")
 
 
-def canonical(index: DataFrame) -> DataFrame:
-    """All rows of a digest point at its first place; copies that other tasks wrote are then unreferenced."""
-    place = F.min(F.struct("shard", "offset", "length")).alias("place")
-    first = index.groupBy("digest").agg(place)
-    kept = [c for c in index.columns if c not in ("shard", "offset", "length")]
-    return index.join(first, "digest").select(*kept, "place.shard", "place.offset", "place.length")
+def placed(index: DataFrame, found: DataFrame) -> DataFrame:
+    """``index`` with what is known of each payload (:func:`places` and what was added to it); a payload without a place ends the job."""
+    rest = [c for c in found.columns if c != "content"]
+    known = found.select("content", *rest)
+    missing = F.raise_error(F.concat(F.lit("no task stored the payload "), F.col("content")))
+    joined = index.drop(*rest).join(known, "content", "left")
+    return joined.withColumn("shard", F.coalesce(F.col("shard"), missing.cast("string")))
 
 
 class RangeReader:
@@ -238,7 +298,8 @@ def with_header(index: DataFrame, folder: str) -> DataFrame:
             columns = [pa.array([f[i] for f in found], pa.int32()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "width", "height", "bits"])
 
-    return index.mapInArrow(run, T.StructType([*index.schema, *more]))
+    index = index.drop("width", "height", "bits")
+    return mapped(index, run, T.StructType([*index.schema, *more]))
 
 
 def with_media(index: DataFrame, folder: str) -> DataFrame:
@@ -265,7 +326,8 @@ def with_media(index: DataFrame, folder: str) -> DataFrame:
             columns = [pa.array([f[i] for f in found], kind) for i, (_, _, kind) in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *(n for n, _, _ in added)])
 
-    return index.mapInArrow(run, T.StructType([*index.schema, *(T.StructField(n, t) for n, t, _ in added)]))
+    index = index.drop(*(n for n, _, _ in added))
+    return mapped(index, run, T.StructType([*index.schema, *(T.StructField(n, t) for n, t, _ in added)]))
 
 
 def shard_folder(spark) -> str:

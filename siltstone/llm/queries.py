@@ -69,8 +69,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = media.shard_folder(spark)
     index = written(media.store(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", folder), "media-index")
-    found = media.with_media(media.with_header(media.canonical(index), folder), folder)
-    return found.select(
+    known = written(media.with_media(media.with_header(media.places(index), folder), folder), "media-known")
+    return media.placed(index, known).select(
         "doc_id",
         "n_bytes",
         "payload_bytes",

@@ -118,9 +118,11 @@ def test_toxicity(spark, docs, none):
 
 def test_media(docs, none, spark):
     folder = media.shard_folder(spark)
-    index = media.store(docs.select("doc_id", "text", "lang"), "text", folder).cache()
-    rows = media.with_media(media.with_header(media.canonical(index), folder), folder).collect()
-    assert len(rows) == len(ROWS)
+    clashing = docs.withColumn("digest", F.lit(1)).withColumn("width", F.lit("w")).withColumn("own0", F.lit("o")).coalesce(1)
+    index = media.store(clashing, "text", folder).cache()
+    rows = media.placed(index, media.with_media(media.with_header(media.places(index), folder), folder)).collect()
+    assert len(rows) == len(ROWS) and {r["own0"] for r in rows} == {"o"} and {r["width"] for r in rows} == {media.WIDTH}
+    assert sorted((repr(r["doc_id"]), repr(r["spans"])) for r in rows) == sorted((repr(r[0]), repr(r[6])) for r in ROWS)
     empty = {(r["n_bytes"], r["payload_bytes"], r["feature"]) for r in rows if r["doc_id"] in (2, 3)}
     assert empty == {(0, 576, "576x1;mean=255;ahash=0000000000000000")}
     assert len({r["digest"] for r in rows if r["doc_id"] in (4, 5)}) == 1

@@ -10,7 +10,14 @@ Features are the distinct words of a text and the words' prefixes of
 ``prefixes`` letters (inflected or compounded words share them), hashed to
 ``2 ** bits`` places. Fitting keeps the places whose share of graded texts
 differs clearly between grade 0 and the rest (``least_z`` standard errors, at
-least ``least_docs`` texts), at most ``most_features`` of them.
+least ``least_docs`` texts), at most ``most_features`` of them: a documented
+bound of the model, as its fit is dense.
+
+Where labels say only yes or no, the grades of toxic texts are made here, in
+thirds of how many clearly toxic features they have: a restatement of what the
+model sees, longer texts included, and no judgement of people. (By the share of
+a text's features, precision on held-out labels of sf0.1 fell from over 0.9 to
+0.87.) Labels that have grades are taken as they are, negative ones as 0.
 
 Fitting reads at most ``fit_rows`` graded rows, those with the least hash of
 doc_id; prediction reads every whole text. The sample's ids are broadcast
@@ -34,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import mapped
+
 _WORD = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, expected_severity double, severity int, p_toxic double, toxic boolean"
 
@@ -127,9 +136,9 @@ def select_features(rows: list[np.ndarray], bad: np.ndarray, bits: int, least_do
     return {int(p): i for i, p in enumerate(good)}
 
 
-def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, bits: int, grades: int = 3) -> np.ndarray:
-    """Grades from yes-or-no labels: toxic texts are ranked by how many clearly toxic features they have."""
-    keep = select_features(rows, toxic, bits, 4, 6.0, 512)
+def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, bits: int, grades: int = 3, most: int = 512) -> np.ndarray:
+    """Grades from yes-or-no labels: toxic texts are ranked by how many clearly toxic features (``most`` at most) they have."""
+    keep = select_features(rows, toxic, bits, 4, 6.0, most)
     hits = np.array([sum(p in keep for p in r.tolist()) for r in rows])
     out = np.zeros(len(rows), np.int64)
     if toxic.any():
@@ -165,7 +174,7 @@ def fit(
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("grade"))
+        .agg(F.greatest(F.max(label).cast("int"), F.lit(0)).alias("grade"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(fit_rows)
     )
@@ -176,13 +185,8 @@ def fit(
             found = [np.array(features.of(t), np.int32).tobytes() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["grade"], pa.array(found, pa.binary())], ["doc_id", "grade", "f"])
 
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")  # at most fit_rows rows of two numbers
-        .select("doc_id", "grade", "text")
-        .mapInArrow(run, "doc_id long, grade int, f binary")
-        .toArrow()
-    )
+    given = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most fit_rows rows of two numbers
+    rows = mapped(given.select("doc_id", "grade", "text"), run, "doc_id long, grade int, f binary").toArrow()
     order = np.lexsort((rows["grade"].to_numpy(), rows["doc_id"].to_numpy())) if rows.num_rows else []
     given = rows["grade"].to_numpy()[order] if rows.num_rows else np.zeros(0, np.int64)
     binary = rows["f"].to_pylist()
@@ -220,4 +224,4 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
                 ["doc_id", "expected_severity", "severity", "p_toxic", "toxic"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORES)
+    return mapped(docs.select("doc_id", "text"), run, SCORES)

@@ -13,7 +13,8 @@ a ``revisit`` names the record whose payload is identical in
 
 Shuffles: the scan's digests are summed up to (digest, smallest id) in the
 map tasks before they move, so a payload that a third of all pages share
-costs one row a task. The payload table is written from an aggregate whose
+costs one row a task; what is joined by digest is unique on one side and has
+its own exchange on either, so such a digest's pages are split over tasks. The payload table is written from an aggregate whose
 partial step keeps one copy a task and digest. Large payloads travel
 compressed (zlib).
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import fresh_path
+from siltstone.llm.shared import fresh_path, mapped, written
 
 #: The names and the profile that WARC 1.1 prescribes.
 VERSION = "WARC/1.1"
@@ -64,14 +65,17 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unpack and verify: a payload whose hash isn't its address ends the job."""
+    """Unpack and verify: a payload whose hash isn't its address ends the job. Rows that follow each other with one digest share the work."""
+    last: tuple[str, int, bytes, bytes] | None = None
     for b in batches:
         whole = []
         for digest, n, packed in zip(*(b[c].to_pylist() for c in ("digest", "n_bytes", "packed")), strict=True):
-            payload = zlib.decompress(packed)
-            if len(payload) != n or hashlib.sha256(payload).hexdigest() != digest:
-                raise ValueError(f"the payload stored under {digest} is damaged")
-            whole.append(payload)
+            if last is None or last[:3] != (digest, n, packed):
+                payload = zlib.decompress(packed)
+                if len(payload) != n or hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError(f"the payload stored under {digest} is damaged")
+                last = digest, n, packed, payload
+            whole.append(last[3])
         columns = {"page_id": b["page_id"], "header": b["header"], "payload": pa.array(whole, pa.binary())}
         yield pa.RecordBatch.from_pydict(columns)
 
@@ -84,7 +88,7 @@ def write_archive(pages: DataFrame, least_bytes: int = 100) -> Archive:
     ).withColumn("digest", F.sha2("payload", 256))
     archive = Archive(fresh_path(spark, "warc-payloads"), fresh_path(spark, "warc-headers"))
 
-    packed = scan.select("digest", "payload").mapInArrow(_packed, "digest string, n_bytes long, packed binary")
+    packed = mapped(scan.select("digest", "payload"), _packed, "digest string, n_bytes long, packed binary")
     (
         packed.groupBy("digest")
         .agg(F.first("n_bytes").alias("n_bytes"), F.first("packed").alias("packed"))  # equal under one digest
@@ -93,7 +97,8 @@ def write_archive(pages: DataFrame, least_bytes: int = 100) -> Archive:
     )
 
     slim = scan.select("page_id", "url", "digest", F.octet_length("payload").alias("n_bytes"))
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    # a table of its own, so that the join has exchanges on both sides and a digest that many pages have can be split
+    first = written(slim.groupBy("digest").agg(F.min("page_id").alias("first_id")), "warc-first")
     told = slim.join(first, "digest")
     revisit = (F.col("n_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     kind = F.when(revisit, "revisit").otherwise("response")
@@ -129,7 +134,7 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     headers = spark.read.parquet(archive.headers)
     payloads = spark.read.parquet(archive.payloads)
     joined = headers.join(payloads, "digest").select("page_id", "header", "digest", "n_bytes", "packed")
-    return joined.mapInArrow(_restored, "page_id long, header binary, payload binary")
+    return mapped(joined, _restored, "page_id long, header binary, payload binary")
 
 
 def record_bytes(header: Column, payload: Column) -> Column:

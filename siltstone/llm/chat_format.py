@@ -18,7 +18,7 @@ Reading always undoes the escapes, so a text that holds an escape sequence of
 its own does not come back identical either and is escaped as well. The
 second rendering comes back identical for every string: the two rules are
 injective and leave no control opener. The whole conversation is parsed once
-more and compared turn by turn with the source's digests.
+more and compared turn by turn with the source; reports end where it differs.
 
 Defined results: null text or role is empty; turns are ordered by turn, role,
 text (null turn first), repeated rows each stay a turn; rows whose conv_id is
@@ -87,6 +87,10 @@ def parse_blocks(formatted: Column) -> Column:
     return F.transform(blocks_of(formatted), one)
 
 
+def _spoken(turn: Column) -> Column:
+    return F.struct(turn["role"].alias("role"), turn["text"].alias("text"))
+
+
 def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, turn, role, text to one row a conversation.
 
@@ -114,15 +118,15 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
         F.when(F.coalesce(same, F.lit(False)), F.col("block")).otherwise(
             render(escape_role(F.col("role")), escape_text(F.col("text")))
         ),
-    ).withColumn("digest", F.xxhash64("role", "text"))
+    )
     # Turns that tie on turn are ordered by role and text, as the source has them.
-    one = F.struct("turn", "role", "text", "block", "digest")
+    one = F.struct("turn", "role", "text", "block")
     grouped = escaped.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
     formatted = grouped.select(
-        "conv_id", F.concat_ws("", F.col("t.block")).alias("formatted"), F.col("t.digest").alias("digests")
+        "conv_id", F.concat_ws("", F.col("t.block")).alias("formatted"), F.transform("t", _spoken).alias("source")
     )
     parsed = formatted.withColumn("p", parse_blocks(F.col("formatted")))
-    recovered = F.transform("p", lambda x: F.xxhash64(x["role"], x["text"]))
+    recovered = F.transform("p", _spoken)
     mask = F.filter(
         F.transform(
             "p",
@@ -139,9 +143,9 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
         "conv_id",
         "formatted",
         F.size("p").cast("long").alias("n_turns"),
-        F.transform("p", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
+        recovered.alias("turns"),
         mask.alias("loss_mask"),
-        ((recovered == F.col("digests")) & F.forall("p", lambda x: x["ok"])).alias("round_trip"),
+        ((recovered == F.col("source")) & F.forall("p", lambda x: x["ok"])).alias("round_trip"),
     )
 
 
@@ -158,7 +162,9 @@ def read_loss(formatted: Column, loss_mask: Column) -> Column:
 
 
 def digest_columns(formatted: DataFrame) -> DataFrame:
-    """The digests of what is read back from :func:`format_conversations`' output."""
+    """The digests of what is read back from :func:`format_conversations`' output; one that differs from its source ends the job."""
+    whole = F.when(F.col("round_trip"), F.col("formatted")).otherwise(F.raise_error("a conversation does not come back identical").cast("string"))
+    formatted = formatted.withColumn("formatted", whole)
     loss = formatted.withColumn("loss", read_loss(F.col("formatted"), F.col("loss_mask")))
     spoken = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
     return loss.select(

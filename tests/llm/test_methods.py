@@ -19,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, decontaminate, jaccard_join, language_id, licenses, media, mixing, suffix_dedup, toxicity
+from siltstone.llm import chat_format, decontaminate, jaccard_join, language_id, licenses, media, mixing, suffix_dedup, toxicity, warc_store
 from siltstone.llm.deep_shallow import common_prefix, deep_shallow
 from siltstone.llm.kernels import first_minima, gram_hashes
 from siltstone.llm.shared import WORD, table, written
@@ -466,6 +466,23 @@ def test_ordinal_regression_orders_grades():
     assert np.all(np.diff(theta) > 0) and np.allclose(w, [2, 1, 0, -1, 3], atol=0.6) and np.allclose(theta, [1, 3, 5], atol=0.8)
 
 
+def test_severity_equals_a_plain_computation(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    graded = labels.withColumn("toxic", F.col("toxic") * (1 + F.col("doc_id") % 3) - F.lit(1) * (F.col("doc_id") % 2))
+    for given in (labels, graded):
+        model = toxicity.fit(docs, given, least_docs=2, least_z=1.0)
+        assert (np.diff(model.thresholds) > 0).all()
+        got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+        for r in docs.collect():
+            units = {u for w in re.findall(r"[^\W\d_]+", r["text"].lower()) for u in (f"={w}", *(f"^{w[:n]}" for n in (4, 5, 6) if len(w) > n))}
+            places = {zlib.crc32(u.encode()) % (1 << 20) for u in units}
+            x = sum(model.weights[k] for p, k in model.keep.items() if p in places)
+            above = [1 / (1 + math.exp(min(700, t - x))) for t in model.thresholds]
+            each = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
+            assert got[r["doc_id"]]["expected_severity"] == pytest.approx(sum(j * p for j, p in enumerate(each)), abs=1e-9)
+            assert each[got[r["doc_id"]]["severity"]] == pytest.approx(max(each), abs=1e-9)
+
+
 def test_toxic_texts_are_caught(spark, sf_dir):
     folder = sf_dir.replace("0.001", "0.1")
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -497,6 +514,19 @@ def test_records_are_rebuilt_byte_for_byte(spark):
     assert stored.count() == 2
 
 
+def test_a_payload_of_many_pages_is_verified_and_shared(spark):
+    pages = spark.createDataFrame([(i, "u", "<p>" + "same " * 60 if i % 3 else f"<p>{i}") for i in range(300)], "page_id long, url string, html string")
+    back = warc_store.read_archive(spark, warc_store.write_archive(pages)).collect()
+    assert {(r["page_id"], r["payload"].decode()) for r in back} == {(r["page_id"], r["html"]) for r in pages.collect()}
+
+
+def test_a_conversation_that_does_not_come_back_ends_the_job(spark):
+    turns = spark.createDataFrame([(1, 0, "assistant", "a <| b")], "conv_id long, turn long, role string, text string")
+    spoilt = chat_format.format_conversations(turns).withColumn("round_trip", F.lit(False))
+    with pytest.raises(Exception, match="come back identical"):
+        chat_format.digest_columns(spoilt).collect()
+
+
 def test_damage_is_noticed(spark):
     from siltstone.llm import warc_store
 

@@ -159,7 +159,7 @@ class Tree:
         new, new_name = self.split(path)
         number = old[old_name]
         moving = self.inodes[number]
-        if moving["kind"] == "dir" and any(i in self._below(number) and self.inodes[i].get("entries") is new for i in self.inodes):
+        if moving["kind"] == "dir" and any(self.inodes[i].get("entries") is new for i in self._below(number)):
             raise Refused("into itself")
         there = new.get(new_name)
         if there == number:

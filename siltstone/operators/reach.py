@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.work import written
+
 
 def marked(roots: DataFrame, refs: DataFrame, location: DataFrame) -> DataFrame:
     """content_hash of everything that the roots' inodes reach; nothing at all if a reference leads nowhere.
@@ -46,29 +48,36 @@ def repack_keep(records: DataFrame, candidates: DataFrame, live: DataFrame, pinn
     return needed.unionByName(held).distinct()
 
 
-def tree_paths(edges: DataFrame, root: str, most_levels: int = 64) -> DataFrame:
-    """node, path, depth from parent-child edges by breadth-first joins; a level is one join over the frontier."""
+def tree_paths(edges: DataFrame, root: str) -> DataFrame:
+    """node, path, depth from parent-child edges by breadth-first joins; a level is one join over the frontier, and is written.
+
+    A node that comes again is on a cycle, which a tree may not have.
+    """
+    edges = edges.select("node", "parent", "name")
     level = edges.where(F.col("parent").isNull()).select("node", F.concat(F.lit(root), "name").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most_levels):
-        level = (
-            edges.join(level.select(F.col("node").alias("parent"), "path"), "parent")
-            .select("node", F.concat("path", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth"))
-        )
-        if level.isEmpty():
-            return out
+    out = level = written(level, "tree-level")
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        below = edges.join(level.select(F.col("node").alias("parent"), "path"), "parent")
+        level = written(below.select("node", F.concat("path", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth")), "tree-level")
+        if not level.join(out, "node", "left_semi").isEmpty():
+            raise ValueError("the tree has a cycle")
         out = out.unionByName(level)
-    raise ValueError("the tree is deeper than it may be, or has a cycle")
-
-
-#: The ancestor closure as a recursive query over ``{edges}`` (node, parent): the depth is unknown.
-ANCESTORS = """WITH RECURSIVE up(node, ancestor) AS (
-  SELECT node, parent FROM {edges} WHERE parent IS NOT NULL
-  UNION ALL
-  SELECT up.node, e.parent FROM up JOIN {edges} e ON e.node = up.ancestor WHERE e.parent IS NOT NULL
-) SELECT node, ancestor FROM up"""
+    return out
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """node, ancestor: one row for each node above each node."""
-    return edges.sparkSession.sql(ANCESTORS, edges=edges)
+    """node, ancestor: one row for each node above each node. Steps double, so a depth d takes log2(d) joins; each is written."""
+    step = written(edges.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor")).distinct(), "ancestors")
+    known = step
+    while True:
+        up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"))
+        further = step.join(up, "ancestor").select("node", F.col("above").alias("ancestor")).distinct()
+        # of two steps of 2 ** k: what is known goes on by one more
+        more = known.join(up, "ancestor").select("node", F.col("above").alias("ancestor"))
+        grown = written(known.unionByName(more).distinct(), "ancestors")
+        step = written(further, "ancestors")
+        if step.isEmpty() or grown.count() == known.count():
+            return grown
+        known = grown

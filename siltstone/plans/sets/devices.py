@@ -142,7 +142,7 @@ def stripe_shards_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stripes.missing_shards(descriptors, present).select("segment_id", "shard_index", "vdev_id")
 
 
-@query()
+@query(sql("SELECT ino AS segment_id, CAST(3 AS INTEGER) AS good, true AS ok, CAST(octet_length(bytes) AS BIGINT) AS body_bytes FROM blob WHERE octet_length(bytes) > 0", "blob"))
 def stripe_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every blob striped at 3 + 2, its first and last shard lost, and rebuilt."""
     bodies = T.blobs(spark, sf_dir).select(F.col("ino").alias("segment_id"), F.col("bytes").alias("body")).where("octet_length(body) > 0")

@@ -127,10 +127,10 @@ def epoch_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.census(epoch_records(spark, sf_dir), 2)
 
 
-@query(sql(f"{_FLAGS} SELECT content_hash FROM r WHERE epoch <> 2 AND content_hash IN (SELECT content_hash FROM chunk_ref WHERE lang <> 'es')", "location"))
+@query(sql(f"{_FLAGS} SELECT content_hash FROM r WHERE epoch <> 2 AND content_hash IN (SELECT content_hash FROM chunk_ref WHERE lang IS DISTINCT FROM 'es')", "location"))
 def unconverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reachable chunks that a re-key still has to rewrite."""
-    reachable = T.chunk_refs(spark, sf_dir).where("lang <> 'es'").select("content_hash").distinct()
+    reachable = T.chunk_refs(spark, sf_dir).where("lang IS DISTINCT FROM 'es'").select("content_hash").distinct()
     return delta.unconverted(reachable, epoch_records(spark, sf_dir), 2)
 
 

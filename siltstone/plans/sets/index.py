@@ -28,25 +28,25 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upserted(old, new, ["content_hash", "vdev_id"]).select("content_hash", "vdev_id", "segment_id")
 
 
-@query(sql('SELECT content_hash, vdev_id, segment_id, "offset", len FROM replica WHERE segment_id % 1000000 <> 0', "replica"))
+@query(sql('SELECT content_hash, vdev_id, segment_id, "offset", len FROM replica WHERE segment_id % 1099511627776 <> 0', "replica"))
 def forget_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7, K8: the first segment of every shard is gone; what pointed there is forgotten."""
     index = index_of(spark, sf_dir)
-    gone = index.where("segment_id % 1000000 = 0").select("segment_id").distinct()
+    gone = index.where("segment_id % 1099511627776 = 0").select("segment_id").distinct()
     return store.forgotten(index, gone)
 
 
 @query(
     sql(
-        f"""SELECT content_hash, vdev_id, segment_id, "offset", len FROM replica WHERE segment_id % 1000000 <> 0
-UNION ALL SELECT content_hash, {STRIPED}, segment_id, min("offset"), min(len) FROM replica WHERE segment_id % 1000000 = 0 GROUP BY content_hash, segment_id""",
+        f"""SELECT content_hash, vdev_id, segment_id, "offset", len FROM replica WHERE segment_id % 1099511627776 <> 0
+UNION ALL SELECT content_hash, {STRIPED}, segment_id, min("offset"), min(len) FROM replica WHERE segment_id % 1099511627776 = 0 GROUP BY content_hash, segment_id""",
         "replica",
     )
 )
 def restripe_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K9: the first segment of every shard moved from mirrors to a stripe."""
     index = index_of(spark, sf_dir)
-    cold = index.where("segment_id % 1000000 = 0").select("segment_id").distinct()
+    cold = index.where("segment_id % 1099511627776 = 0").select("segment_id").distinct()
     return store.restriped(index, cold, STRIPED)
 
 

@@ -11,8 +11,8 @@ from siltstone.sources import tables as T
 
 sql = T.with_tables
 
-#: What stays reachable in the queries below: every directory tree but the Spanish one, which was deleted.
-LIVE = "lang <> 'es'"
+#: What stays reachable in the queries below: every directory tree but the Spanish one, which was deleted; files without a language live.
+LIVE = "lang IS DISTINCT FROM 'es'"
 
 
 def live_hashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,15 +166,15 @@ def sweep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     sql(
-        f"""{_SEGMENTS}, pub AS (SELECT max(segment_id % 1000000) AS g FROM seg)
-SELECT segment_id, CASE WHEN shard = 15 THEN true ELSE (SELECT g FROM pub) >= segment_id % 1000000 + 2 END AS ok FROM seg""",
+        f"""{_SEGMENTS}, pub AS (SELECT max(segment_id % 1099511627776) AS g FROM seg)
+SELECT segment_id, CASE WHEN shard = 15 THEN true ELSE (SELECT g FROM pub) >= segment_id % 1099511627776 + 2 END AS ok FROM seg""",
         "location",
     )
 )
 def may_reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sealed generation is the place in the shard; shard 15 isn't tracked."""
     own = segments(T.locations(T.chunk_refs(spark, sf_dir)))
-    generation = F.col("segment_id") % 1_000_000
+    generation = F.col("segment_id") % T.SEGMENTS_A_SHARD
     sealed = own.where("shard <> 15").select("segment_id", generation.alias("sealed_generation"))
     published = own.agg(F.max(generation).alias("published"))
     known = own.crossJoin(F.broadcast(published))  # one row

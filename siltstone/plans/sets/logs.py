@@ -2,37 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import namespace
 from siltstone.plans.catalogue import query
 from siltstone.sources import tables as T
+from siltstone.sources import work
 from siltstone.streaming import streams
 
 sql = T.with_tables
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's shared folder; a temporary one where none is configured (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(found or f'file://{tempfile.mkdtemp()}').rstrip('/')}/streams-{uuid.uuid4().hex}"
+def _path(n: int) -> Column:
+    """A name in a tree of three levels, two or three names each, drawn from the event's number."""
+    drawn = F.col("event_id") * n
+    digit = lambda by, of: F.pmod(F.floor(drawn / by), F.lit(of)).cast("string")
+    top, middle, low = F.concat(F.lit("/n"), digit(3, 2)), F.concat(F.lit("/m"), digit(6, 3)), F.concat(F.lit("/k"), digit(18, 2))
+    depth = F.pmod(drawn, F.lit(3))
+    return F.when(depth == 0, top).when(depth == 1, F.concat(top, middle)).otherwise(F.concat(top, middle, low))
 
 
 def operation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as operations of their user's tree: eight paths, offsets and lengths from the event."""
-    paths = F.array(*[F.lit(p) for p in ("/a", "/b", "/c", "/dir1", "/dir1/x", "/dir1/y", "/dir2", "/dir2/z")])
+    """Events as operations of their user's tree: names, offsets and lengths from the event."""
     ops = F.array(*[F.lit(o) for o in ("write", "mkdir", "write", "rename", "link", "truncate", "fallocate", "unlink", "rmdir", "symlink", "write")])
-    pick = lambda a, n: F.element_at(a, (F.pmod(F.col("event_id") * n, F.size(a)) + 1).cast("int"))
     return T.read(spark, sf_dir, "events").select(
         F.col("user_id").alias("case_id"),
         F.row_number().over(_by_user()).alias("seq"),
-        pick(ops, 7).alias("op"),
-        pick(paths, 5).alias("path"),
-        pick(paths, 3).alias("target"),
+        F.element_at(ops, (F.pmod(F.col("event_id") * 7, F.size(ops)) + 1).cast("int")).alias("op"),
+        _path(5).alias("path"),
+        _path(7).alias("target"),
         (F.col("event_id") * 37 % 8192).alias("offset"),
         (F.col("event_id") * 13 % 4096).alias("len"),
         F.encode(F.coalesce("props", F.lit("")), "utf-8").alias("data"),
@@ -59,37 +58,38 @@ def namespace_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return namespace.outcomes(operation_log(spark, sf_dir)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _written(rows: DataFrame, folder: str, files: int, order: str) -> str:
-    rows.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(folder)
+def _written(rows: DataFrame, folder: str, key: str, order: str) -> str:
+    """A log as files, as many as its size asks for; what has one key is in one file and in order."""
+    rows.repartition(key).sortWithinPartitions(order).write.parquet(folder)
     return folder
 
 
 @query(sql("SELECT shard_id, ino, max(epoch) AS epoch, arg_max(new_object_hash, epoch) AS new_object_hash FROM delta GROUP BY shard_id, ino", "delta"))
 def delta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest state, kept up by a stream over the log's files."""
-    folder, log = work_folder(spark), T.delta_log(spark, sf_dir).drop("event_id")
-    stream = streams.latest_state(streams.source(spark, _written(log, f"{folder}/log", 3, "epoch"), log))
-    return streams.available_now(stream, f"delta_{uuid.uuid4().hex}", "complete", f"{folder}/checkpoint")
+    folder, log = work.fresh(spark, "streams"), T.delta_log(spark, sf_dir).select("shard_id", "ino", "epoch", "new_object_hash")
+    stream = streams.source(spark, _written(log, f"{folder}/log", "shard_id", "epoch"), log)
+    return streams.latest_now(stream, folder, ["shard_id", "ino"], "epoch")
 
 
 @query(sql("SELECT shard_id, event_id, epoch FROM delta", "delta"))
 def commit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epochs handed out by a counter that is state of each shard."""
-    folder = work_folder(spark)
+    folder = work.fresh(spark, "streams")
     ops = T.read(spark, sf_dir, "events").select("event_id", "ts", F.pmod("user_id", F.lit(T.SHARDS)).cast("int").alias("shard_id"))
-    stream = streams.committed(streams.source(spark, _written(ops, f"{folder}/log", 1, "ts"), ops))
-    return streams.available_now(stream, f"commit_{uuid.uuid4().hex}", "append", f"{folder}/checkpoint")
+    stream = streams.committed(streams.source(spark, _written(ops, f"{folder}/log", "shard_id", "ts"), ops))
+    return streams.available_now(stream, folder)
 
 
 @query("SELECT DISTINCT sha256(coalesce(props, '')) AS content_hash FROM events")
 def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content hashes the first time they come, over a stream."""
-    folder = work_folder(spark)
+    folder = work.fresh(spark, "streams")
     rows = T.read(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.sha2(F.coalesce("props", F.lit("")).cast("binary"), 256).alias("content_hash")
     )
-    stream = streams.first_seen(streams.source(spark, _written(rows, f"{folder}/log", 2, "ts"), rows), "ts", "3650 days")
-    return streams.available_now(stream.select("content_hash"), f"dedup_{uuid.uuid4().hex}", "append", f"{folder}/checkpoint")
+    stream = streams.first_seen(streams.source(spark, _written(rows, f"{folder}/log", "content_hash", "ts"), rows), "ts", "3650 days")
+    return streams.available_now(stream.select("content_hash"), folder)
 
 
 @query("""WITH e AS (SELECT user_id % 16 AS shard_id, ts FROM events), m AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY shard_id ORDER BY ts) + INTERVAL 30 SECOND THEN 0 ELSE 1 END AS fresh FROM e),
@@ -97,10 +97,13 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY shard_id ORDER BY ts) AS g FROM m)
 SELECT CAST(shard_id AS INTEGER) AS shard_id, CAST(epoch_us(min(ts)) AS BIGINT) AS opened, CAST(epoch_us(max(ts)) + 30000000 AS BIGINT) AS sealed, count(*) AS records FROM g GROUP BY shard_id, g""")
 def idle_seal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session windows of 30 seconds by shard, over a stream."""
-    folder = work_folder(spark)
+    folder = work.fresh(spark, "streams")
     rows = T.read(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(T.SHARDS)).cast("int").alias("shard_id"), F.col("ts").cast("timestamp").alias("ts"))
-    found = streams.idle_seals(streams.source(spark, _written(rows, f"{folder}/log", 2, "ts"), rows), "ts", "30 seconds", "3650 days")
-    out = streams.available_now(found, f"seal_{uuid.uuid4().hex}", "complete", f"{folder}/checkpoint")
+    # a last record, of no shard, moves the watermark past all others, so that their segments are sealed
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 7300 DAYS")).alias("ts")).select(F.lit(-1).alias("shard_id"), "ts")
+    end.write.mode("append").parquet(_written(rows, f"{folder}/log", "shard_id", "ts"))
+    found = streams.idle_seals(streams.source(spark, f"{folder}/log", rows), "ts", "30 seconds", "3650 days")
+    out = streams.available_now(found, folder).where("shard_id >= 0")
     return out.select("shard_id", F.unix_micros("opened").alias("opened"), F.unix_micros("sealed").alias("sealed"), "records")
 
 
@@ -113,9 +116,9 @@ SELECT ino, seq, CAST(sum(begins) OVER (PARTITION BY ino ORDER BY seq) AS BIGINT
 )
 def append_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append sessions with the expected offset as state."""
-    folder, offset = work_folder(spark), (F.col("event_id") % 7) * 8
+    folder, offset = work.fresh(spark, "streams"), (F.col("event_id") % 7) * 8
     writes = T.read(spark, sf_dir, "events").select(
         F.col("user_id").alias("ino"), F.col("event_id").alias("seq"), offset.alias("offset"), F.lit(8).cast("long").alias("len")
     )
-    stream = streams.append_sessions(streams.source(spark, _written(writes, f"{folder}/log", 1, "seq"), writes))
-    return streams.available_now(stream, f"sessions_{uuid.uuid4().hex}", "append", f"{folder}/checkpoint")
+    stream = streams.append_sessions(streams.source(spark, _written(writes, f"{folder}/log", "ino", "seq"), writes))
+    return streams.available_now(stream, folder)

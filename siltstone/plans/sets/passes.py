@@ -15,7 +15,7 @@ from siltstone.sources import tables as T
 sql = T.with_tables
 
 _SWEPT = """
-, live AS (SELECT DISTINCT content_hash FROM chunk_ref WHERE lang <> 'es'),
+, live AS (SELECT DISTINCT content_hash FROM chunk_ref WHERE lang IS DISTINCT FROM 'es'),
 seg AS (SELECT segment_id, min(shard) AS shard, sum(record_len) + 4160 AS total, coalesce(sum(record_len) FILTER (content_hash IN (SELECT content_hash FROM live)), 0) AS alive FROM location GROUP BY segment_id),
 cand AS (SELECT segment_id FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY segment_id DESC) AS age FROM seg) WHERE age > 1 AND alive < 0.95 * total),
 aft AS (SELECT * FROM location WHERE segment_id NOT IN (SELECT segment_id FROM cand) OR content_hash IN (SELECT content_hash FROM live))"""

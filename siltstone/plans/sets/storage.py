@@ -131,7 +131,7 @@ def dedup_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_dir.withColumn("dir", F.coalesce("dir", F.lit(""))).unionByName(whole.withColumn("dir", F.lit("*")))
 
 
-@query(sql("SELECT hit, count(*) AS chunks, CAST(sum(refs) AS BIGINT) AS refs, CAST(sum(len) AS BIGINT) AS n_bytes FROM (SELECT content_hash, min(len) AS len, count(*) AS refs, content_hash IN (SELECT content_hash FROM chunk_ref WHERE lang = 'en') AS hit FROM chunk_ref WHERE lang <> 'en' GROUP BY content_hash) GROUP BY hit", "chunk_ref"))
+@query(sql("SELECT hit, count(*) AS chunks, CAST(sum(refs) AS BIGINT) AS refs, CAST(sum(len) AS BIGINT) AS n_bytes FROM (SELECT content_hash, min(len) AS len, count(*) AS refs, content_hash IN (SELECT content_hash FROM chunk_ref WHERE lang = 'en') AS hit FROM chunk_ref WHERE lang IS DISTINCT FROM 'en' GROUP BY content_hash) GROUP BY hit", "chunk_ref"))
 def dedup_new_vs_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a store that holds the English files has of the others' chunks."""
     refs = T.chunk_refs(spark, sf_dir)
@@ -143,9 +143,9 @@ def dedup_new_vs_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(
         """
 , copies AS (SELECT content_hash, ino AS segment_id, logical_offset AS "offset" FROM chunk_ref),
-low AS (SELECT content_hash, min(segment_id * 1000000000 + "offset") AS canon, count(*) AS n FROM copies GROUP BY content_hash)
-SELECT c.content_hash, canon // 1000000000 AS canonical_segment, canon % 1000000000 AS canonical_offset, segment_id AS loser_segment, "offset" AS loser_offset
-FROM copies c JOIN low USING (content_hash) WHERE n > 1 AND segment_id * 1000000000 + "offset" <> canon
+low AS (SELECT content_hash, min(segment_id * 131072 + "offset") AS canon, count(*) AS n FROM copies GROUP BY content_hash)
+SELECT c.content_hash, canon // 131072 AS canonical_segment, canon % 131072 AS canonical_offset, segment_id AS loser_segment, "offset" AS loser_offset
+FROM copies c JOIN low USING (content_hash) WHERE n > 1 AND segment_id * 131072 + "offset" <> canon
 """,
         "chunk_ref",
     )
@@ -242,7 +242,7 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(T.locations(refs), "content_hash").select("ino", "content_hash", "segment_id", "offset")
 
 
-@query(sql("SELECT content_hash, max(seq) AS seq FROM (SELECT content_hash, ino * 1000000 + ordinal AS seq FROM chunk_ref) GROUP BY content_hash", "chunk_ref"))
+@query(sql("SELECT content_hash, max(seq) AS seq FROM (SELECT content_hash, ino * 67108864 + ordinal AS seq FROM chunk_ref) GROUP BY content_hash", "chunk_ref"))
 def scan_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full scan into an index, later records over earlier ones."""
     rows = T.chunk_refs(spark, sf_dir).select("content_hash", T.sequence_number(F.col("ino"), F.col("ordinal")).alias("seq"))

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from siltstone.functions.addresses import address, hex_digit
 
 BLOCK, SEGMENT_CAP, HEADER_BYTES, SHARDS, DEVICES, INLINE = 256, 65536, 64, 16, 3, 512
+#: Segment ids of a shard and blocks of a file: so many, that no two owners' numbers meet (64 PiB a shard, 16 GiB a file).
+SEGMENTS_A_SHARD, BLOCKS_A_FILE = 1 << 40, 1 << 26
+#: Running sums go by ranges of so many files and then over the ranges' sums.
+FILES_A_RANGE = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,33 +60,41 @@ def chunk_refs(spark: SparkSession, sf_dir: str, keep_payload: bool = False) ->
 
 def sequence_number(ino: Column, ordinal: Column) -> Column:
     """The order in which blocks were written."""
-    return ino * 1_000_000 + ordinal
+    return ino * BLOCKS_A_FILE + ordinal
+
+
+def sums_before(rows: DataFrame, owner: str, bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the owner's earlier rows, in two levels: within buckets, which are ranges of the order, and over buckets."""
+    totals = rows.groupBy(owner, bucket).agg(F.sum(value).alias("total"))
+    earlier = Window.partitionBy(owner).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(owner, bucket, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    within = F.sum(value).over(Window.partitionBy(owner, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return rows.withColumn(name, within).join(base, [owner, bucket]).withColumn(name, F.col(name) + F.col("base")).drop("base")
 
 
 def locations(refs: DataFrame, *more: Column) -> DataFrame:
     """content_hash, len, seq, shard, record_len, segment_id, offset: first copies, appended to their shard's segments.
 
-    The running sum goes by shard, so it is as parallel as there are shards.
-    ``more`` are further aggregates over a hash's references, which then need
+    The running sum goes by shard and range of files. ``more`` are further aggregates over a hash's references, which then need
     no pass of their own.
     """
     first = refs.groupBy("content_hash").agg(
         F.min("len").alias("len"), F.min(sequence_number(F.col("ino"), F.col("ordinal"))).alias("seq"), *more
     )
     carried = [c for c in first.columns if c not in ("content_hash", "len", "seq")]
-    w = Window.partitionBy("shard").orderBy("seq")
     placed = (
         first.withColumn("shard", hex_digit(F.col("content_hash"), 1))
         .withColumn("record_len", F.col("len") + HEADER_BYTES)
-        .withColumn("at", F.sum("record_len").over(w) - F.col("record_len"))
+        .withColumn("range", F.floor(F.col("seq") / (BLOCKS_A_FILE * FILES_A_RANGE)))
     )
+    placed = sums_before(placed, "shard", "range", ["seq"], "record_len", "at")
     return placed.select(
         "content_hash",
         "len",
         "seq",
         "shard",
         "record_len",
-        (F.col("shard") * 1_000_000 + F.floor(F.col("at") / SEGMENT_CAP)).alias("segment_id"),
+        (F.col("shard") * F.lit(SEGMENTS_A_SHARD) + F.floor(F.col("at") / SEGMENT_CAP)).alias("segment_id"),
         (F.col("at") % SEGMENT_CAP).alias("offset"),
         *carried,
     )
@@ -101,11 +113,13 @@ def replicas(location: DataFrame, devices: int = DEVICES) -> DataFrame:
 
 def delta_log(spark: SparkSession, sf_dir: str, shards: int = SHARDS) -> DataFrame:
     """shard_id, ino, new_object_hash, epoch, segment_id, event_id: the events as commits of their shard, 256 a segment."""
-    w = Window.partitionBy("shard_id").orderBy("ts", "event_id")
+    rows = read(spark, sf_dir, "events").select(
+        "event_id", "ts", F.col("user_id").alias("ino"), F.pmod("user_id", F.lit(shards)).cast("int").alias("shard_id"), "props"
+    )
+    rows = rows.withColumns({"day": F.to_date("ts"), "one": F.lit(1).cast("long")})
     return (
-        read(spark, sf_dir, "events")
-        .select("event_id", "ts", F.col("user_id").alias("ino"), F.pmod("user_id", F.lit(shards)).cast("int").alias("shard_id"), "props")
-        .withColumn("epoch", F.row_number().over(w).cast("long"))
+        sums_before(rows, "shard_id", "day", ["ts", "event_id"], "one", "before")
+        .withColumn("epoch", F.col("before") + 1)
         .select(
             "shard_id",
             "ino",
@@ -122,10 +136,10 @@ SQL = {
     "blob": "SELECT doc_id AS ino, source AS dir, lang, encode(coalesce(text, '')) AS bytes FROM documents",
     "chunk_ref": """SELECT ino, dir, lang, o // 256 AS ordinal, o AS logical_offset, payload, sha256(payload) AS content_hash, octet_length(payload) AS len
   FROM (SELECT ino, dir, lang, o, bytes[o + 1 : o + 256] AS payload FROM (SELECT *, unnest(range(0, octet_length(bytes), 256)) AS o FROM blob))""",
-    "location": """SELECT content_hash, len, seq, shard, record_len, shard * 1000000 + pos // 65536 AS segment_id, pos % 65536 AS "offset"
+    "location": """SELECT content_hash, len, seq, shard, record_len, shard * 1099511627776 + pos // 65536 AS segment_id, pos % 65536 AS "offset"
   FROM (SELECT *, CAST(sum(record_len) OVER (PARTITION BY shard ORDER BY seq) AS BIGINT) - record_len AS pos
     FROM (SELECT *, instr('0123456789abcdef', substr(content_hash, 1, 1)) - 1 AS shard, len + 64 AS record_len
-      FROM (SELECT content_hash, min(len) AS len, min(ino * 1000000 + ordinal) AS seq FROM chunk_ref GROUP BY content_hash)))""",
+      FROM (SELECT content_hash, min(len) AS len, min(ino * 67108864 + ordinal) AS seq FROM chunk_ref GROUP BY content_hash)))""",
     "replica": """SELECT *, instr('0123456789abcdef', substr(content_hash, 3, 1)) - 1 <> vdev_id + 4 AS good,
     CASE WHEN instr('0123456789abcdef', substr(content_hash, 4, 1)) - 1 = vdev_id + 8 THEN 'zstd' ELSE 'none' END AS codec
   FROM (SELECT *, unnest(range(0, 3)) AS vdev_id FROM location) WHERE instr('0123456789abcdef', substr(content_hash, 2, 1)) - 1 <> vdev_id""",

@@ -2,16 +2,20 @@
 
 A version is a directory of Parquet files; publishing it is one row in the
 manifest, written only after all files are there, so a failed write leaves
-nothing visible. Readers take the newest published version, or the one that a
-snapshot names. The manifest is appended to and never rewritten.
+nothing visible. That row's file is named by the generation and made only if it
+isn't there, so of two writers one publishes and the other is told so. Readers
+take the newest published version, or the one that a snapshot names. The
+manifest is added to and never rewritten.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +49,29 @@ class VersionedTable:
         """Writes a version and makes it visible; refuses if ``expected`` is no longer the newest generation."""
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.folder}/data/{version}")
-        now = self.generation()
-        if expected is not None and now != expected:
-            raise StaleError(f"generation {now} was published after {expected}")
-        self._append("publish", "", now + 1, version)
-        return now + 1
+        while True:
+            now = self.generation()
+            if expected is not None and now != expected:
+                raise StaleError(f"generation {now} was published after {expected}")
+            if self._claim(now + 1, version):
+                return now + 1
+
+    def _claim(self, generation: int, version: str) -> bool:
+        """Makes the manifest's file of a generation; false if another writer made it."""
+        row = {"kind": "publish", "name": "", "generation": generation, "version": version, "created_at_nanos": time.time_ns()}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest/generation-{generation:020d}.json")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = files.create(path, False)  # fails if it exists
+        except Py4JJavaError as e:
+            if files.exists(path):
+                return False
+            raise e
+        try:
+            out.write(bytearray(json.dumps(row).encode() + b"\n"))
+        finally:
+            out.close()
+        return True
 
     def read(self, generation: int | None = None) -> DataFrame:
         wanted = self.generation() if generation is None else generation

@@ -2,8 +2,7 @@
 
 Sources are folders of Parquet files, read ``maxFilesPerTrigger`` at a time,
 which is the back-pressure: nothing is dropped, a slow consumer falls behind.
-``available_now`` drains what is there and stops; its sink is the memory table
-or a folder that the caller names.
+``available_now`` drains what is there and stops; its sink is a folder.
 """
 
 from __future__ import annotations
@@ -83,11 +82,19 @@ def committed(ops: DataFrame) -> DataFrame:
     )
 
 
-def available_now(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs the stream over what its source has; the result as the memory table ``name``."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def available_now(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs an appending stream over what its source has; its rows are files in ``folder``, none of them on the driver."""
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def latest_now(stream: DataFrame, folder: str, keys: list[str], version: str) -> DataFrame:
+    """Runs a stream of changes over what its source has; each batch leaves its newest row a key, the newest of these are the state."""
+    upsert_into(stream, f"{folder}/batches", keys, version, f"{folder}/checkpoint")
+    rest = [c for c in stream.columns if c not in keys]
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/batches/batch=*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("t")).select(*keys, *[f"t.{c}" for c in rest])
 
 
 def upsert_into(stream: DataFrame, folder: str, keys: list[str], version: str, checkpoint: str) -> None:

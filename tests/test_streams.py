@@ -1,7 +1,5 @@
 """Streams against their batch twins, run in several micro-batches."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from siltstone.functions.addresses import slice_of
@@ -22,8 +20,8 @@ def test_latest_state_above_a_watermark(spark, tmp_path):
     log = written(spark, ROWS, LOG, f"{tmp_path}/log", "epoch")
     marks = spark.createDataFrame([(0, 20), (1, 38)], "shard_id int, watermark long")
     source = streams.source(spark, f"{tmp_path}/log", log)
-    stream = streams.latest_state(streams.above_watermark(source, marks))
-    found = streams.available_now(stream, f"t_{uuid.uuid4().hex}", "complete", f"{tmp_path}/checkpoint")
+    stream = streams.above_watermark(source, marks).drop("watermark")
+    found = streams.latest_now(stream, f"{tmp_path}/out", ["shard_id", "ino"], "epoch")
     columns = ["shard_id", "ino", "new_object_hash", "epoch"]
     assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, delta.replayed(log, marks).select(columns).collect()))
 
@@ -43,7 +41,7 @@ def test_sessions_go_on_from_batch_to_batch(spark, tmp_path):
     for i in range(4):  # files come in the order in which a log is written
         writes.where(f"seq DIV 15 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
     stream = streams.append_sessions(streams.source(spark, f"{tmp_path}/log", writes))
-    found = streams.available_now(stream, f"t_{uuid.uuid4().hex}", "append", f"{tmp_path}/checkpoint")
+    found = streams.available_now(stream, f"{tmp_path}/out")
     batch = extents.append_sessions(writes).select("ino", "seq", "session")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect()))
 

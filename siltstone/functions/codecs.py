@@ -125,3 +125,64 @@ def rs_decode(shards: dict[int, bytes], k: int, m: int, length: int) -> bytes:
                 work[r] ^= gf_mul(work[col], c)
                 right[r] ^= gf_mul(right[col], c)
     return right.tobytes()[:length]
+
+
+# keys, values and objects as bytes, all as column expressions
+
+
+def _wide(value: Column, digits: int) -> Column:
+    """A number as so many hex digits, big-endian, so that bytes sort like numbers."""
+    return F.lpad(F.lower(F.hex(value.cast("long"))), digits, "0")
+
+
+def index_key(content_hash: Column, vdev_id: Column) -> Column:
+    return F.unhex(F.concat(content_hash, _wide(vdev_id, 4)))
+
+
+def index_value(segment_id: Column, offset: Column, length: Column) -> Column:
+    return F.unhex(F.concat(_wide(segment_id, 16), _wide(offset, 16), _wide(length, 8)))
+
+
+def index_entry(key: Column, value: Column) -> Column:
+    """content_hash, vdev_id, segment_id, offset, len of an encoded entry."""
+    number = lambda raw, start, n: F.conv(F.hex(F.substring(raw, start, n)), 16, 10).cast("long")
+    return F.struct(
+        F.lower(F.hex(F.substring(key, 1, 32))).alias("content_hash"),
+        number(key, 33, 2).alias("vdev_id"),
+        number(value, 1, 8).alias("segment_id"),
+        number(value, 9, 8).alias("offset"),
+        number(value, 17, 4).alias("len"),
+    )
+
+
+def derived_key(epoch: Column, secret: Column) -> Column:
+    """The key (hex) of an epoch."""
+    return F.sha2(F.encode(F.concat(F.lit("derive:"), epoch.cast("string"), F.lit(":"), secret), "utf-8"), 256)
+
+
+def check_value(key: Column) -> Column:
+    """Tells whether a key is the right one without telling the key."""
+    return F.substring(F.sha2(F.encode(F.concat(F.lit("check:"), key), "utf-8"), 256), 1, 8)
+
+
+def key_line(identity: Column) -> Column:
+    """Hex digits and four more that check them."""
+    return F.concat(identity, F.substring(F.sha2(F.encode(identity, "utf-8"), 256), 1, 4))
+
+
+def key_line_ok(line: Column) -> Column:
+    identity = F.substring(line, F.lit(1), F.length(line) - 4)
+    return key_line(identity) == line
+
+
+def encoded_object(value: Column) -> Column:
+    """A struct as its checksum (8 hex digits) and its JSON."""
+    body = F.to_json(value)
+    return F.encode(F.concat(F.lpad(F.lower(F.hex(F.crc32(F.encode(body, "utf-8")))), 8, "0"), body), "utf-8")
+
+
+def decoded_object(raw: Column, schema: str) -> Column:
+    """The struct again; null where the checksum is another."""
+    body = F.substring(raw, F.lit(9), F.octet_length(raw))
+    good = F.decode(F.substring(raw, 1, 8), "utf-8") == F.lpad(F.lower(F.hex(F.crc32(body))), 8, "0")
+    return F.when(good, F.from_json(F.decode(body, "utf-8"), schema))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,21 +96,27 @@ def sealed_segments(location: DataFrame) -> DataFrame:
 
 
 def greedy_segments(records: DataFrame, cap: int) -> DataFrame:
-    """shard, seq, record_len with roll: a record that would pass the cap opens a segment (shard by shard)."""
+    """shard, seq, record_len with roll: a record that would pass the cap opens a segment.
+
+    Where a segment ends depends on all before it, so a shard is one task; its rows go by in order, batch by batch.
+    """
 
-    def roll(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        number, used, numbers, offsets = 0, 0, [], []
-        for n in pdf["record_len"].tolist():
-            if used and used + n > cap:
-                number, used = number + 1, 0
-            numbers.append(number)
-            offsets.append(used)
-            used += n
-        return pdf.assign(segment_no=numbers, offset=offsets)
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number, used = None, 0, 0
+        for b in batches:
+            numbers, offsets = [], []
+            for shard, n in zip(b["shard"].to_pylist(), b["record_len"].to_pylist(), strict=True):
+                if shard != at:
+                    at, number, used = shard, 0, 0
+                if used and used + n > cap:
+                    number, used = number + 1, 0
+                numbers.append(number)
+                offsets.append(used)
+                used += n
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], [*b.schema.names, "segment_no", "offset"])
 
-    schema = "shard int, seq long, record_len long, segment_no long, offset long"
-    return records.select("shard", "seq", "record_len").groupBy("shard").applyInPandas(roll, schema)
+    ordered = records.select("shard", "seq", "record_len").repartition("shard").sortWithinPartitions("shard", "seq")
+    return ordered.mapInArrow(roll, "shard int, seq long, record_len long, segment_no long, offset long")
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,10 +150,18 @@ def preferred(index: DataFrame) -> DataFrame:
     return index.groupBy("content_hash").agg(place).select("content_hash", "p.*")
 
 
-def running_within(rows: DataFrame, order: str, size: str, budget: int) -> DataFrame:
-    """Rows whose predecessors' sizes leave some of the budget (the one that spends the last of it included)."""
-    spent = F.sum(size).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("spent", F.coalesce(spent, F.lit(0))).where(F.col("spent") < budget).drop("spent")
+def running_within(rows: DataFrame, order: str, size: str, budget: int, width: int = 1 << 16) -> DataFrame:
+    """Rows whose predecessors' sizes leave some of the budget (the one that spends the last of it included).
+
+    Sums go by ranges of ``width`` numbers first; only one row a range is put in one order, and only the ranges that
+    the budget reaches are looked into.
+    """
+    ranged = rows.withColumn("range", F.floor(F.col(order) / width))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = ranged.groupBy("range").agg(F.sum(size).alias("total")).select("range", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    within = F.sum(size).over(Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
+    near = ranged.join(base.where(F.col("base") < budget), "range").withColumn("spent", F.col("base") + within)
+    return near.where(F.col("spent") < budget).drop("range", "base", "spent")
 
 
 def absent_only(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -79,6 +79,45 @@ def inconsistent(shards: DataFrame, k: int, m: int, page: int = 4096) -> DataFra
     return shards.groupBy("segment_id").applyInArrow(run, "rule string, key string, detail string")
 
 
+def rebuilt(shards: DataFrame, k: int, m: int) -> DataFrame:
+    """Shards that are missing or don't verify, made again from any ``k`` that do: segment_id, shard_index, shard_hash, bytes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        held, length = {}, 0
+        for row in t.to_pylist():
+            length = row["logical_len"]
+            if hashlib.sha256(row["bytes"]).hexdigest() == row["shard_hash"]:
+                held[row["shard_index"]] = row["bytes"]
+        again = dict(enumerate(rs_encode(rs_decode(held, k, m, length), k, m))) if len(held) >= k else {}
+        lost = sorted(set(again) - set(held))
+        return pa.table(
+            {
+                "segment_id": pa.array([t["segment_id"][0].as_py()] * len(lost), pa.int64()),
+                "shard_index": pa.array(lost, pa.int32()),
+                "shard_hash": pa.array([hashlib.sha256(again[i]).hexdigest() for i in lost], pa.string()),
+                "bytes": pa.array([again[i] for i in lost], pa.binary()),
+            }
+        )
+
+    return shards.groupBy("segment_id").applyInArrow(run, "segment_id long, shard_index int, shard_hash string, bytes binary")
+
+
+def bodies(shards: DataFrame, k: int, m: int) -> DataFrame:
+    """segment_id, raw: bodies put together again from any ``k`` shards that verify; those without are left out."""
+
+    def run(t: pa.Table) -> pa.Table:
+        held, length, body_hash = {}, 0, None
+        for row in t.to_pylist():
+            length, body_hash = row["logical_len"], row["body_hash"]
+            if hashlib.sha256(row["bytes"]).hexdigest() == row["shard_hash"]:
+                held[row["shard_index"]] = row["bytes"]
+        raw = rs_decode(held, k, m, length) if len(held) >= k else None
+        good = raw is not None and hashlib.sha256(raw).hexdigest() == body_hash
+        return pa.table({"segment_id": t["segment_id"][: int(good)], "raw": pa.array([raw] if good else [], pa.binary())})
+
+    return shards.groupBy("segment_id").applyInArrow(run, "segment_id long, raw binary")
+
+
 def missing_shards(descriptors: DataFrame, present: DataFrame) -> DataFrame:
     """segment_id, shard_index, vdev_id: shards that a descriptor's device list names and nobody has."""
     named = descriptors.select("segment_id", F.posexplode("devices").alias("shard_index", "vdev_id"))

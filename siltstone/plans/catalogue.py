@@ -37,6 +37,8 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         layout,
         logs,
         passes,
+        recovery,
+        rules,
         storage,
     )
 

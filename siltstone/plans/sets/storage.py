@@ -201,7 +201,17 @@ def segment_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.locations(T.chunk_refs(spark, sf_dir))
 
 
-@query()
+@query(
+    sql(
+        """RECURSIVE , g AS MATERIALIZED (SELECT shard, seq, record_len, row_number() OVER (PARTITION BY shard ORDER BY seq) AS n FROM location),
+w(shard, seq, record_len, n, segment_no, pos) AS (
+  SELECT shard, seq, record_len, n, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM g WHERE n = 1
+  UNION ALL SELECT g.shard, g.seq, g.record_len, g.n, w.segment_no + CASE WHEN w.pos + w.record_len + g.record_len > 65536 THEN 1 ELSE 0 END,
+    CASE WHEN w.pos + w.record_len + g.record_len > 65536 THEN 0 ELSE w.pos + w.record_len END FROM w JOIN g ON g.shard = w.shard AND g.n = w.n + 1)
+SELECT shard, seq, record_len, segment_no, pos AS "offset" FROM w""",
+        "location",
+    )
+)
 def segment_pack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact roll, which is sequential by shard."""
     return store.greedy_segments(T.locations(T.chunk_refs(spark, sf_dir)), T.SEGMENT_CAP)

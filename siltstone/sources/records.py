@@ -90,6 +90,68 @@ def scan_segments(segments: DataFrame, payloads: bool = True) -> DataFrame:
     return segments.select("segment_id", "raw").mapInArrow(run, SEGMENT_ROWS)
 
 
+READ = "segment_id long, start long, content_hash string, codec string, stored long, ok boolean, raw binary"
+
+
+def read_records(segments: DataFrame, places: DataFrame) -> DataFrame:
+    """One record for each place (segment_id, start), read on its own: its header, its stored bytes (``raw``) and whether they verify.
+
+    ``raw`` is what is copied forward without unpacking. A place where
+    no record begins gives a row without a hash that is not ok.
+    """
+    wanted = places.select("segment_id", "start")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for segment, start, raw in zip(b["segment_id"].to_pylist(), b["start"].to_pylist(), b["raw"].to_pylist(), strict=True):
+                found = parse_header(raw, start)
+                if found is None:
+                    rows.append((segment, start, None, None, None, False, None))
+                    continue
+                header, begin, end = found
+                stored = raw[begin:end]
+                ok = hashlib.sha256(stored).hexdigest() == header["hash"]
+                rows.append((segment, start, header["hash"], header["codec"], len(stored), ok, stored))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary())
+            names = ["segment_id", "start", "content_hash", "codec", "stored", "ok", "raw"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    return segments.join(wanted, "segment_id").select("segment_id", "start", "raw").mapInArrow(run, READ)
+
+
+def headers(segments: DataFrame) -> DataFrame:
+    """segment_id, place, start, content_hash: record by record by their headers alone, payloads are stepped over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for segment, whole in zip(b["segment_id"].to_pylist(), b["raw"], strict=True):
+                raw, at, place = memoryview(whole.as_buffer()), PAGE, 0
+                while at < len(raw) and (step := header_step(raw, at)) is not None:
+                    rows.append((segment, place, at, step[0]))
+                    at, place = step[1], place + 1
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["segment_id", "place", "start", "content_hash"])
+
+    return segments.select("segment_id", "raw").mapInArrow(run, "segment_id long, place long, start long, content_hash string")
+
+
+def header_step(raw: memoryview, at: int) -> tuple[str, int] | None:
+    """A record's hash and where the next one begins, from its header's bytes; None where no record begins."""
+    if at + 8 > len(raw):
+        return None
+    (n,) = struct.unpack_from("<I", raw, at)
+    stop = at + 4 + n
+    if not 0 < n <= 4096 or stop + 4 > len(raw):
+        return None
+    header = bytes(raw[at + 4 : stop])
+    if not header.startswith(_START) or zlib.crc32(header) != struct.unpack_from("<I", raw, stop)[0]:
+        return None
+    parsed = json.loads(header)
+    return parsed["hash"], stop + 4 + parsed["stored"]
+
+
 def write_segments(chunks: DataFrame) -> DataFrame:
     """segment_id, seq, content_hash, payload to segment_id, raw: a header page, records in order and the footer."""
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import replicas
+
 #: The rules that only warn.
 WARNINGS = ("KeyringMissing", "KeyringStale", "KeyringForeign")
 
@@ -65,7 +67,7 @@ def without_valid(slots: DataFrame, owner: str, valid: Column) -> DataFrame:
 def lacking(wanted: DataFrame, copies: DataFrame, striped: DataFrame, devices: DataFrame) -> DataFrame:
     """Hashes that a device lacks; one that a stripe holds is present on all of them. ``wanted`` says which count."""
     loose = wanted.select("content_hash").distinct().join(striped.select("content_hash").distinct(), "content_hash", "left_anti")
-    pairs = loose.crossJoin(F.broadcast(devices.select("vdev_id").limit(256)))  # a pool has no more devices than a shard index can tell
+    pairs = replicas.on_every_device(loose, devices)
     missing = pairs.join(copies.select("content_hash", "vdev_id"), ["content_hash", "vdev_id"], "left_anti")
     return finding(missing, "ReplicaMissing", F.col("content_hash"), F.col("vdev_id"))
 

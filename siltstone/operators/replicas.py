@@ -6,12 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The most devices of a pool: as many as a shard index can tell.
+MOST_DEVICES = 256
+
+
+def on_every_device(hashes: DataFrame, devices: DataFrame) -> DataFrame:
+    """content_hash, vdev_id: every device next to each hash; a pool of more than MOST_DEVICES is refused, none is left out.
+
+    Devices count once, one without an id isn't one.
+    """
+    known = devices.select("vdev_id").where("vdev_id IS NOT NULL").distinct().limit(MOST_DEVICES + 1)
+    ids = known.agg(F.collect_list("vdev_id").alias("ids"))
+    many = F.raise_error(F.lit(f"more than {MOST_DEVICES} devices"))
+    ids = ids.select(F.when(F.size("ids") <= MOST_DEVICES, F.col("ids")).otherwise(many).alias("ids"))
+    one_row = F.broadcast(ids)  # of MOST_DEVICES ids at most
+    return hashes.select("content_hash").crossJoin(one_row).select("content_hash", F.explode("ids").alias("vdev_id"))
+
+
 def missing_on(hashes: DataFrame, copies: DataFrame, devices: DataFrame) -> DataFrame:
     """vdev_id, content_hash of hashes that a device lacks.
 
     The devices, a handful, are unrolled next to each hash; one anti-join finds what has no copy.
     """
-    wanted = hashes.select("content_hash").crossJoin(F.broadcast(devices.select("vdev_id")))  # a pool has few devices
+    wanted = on_every_device(hashes, devices)
     return wanted.join(copies.select("content_hash", "vdev_id"), ["content_hash", "vdev_id"], "left_anti")
 
 

@@ -32,7 +32,7 @@ def converge(copies: DataFrame, devices: DataFrame) -> DataFrame:
     Copies of hashes without any good one stay as they are.
     """
     sound = copies.where("good").select("content_hash").distinct()
-    healed = sound.crossJoin(F.broadcast(devices.select("vdev_id"))).withColumn("good", F.lit(True))  # a pool has few devices
+    healed = replicas.on_every_device(sound, devices).withColumn("good", F.lit(True))
     lost = copies.join(sound, "content_hash", "left_anti").select("content_hash", "vdev_id", "good")
     return healed.unionByName(lost)
 

@@ -329,3 +329,16 @@ def test_format_versions_out_of_range(spark):
     rows = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5), ("d", 6)], "slot string, format_version int")
     found = integrity.versions(rows, "slot", "format_version", 4, 5).collect()
     assert sorted(map(tuple, found)) == [("LegacyFormatVersion", "a", "3"), ("UnsupportedFormatVersion", "d", "6")]
+
+
+def test_every_device_or_a_refusal(spark):
+    hashes = spark.createDataFrame([("a",), ("b",)], "content_hash string")
+    devices = spark.createDataFrame([(0,), (0,), (None,), (5,)], "vdev_id int")
+    assert sorted(map(tuple, replicas.on_every_device(hashes, devices).collect())) == [("a", 0), ("a", 5), ("b", 0), ("b", 5)]
+    assert replicas.on_every_device(hashes, devices.limit(0)).count() == 0
+    most = replicas.MOST_DEVICES
+    full = spark.range(most).select(F.col("id").cast("int").alias("vdev_id"))
+    assert replicas.on_every_device(hashes, full).count() == 2 * most
+    more = spark.range(most + 1).select(F.col("id").cast("int").alias("vdev_id"))
+    with pytest.raises(Exception, match=f"more than {most} devices"):
+        replicas.on_every_device(hashes, more).collect()

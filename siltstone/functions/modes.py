@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Permission bits of a mode; the mark and the mask in a record's flags.
 PERMISSIONS, SEALED, EPOCH_MASK = 0o7777, 32768, 32767
+#: Fixed value: the unit in which clients count a file's space.
+STAT_BLOCK = 512
 
 
 def merged_mode(mode: Column, new: Column) -> Column:
@@ -14,6 +16,17 @@ def merged_mode(mode: Column, new: Column) -> Column:
     return mode.bitwiseAND(~PERMISSIONS & 0xFFFFFFFF).bitwiseOR(new.bitwiseAND(PERMISSIONS))
 
 
+def client_attributes(mode: Column, size: Column, seconds: Column) -> dict[str, Column]:
+    """What clients see of an inode; a network client's seconds have no sign, so those before 1970 are 0."""
+    blocks = F.ceil(size / STAT_BLOCK).cast("long")
+    return {
+        "perm": mode.bitwiseAND(PERMISSIONS),
+        "blocks": blocks,
+        "used": blocks * STAT_BLOCK,
+        "net_seconds": F.greatest(seconds, F.lit(0)),
+    }
+
+
 def is_sealed(flags: Column) -> Column:
     return flags.bitwiseAND(SEALED) != 0
 

@@ -46,11 +46,28 @@ def scan_cursor(segments: DataFrame) -> DataFrame:
 
 
 def census(records: DataFrame, target: int) -> DataFrame:
-    """stream, segments, old: segments that hold a record of another epoch."""
-    per = records.groupBy("stream", "segment_id").agg(F.bool_or(F.col("epoch") != target).alias("old"))
+    """stream, segments, old: segments that hold a record of another epoch; a null epoch can't be read and is another."""
+    per = records.groupBy("stream", "segment_id").agg(F.bool_or(~F.col("epoch").eqNullSafe(target)).alias("old"))
     return per.groupBy("stream").agg(F.count(F.lit(1)).alias("segments"), F.count_if("old").alias("old"))
 
 
+def published_by(attempts: DataFrame) -> DataFrame:
+    """generation, by: the first attempt from this one on that publishes, null while there is none (one row an attempt)."""
+    later = Window.orderBy("generation").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return attempts.select("generation", F.min(F.when(F.col("published"), F.col("generation"))).over(later).alias("by"))
+
+
+def drained(marks: DataFrame, attempts: DataFrame) -> DataFrame:
+    """by, ino: the inodes that each published checkpoint rewrites, null for those still dirty.
+
+    A mark (generation, ino) goes to the checkpoint that drains it. One that
+    fails gives its marks back, so they go to the next that publishes. A mark
+    is set before its write commits: repeats and marks without a write only
+    rewrite the same inode.
+    """
+    return marks.join(published_by(attempts), "generation", "left").select("by", "ino").distinct()
+
+
 def unconverted(reachable: DataFrame, records: DataFrame, target: int) -> DataFrame:
     """content_hash of reachable records that are still sealed under another epoch."""
     return records.where(F.col("epoch") != target).select("content_hash").distinct().join(reachable, "content_hash", "left_semi")

@@ -15,8 +15,22 @@ from siltstone.functions.codecs import coding_rows, gf_apply, rs_decode, rs_enco
 SHARDS = "segment_id long, shard_index int, logical_len long, body_hash string, shard_hash string, bytes binary"
 
 
+#: Fixed value: offsets in a segment have 32 bits.
+MOST_OFFSET = 2**32 - 1
+
+
 def is_sane(k: Column, m: Column, devices: Column, shard_size: Column, logical: Column, index: Column) -> Column:
-    return (k >= 1) & (m >= 1) & (k + m <= 255) & (F.size(devices) == k + m) & (shard_size * k >= logical) & (index >= 0) & (index < k + m)
+    """Whether a descriptor can be acted on; one with a null field can't."""
+    total = k + m
+    shape = (k >= 2) & (m >= 1) & (F.size(devices) == total) & (index >= 0) & (index < total)
+    # whether the body fits is asked by division: k shards of the greatest size still fit 64 bits, a damaged k may not
+    fits = shard_size.between(1, MOST_OFFSET) & (logical >= 0) & (F.ceil(logical / k) <= shard_size)
+    return F.coalesce(shape & fits, F.lit(False))
+
+
+def is_valid_shape(k: Column, m: Column) -> Column:
+    """Whether a pool may be given this stripe policy; 0 and 0 stand for none."""
+    return F.coalesce(((k == 0) & (m == 0)) | ((k >= 2) & (m >= 1) & (k + m <= 255)), F.lit(False))
 
 
 def encoded(bodies: DataFrame, k: int, m: int) -> DataFrame:

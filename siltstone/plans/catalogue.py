@@ -39,6 +39,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         passes,
         recovery,
         rules,
+        shapes,
         storage,
     )
 

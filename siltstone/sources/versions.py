@@ -13,14 +13,23 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "kind string, name string, generation long, version string, created_at_nanos long"
 RESERVED = ".staging/"
+#: Beside the manifest, and not named with a dot or underscore, which readers skip.
+LOCK = "lock.json"
+
+
+class LockedError(RuntimeError):
+    """Another writer holds the table."""
 
 
 class StaleError(RuntimeError):
@@ -59,8 +68,15 @@ class VersionedTable:
     def _claim(self, generation: int, version: str) -> bool:
         """Makes the manifest's file of a generation; false if another writer made it."""
         row = {"kind": "publish", "name": "", "generation": generation, "version": version, "created_at_nanos": time.time_ns()}
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest/generation-{generation:020d}.json")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._made(f"manifest/generation-{generation:020d}.json", row)
+
+    def _file(self, name: str) -> tuple[JavaObject, JavaObject]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _made(self, name: str, row: dict) -> bool:
+        """Makes a file that must not exist; false if it is there."""
+        path, files = self._file(name)
         try:
             out = files.create(path, False)  # fails if it exists
         except Py4JJavaError as e:
@@ -73,6 +89,36 @@ class VersionedTable:
             out.close()
         return True
 
+    @contextmanager
+    def lock(self) -> Iterator[None]:
+        """Holds the table for one writer; others are refused at once.
+
+        The lock is a file beside the manifest. It stays if its holder is lost;
+        ``break_lock`` removes it, and is for whoever knows that the holder is
+        gone. Publishing is safe without it, see ``_claim``. A holder whose lock
+        was broken removes only a lock of its own.
+        """
+        held = uuid.uuid4().hex
+        if not self._made(LOCK, {"holder": held, "created_at_nanos": time.time_ns()}):
+            raise LockedError(self.folder)
+        try:
+            yield
+        finally:
+            if self.holder() == held:
+                self.break_lock()
+
+    def holder(self) -> str | None:
+        """Who holds the table, or null."""
+        path, files = self._file(LOCK)
+        if not files.exists(path):
+            return None
+        found = self.spark.read.schema("holder string").json(path.toString()).first()
+        return found["holder"] if found else None
+
+    def break_lock(self) -> None:
+        path, files = self._file(LOCK)
+        files.delete(path, False)
+
     def read(self, generation: int | None = None) -> DataFrame:
         wanted = self.generation() if generation is None else generation
         found = self.manifest().where((F.col("kind") == "publish") & (F.col("generation") == wanted)).first()

@@ -222,6 +222,36 @@ def test_of_two_writers_one_publishes(spark, tmp_path, monkeypatch):
     assert t.publish(spark.range(2).toDF("x")) == 2 and t.read(1).count() == 1 and t.read().count() == 2
 
 
+def test_one_writer_holds_a_table(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    ours, theirs = versions.VersionedTable(spark, folder), versions.VersionedTable(spark, folder)
+    with ours.lock():
+        with pytest.raises(versions.LockedError), theirs.lock():
+            pass
+        assert ours.holder() is not None and ours.publish(spark.range(2).toDF("x")) == 1
+    assert theirs.holder() is None
+    with theirs.lock():
+        theirs.break_lock()
+        with ours.lock():
+            held = ours.holder()
+            assert held is not None
+    with pytest.raises(ZeroDivisionError), ours.lock():
+        1 / 0
+    assert ours.holder() is None and ours.read().count() == 2
+
+
+def test_marks_go_to_the_next_checkpoint_that_publishes(spark):
+    marks = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (2, 8), (3, 9), (4, 5), (None, 6)], "generation long, ino long")
+    attempts = spark.createDataFrame([(1, True), (2, False), (3, True), (4, False)], "generation long, published boolean")
+    found = sorted(map(tuple, delta.drained(marks, attempts).collect()), key=repr)
+    assert found == sorted([(1, 7), (3, 7), (3, 8), (3, 9), (None, 5), (None, 6)], key=repr)
+
+
+def test_unreadable_segments_count_as_old(spark):
+    rows = spark.createDataFrame([("a", 1, 2), ("a", 2, None), ("a", 3, 1), ("a", 3, 2)], "stream string, segment_id long, epoch int")
+    assert list(map(tuple, delta.census(rows, 2).collect())) == [("a", 3, 2)]
+
+
 def test_sums_before_equal_one_window(spark):
     draw = random.Random(3)
     rows = [(draw.randrange(3), i, draw.randrange(100)) for i in range(500)]

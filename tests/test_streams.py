@@ -47,9 +47,9 @@ def test_sessions_go_on_from_batch_to_batch(spark, tmp_path):
 
 
 def test_descriptor_sanity_and_slices(spark):
-    rows = [(2, 1, [0, 1, 2], 4096, 8000, 0), (2, 1, [0, 1], 4096, 8000, 0), (2, 1, [0, 1, 2], 4096, 9000, 0), (2, 1, [0, 1, 2], 4096, 8000, 3), (0, 1, [0], 4096, 0, 0)]
+    rows = [(2, 1, [0, 1, 2], 4096, 8000, 0), (2, 1, [0, 1], 4096, 8000, 0), (2, 1, [0, 1, 2], 4096, 9000, 0), (2, 1, [0, 1, 2], 4096, 8000, 3), (1, 1, [0, 1], 4096, 9, 0), (2, 1, [0, 1, 2], 0, 0, 0), (2, 1, [0, 1, 2], 1 << 32, 9, 0), (2, 1, None, 4096, 9, 0)]
     frame = spark.createDataFrame(rows, "k int, m int, devices array<int>, shard_size long, logical long, i int")
     sane = stripes.is_sane(*(F.col(c) for c in ("k", "m", "devices", "shard_size", "logical", "i")))
-    assert [r[0] for r in frame.select(sane).collect()] == [True, False, False, False, False]
+    assert [r[0] for r in frame.select(sane).collect()] == [True] + [False] * 7
     cut = spark.createDataFrame([(b"abcdef", 2, 3), (b"abc", 2, 9), (b"abc", 5, 1)], "b binary, o int, n int").select(slice_of(F.col("b"), F.col("o"), F.col("n")))
     assert [bytes(r[0]) for r in cut.collect()] == [b"cde", b"c", b""]

@@ -77,9 +77,16 @@ def _field() -> tuple[np.ndarray, np.ndarray]:
     return exp, log
 
 
-def gf_mul(a: np.ndarray, b: int) -> np.ndarray:
+@lru_cache(maxsize=1)
+def _products() -> np.ndarray:
     exp, log = _field()
-    return np.where((a == 0) | (b == 0), 0, exp[log[a] + log[b]]).astype(np.uint8)
+    out = exp[log[:, None] + log[None, :]]
+    out[0], out[:, 0] = 0, 0
+    return out
+
+
+def gf_mul(a: np.ndarray, b: int) -> np.ndarray:
+    return _products()[b][a]
 
 
 def gf_inverse(a: int) -> int:
@@ -87,17 +94,21 @@ def gf_inverse(a: int) -> int:
     return int(exp[255 - log[a]])
 
 
+@lru_cache(maxsize=64)
 def coding_rows(k: int, m: int) -> np.ndarray:
     """k + m rows of which any k are independent: the identity above a Cauchy matrix."""
     cauchy = [[gf_inverse((k + i) ^ j) for j in range(k)] for i in range(m)]
-    return np.array(np.eye(k, dtype=np.uint8).tolist() + cauchy, np.uint8)
+    rows = np.array(np.eye(k, dtype=np.uint8).tolist() + cauchy, np.uint8)
+    rows.flags.writeable = False  # one array for all callers
+    return rows
 
 
 def gf_apply(rows: np.ndarray, shards: np.ndarray) -> np.ndarray:
     out = np.zeros((len(rows), shards.shape[1]), np.uint8)
     for i, row in enumerate(rows):
         for c, shard in zip(row.tolist(), shards, strict=True):
-            out[i] ^= gf_mul(shard, c)
+            if c:
+                out[i] ^= shard if c == 1 else gf_mul(shard, c)
     return out
 
 
@@ -105,26 +116,34 @@ def rs_encode(body: bytes, k: int, m: int, page: int = 4096) -> list[bytes]:
     """k data shards in whole pages (zeros behind the body) and m parity shards."""
     size = -(-(-(-len(body) // k)) // page) * page
     data = np.frombuffer(body + b"\0" * (size * k - len(body)), np.uint8).reshape(k, size)
-    return [s.tobytes() for s in gf_apply(coding_rows(k, m), data)]
+    return [s.tobytes() for part in (data, gf_apply(coding_rows(k, m)[k:], data)) for s in part]
 
 
-def rs_decode(shards: dict[int, bytes], k: int, m: int, length: int) -> bytes:
-    """The body from any k shards, by number."""
-    if len(shards) < k:
-        raise ValueError(f"{len(shards)} of {k} shards")
-    take = sorted(shards)[:k]
-    work = coding_rows(k, m)[take].astype(np.uint8)
-    right = np.array([np.frombuffer(shards[i], np.uint8) for i in take])
-    for col in range(k):  # Gauss-Jordan on the chosen rows, the shards moving along
+def _gf_inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse of a small regular matrix, by Gauss-Jordan elimination."""
+    k = len(matrix)
+    work = np.concatenate([matrix, np.eye(k, dtype=np.uint8)], axis=1)
+    for col in range(k):
         pivot = next(r for r in range(col, k) if work[r, col])
-        work[[col, pivot]], right[[col, pivot]] = work[[pivot, col]], right[[pivot, col]]
-        scale = gf_inverse(int(work[col, col]))
-        work[col], right[col] = gf_mul(work[col], scale), gf_mul(right[col], scale)
+        work[[col, pivot]] = work[[pivot, col]]
+        work[col] = gf_mul(work[col], gf_inverse(int(work[col, col])))
         for r in range(k):
             if r != col and (c := int(work[r, col])):
                 work[r] ^= gf_mul(work[col], c)
-                right[r] ^= gf_mul(right[col], c)
-    return right.tobytes()[:length]
+    return work[:, k:]
+
+
+def rs_decode(shards: dict[int, bytes], k: int, m: int, length: int) -> bytes:
+    """The body from any k shards, by number; only lost data shards are computed."""
+    if len(shards) < k:
+        raise ValueError(f"{len(shards)} of {k} shards")
+    take = sorted(shards)[:k]
+    lost = [i for i in range(k) if i not in shards]
+    if lost:
+        held = np.array([np.frombuffer(shards[i], np.uint8) for i in take])
+        again = gf_apply(_gf_inverted(coding_rows(k, m)[take])[lost], held)
+        shards = shards | dict(zip(lost, (row.tobytes() for row in again), strict=True))
+    return b"".join(shards[i] for i in range(k))[:length]
 
 
 # keys, values and objects as bytes, all as column expressions

@@ -9,6 +9,7 @@ moves a directory into itself, a file's bytes live while a name points at it.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,58 @@ class Refused(Exception):
     """An operation that the rules don't allow; its text is the error's name."""
 
 
+class Content:
+    """A file's bytes: its size, and the pages that were written. All else is zeros and takes no memory."""
+
+    PAGE = 4096
+
+    def __init__(self) -> None:
+        self.size, self.pages = 0, {}
+
+    def write(self, offset: int, data: bytes) -> None:
+        at, stop = offset, offset + len(data)
+        while at < stop:
+            page, inside = divmod(at, self.PAGE)
+            part = data[at - offset : at - offset + self.PAGE - inside]
+            self.pages.setdefault(page, bytearray(self.PAGE))[inside : inside + len(part)] = part
+            at += len(part)
+        self.grow(stop)
+
+    def grow(self, size: int) -> None:
+        self.size = max(self.size, size)
+
+    def zero(self, start: int, stop: int) -> None:
+        for page in [p for p in self.pages if start < (p + 1) * self.PAGE and p * self.PAGE < stop]:
+            begin, end = max(start - page * self.PAGE, 0), min(stop - page * self.PAGE, self.PAGE)
+            if end - begin == self.PAGE:
+                del self.pages[page]
+            else:
+                self.pages[page][begin:end] = b"\0" * (end - begin)
+
+    def resize(self, size: int) -> None:
+        # so that a file that grows again has zeros there
+        self.zero(size, self.size)
+        self.size = size
+
+    def parts(self, most: int = 1 << 20) -> Iterator[bytes]:
+        """The bytes in order, at most so many at a time."""
+        empty, at = b"\0" * most, 0
+        for page in [*sorted(p for p in self.pages if p * self.PAGE < self.size), None]:
+            start = self.size if page is None else page * self.PAGE
+            while at < start:
+                yield empty[: start - at]
+                at += min(most, start - at)
+            if page is not None:
+                yield bytes(self.pages[page][: self.size - start])
+                at = min(start + self.PAGE, self.size)
+
+    def sha256(self) -> str:
+        digest = hashlib.sha256()
+        for part in self.parts():
+            digest.update(part)
+        return digest.hexdigest()
+
+
 class Tree:
     """One case's state: inodes with content, directories with entries."""
 
@@ -35,8 +88,9 @@ class Tree:
         self.inodes[number] = inode
         return number
 
-    def walk(self, path: str) -> int:
-        at = 1
+    def along(self, path: str) -> list[int]:
+        """The inodes that a path leads through, from the root on."""
+        at, out = 1, [1]
         for name in filter(None, path.split("/")):
             inode = self.inodes[at]
             if inode["kind"] != "dir":
@@ -44,7 +98,11 @@ class Tree:
             if name not in inode["entries"]:
                 raise Refused("not found")
             at = inode["entries"][name]
-        return at
+            out.append(at)
+        return out
+
+    def walk(self, path: str) -> int:
+        return self.along(path)[-1]
 
     def split(self, path: str) -> tuple[dict, str]:
         parent, _, name = path.rpartition("/")
@@ -62,7 +120,7 @@ class Tree:
             if not create:
                 raise
             entries, name = self.split(path)
-            entries[name] = self._new(kind="file", data=bytearray(), nlink=1)
+            entries[name] = self._new(kind="file", data=Content(), nlink=1)
             inode = self.inodes[entries[name]]
         if inode["kind"] != "file":
             raise Refused("not a file")
@@ -71,14 +129,13 @@ class Tree:
     def write(self, path: str, offset: int, data: bytes) -> None:
         if offset + len(data) > MOST_BYTES:
             raise Refused("too large")
-        content = self.file(path, create=True)["data"]
-        content.extend(b"\0" * (offset - len(content)))
-        content[offset : offset + len(data)] = data
+        self.file(path, create=True)["data"].write(offset, data)
 
     def truncate(self, path: str, size: int) -> None:
         content = self.file(path)["data"]
-        del content[size:]
-        content.extend(b"\0" * (size - len(content)))
+        if size > MOST_BYTES:
+            raise Refused("too large")
+        content.resize(size)
 
     def fallocate(self, path: str, offset: int, length: int, mode: str, keep_size: bool) -> None:
         if length <= 0:
@@ -87,11 +144,9 @@ class Tree:
             raise Refused("too large")
         content = self.file(path)["data"]
         if mode in ("punch", "zero"):
-            stop = min(offset + length, len(content))
-            if offset < stop:
-                content[offset:stop] = b"\0" * (stop - offset)
+            content.zero(offset, offset + length)
         if mode in ("allocate", "zero") and not keep_size:
-            content.extend(b"\0" * (offset + length - len(content)))
+            content.grow(offset + length)
 
     def _make(self, path: str, **inode) -> None:
         entries, name = self.split(path)
@@ -143,15 +198,6 @@ class Tree:
             raise Refused("not empty")
         self._release(entries.pop(name))
 
-    def _below(self, number: int) -> set[int]:
-        out, waiting = {number}, [number]
-        while waiting:
-            for child in self.inodes[waiting.pop()].get("entries", {}).values():
-                if child not in out:
-                    out.add(child)
-                    waiting.append(child)
-        return out
-
     def rename(self, source: str, path: str, replace: bool = True) -> None:
         old, old_name = self.split(source)
         if old_name not in old:
@@ -159,7 +205,7 @@ class Tree:
         new, new_name = self.split(path)
         number = old[old_name]
         moving = self.inodes[number]
-        if moving["kind"] == "dir" and any(self.inodes[i].get("entries") is new for i in self._below(number)):
+        if moving["kind"] == "dir" and number in self.along(path.rpartition("/")[0]):
             raise Refused("into itself")
         there = new.get(new_name)
         if there == number:
@@ -198,9 +244,9 @@ class Tree:
             path, number = waiting.pop()
             for name, child in self.inodes[number]["entries"].items():
                 inode, here = self.inodes[child], f"{path}/{name}"
-                data = bytes(inode.get("data", b""))
-                size = len(data) if inode["kind"] == "file" else len(inode.get("target", "").encode())
-                digest = hashlib.sha256(data).hexdigest() if inode["kind"] == "file" else None
+                is_file = inode["kind"] == "file"
+                size = inode["data"].size if is_file else len(inode.get("target", "").encode())
+                digest = inode["data"].sha256() if is_file else None
                 out.append((case_id, here, inode["kind"], size, inode.get("nlink", 2), digest, inode.get("target")))
                 if inode["kind"] == "dir":
                     waiting.append((here, child))

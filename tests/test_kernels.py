@@ -260,14 +260,55 @@ def test_sums_before_equal_one_window(spark):
     assert got == {(s, i): sum(n for t, j, n in rows if t == s and j < i) for s, i, _ in rows}
 
 
+steps = st.tuples(st.sampled_from(["write", "zero", "resize", "grow"]), st.integers(0, 40), st.integers(0, 40), st.binary(min_size=1, max_size=1))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(steps, max_size=20))
+def test_sparse_content_equals_plain_bytes(ops):
+    class Small(namespace.Content):
+        PAGE = 8
+
+    content, plain = Small(), bytearray()
+    for op, a, n, byte in ops:
+        if op == "write":
+            plain.extend(bytes(max(a + n - len(plain), 0)))
+            plain[a : a + n] = byte * n
+            content.write(a, byte * n)
+        elif op == "zero":
+            stop = min(a + n, len(plain))
+            plain[a:stop] = bytes(max(stop - a, 0)) if a < stop else plain[a:stop]
+            content.zero(a, a + n)
+        elif op == "resize":
+            plain = plain[:a] + bytes(max(a - len(plain), 0))
+            content.resize(a)
+        else:
+            plain.extend(bytes(max(a - len(plain), 0)))
+            content.grow(a)
+        assert b"".join(content.parts(5)) == plain
+    assert content.sha256() == hashlib.sha256(plain).hexdigest()
+
+
+def test_a_hole_takes_no_memory():
+    tree = namespace.Tree()
+    tree.write("/a", namespace.MOST_BYTES - 1, b"x")
+    tree.truncate("/a", namespace.MOST_BYTES)
+    content = tree.file("/a")["data"]
+    assert content.size == namespace.MOST_BYTES and len(content.pages) == 1
+    with pytest.raises(namespace.Refused):
+        tree.truncate("/a", namespace.MOST_BYTES + 1)
+    with pytest.raises(namespace.Refused):
+        tree.write("/a", namespace.MOST_BYTES, b"x")
+
+
 def test_fallocate_modes():
     tree = namespace.Tree()
     tree.write("/a", 0, b"x" * 10)
     tree.fallocate("/a", 2, 3, "punch", True)
     tree.fallocate("/a", 8, 6, "zero", True)
-    assert bytes(tree.file("/a")["data"]) == b"xx\0\0\0xxx\0\0"
+    assert b"".join(tree.file("/a")["data"].parts()) == b"xx\0\0\0xxx\0\0"
     tree.fallocate("/a", 0, 12, "allocate", False)
-    assert len(tree.file("/a")["data"]) == 12
+    assert tree.file("/a")["data"].size == 12
     for bad in ((0, 0), (namespace.MOST_BYTES, 1)):
         with pytest.raises(namespace.Refused):
             tree.fallocate("/a", *bad, "zero", False)

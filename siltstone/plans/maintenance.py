@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import reach, replicas
+from siltstone.sources.tables import sums_before
+from siltstone.sources.work import written
+
+#: A range of the running sum over copied records has 2 to this power segments.
+RANGE_BITS = 12
 
 
 def collect_garbage(records: DataFrame, live: DataFrame, pinned: DataFrame, below: float, newest: int, cap: int) -> DataFrame:
@@ -16,10 +21,11 @@ def collect_garbage(records: DataFrame, live: DataFrame, pinned: DataFrame, belo
     """
     totals = records.groupBy("segment_id").agg(F.min("shard").alias("shard"), (F.sum("record_len") + 4160).alias("total_bytes"))
     candidates = reach.sweep_candidates(totals, reach.live_bytes(live, records), below, newest).select("segment_id")
-    kept = reach.repack_keep(records, candidates, live, pinned)
+    # written, as the running sum reads it twice: by ranges of segments, and over the ranges' sums
+    kept = written(reach.repack_keep(records, candidates, live, pinned), "repack-kept")
     last = records.groupBy("shard").agg(F.max("segment_id").alias("last"))
-    w = Window.partitionBy("shard").orderBy("segment_id", "offset")
-    moved = kept.withColumn("at", F.sum("record_len").over(w) - F.col("record_len")).join(last, "shard")
+    ranged = kept.withColumn("range", F.shiftright("segment_id", RANGE_BITS))
+    moved = sums_before(ranged, "shard", "range", ["segment_id", "offset"], "record_len", "at").join(last, "shard")
     columns = ["content_hash", "shard", "record_len", "segment_id", "offset"]
     moved = moved.withColumn("segment_id", F.col("last") + 1 + F.floor(F.col("at") / cap)).withColumn("offset", F.col("at") % cap)
     staying = records.join(candidates, "segment_id", "left_anti")

@@ -336,7 +336,7 @@ def test_fixed_blocks_of_empty_files(spark):
     assert [tuple(r) for r in tables.fixed_blocks(blob, 2).select("ino", "ordinal", "payload").collect()] == [(2, 0, b"ab"), (2, 1, b"c")]
 
 
-def test_collecting_garbage_twice_is_once(spark):
+def test_collecting_garbage_twice_is_once(spark, monkeypatch):
     from siltstone.plans import maintenance
 
     rows = [(f"{s}{i}", s, 100, s * 1000 + i // 4, i % 4 * 100) for s in range(2) for i in range(16)]
@@ -349,6 +349,10 @@ def test_collecting_garbage_twice_is_once(spark):
     assert {r[0] for r in live.collect()} <= kept
     places = once.groupBy("segment_id", "offset").count().where("count > 1")
     assert places.isEmpty()
+    # one segment a range gives the same places
+    monkeypatch.setattr(maintenance, "RANGE_BITS", 0)
+    again = maintenance.collect_garbage(records, live, pinned, 0.9, 1, 400)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, once.collect()))
 
 
 def test_xattr_flags_and_limits(spark):

@@ -7,10 +7,11 @@ hash to the templates that have it. Texts are winnowed alike, so
 any ``gram + window - 1`` words in common share a fingerprint. Runs that no
 template has sort last, so they never take the place of one that counts. Of
 templates with less than ``short`` words every run is indexed and looked up: any
-``gram`` words in common are a hit. Hits of one
-template make stretches of text, and a local alignment of the template with a
-stretch (match 2, other -1) tells which template words the text has: the
-matched coverage and the span of the text, in bytes of its UTF-8 form. A gap
+``gram`` words in common are a hit. Where replaced words may leave enough of one
+but no such run, runs are as short as what stays. Hits of one template make
+stretches of text, and a local alignment of the template with a stretch (match
+2, other -1) tells which template words the text has: the matched coverage and
+the span of the text, in bytes of its UTF-8 form. A gap
 costs at most ``band`` however long it is, so pieces on different diagonals
 count together; words of the text up to the template's length are such a gap.
 
@@ -29,6 +30,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -112,10 +114,16 @@ def winnow(grams: np.ndarray, window: int, known: np.ndarray | None = None) -> n
     return np.unique(views.argmin(axis=1) + np.arange(len(views)))
 
 
+def kept_run(n: int, least: float) -> int:
+    """The longest run that is sure to stay of ``n`` words when replaced ones leave a share of ``least``."""
+    gone = n - math.ceil(least * n - 1e-9)
+    return -(-(n - gone) // (gone + 1))
+
+
 class LicenseIndex:
-    """Templates, their vocabulary and the inverted index of their fingerprints."""
+    """Templates, their vocabulary and the inverted index of their fingerprints; ``least`` is the coverage that counts."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES, gram: int = 3, window: int = 3, short: int = 20) -> None:
+    def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES, gram: int = 3, window: int = 3, short: int = 20, least: float = 0.8) -> None:
         self.gram, self.window = gram, window
         self.names = [name for name, _ in templates]
         self.words = [fold(text).split() for _, text in templates]
@@ -131,20 +139,34 @@ class LicenseIndex:
                 self.postings[int(grams[place])].add(t)
         self.keys = np.array(sorted(self.postings), np.int64)
         self.of_short = np.array([any(len(self.ids[t]) < short for t in self.postings[int(k)]) for k in self.keys], bool)
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        """One exact number for each run of ``gram`` words; those with a word of no template are 0."""
-        n = len(ids) - self.gram + 1
+        #: Of short templates that may keep no run of ``gram`` words: by the length of what they keep, run to templates.
+        shorter: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        for t, ids in enumerate(self.ids):
+            size = kept_run(len(ids), least)
+            if len(ids) < short and 0 < size < gram:
+                for g in self.grams(ids, size).tolist():
+                    shorter[size][g].add(t)
+        self.shorter = {size: (np.array(sorted(runs), np.int64), dict(runs)) for size, runs in shorter.items()}
+
+    def grams(self, ids: np.ndarray, size: int | None = None) -> np.ndarray:
+        """One exact number for each run of ``size`` (``gram``) words; those with a word of no template are 0."""
+        size = size or self.gram
+        n = len(ids) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64)
         out, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(self.gram):
+        for j in range(size):
             out = out * (len(self.vocabulary) + 1) + ids[j : j + n]
             known &= ids[j : j + n] > 0
         return np.where(known, out, 0)
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Template and place in the text: of the text's kept fingerprints that the index has."""
+        """Template and place in the text: of the text's kept fingerprints that the index has, and of the shorter runs."""
+        for size, (keys, runs) in self.shorter.items():
+            grams = self.grams(ids, size)
+            for place in np.flatnonzero(keys[np.minimum(np.searchsorted(keys, grams), len(keys) - 1)] == grams):
+                for t in runs[int(grams[place])]:
+                    yield t, int(place)
         grams = self.grams(ids)
         if not grams.any():
             return
@@ -282,7 +304,7 @@ def scan_licenses(
     band: int = 4,
 ) -> DataFrame:
     """doc_id, license, coverage (share of the template's words), matched_words, template_words, spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(LicenseIndex(templates, gram, window))
+    shared = docs.sparkSession.sparkContext.broadcast(LicenseIndex(templates, gram, window, least=least_coverage))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

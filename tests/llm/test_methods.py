@@ -142,6 +142,18 @@ def test_edited_lines_are_found_between_other_words(spark):
         assert [[r[0] for r in index.scan(t, 0.8, 4)] for t in texts] == [[name] for name in lines.values()]
 
 
+def test_lines_with_any_word_replaced_are_found():
+    index = licenses.LicenseIndex()
+    for t, (name, _) in enumerate(licenses.TEMPLATES):
+        words = [w.decode() for w in index.words[t]]
+        for i in range(len(words) if len(words) < 20 else 0):
+            line = ["p1", "p2", *words[:i], "an", *words[i + 1 :], "q1", "q2"]
+            ids = np.array([index.vocabulary.get(w.encode(), 0) for w in line], np.int64)
+            assert t in {u for u, _ in index.hits(ids)}
+            if name == "MIT":
+                assert [r[:3] for r in index.scan(" ".join(line), 0.8, 4)] == [("MIT", 0.8, 4)]
+
+
 
 # mixing
 

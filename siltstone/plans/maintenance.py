@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators import reach, replicas
+from siltstone.operators import reach, replicas, stripes
+from siltstone.sources import records
 from siltstone.sources.tables import sums_before
-from siltstone.sources.work import written
+from siltstone.sources.work import small_batches, written
 
 #: A range of the running sum over copied records has 2 to this power segments.
 RANGE_BITS = 12
@@ -54,6 +55,30 @@ def written_by(copies: DataFrame, devices: DataFrame) -> DataFrame:
     )
 
 
+def unstripe(shards: DataFrame, index: DataFrame, actions: DataFrame, live: DataFrame, online: Column, k: int, m: int, renamed: Column) -> DataFrame:
+    """The index (content_hash, vdev_id, segment_id, offset, len) after the ``actions`` of :func:`recovery.stripe_upkeep`.
+
+    Bodies of stripes to repack or to turn back are put together from any ``k`` shards that verify. Of the former the
+    live records are copied, by hash, so that a lack in the index loses none; of the latter all. They go as they are
+    into a segment ``renamed``, mirrored on the devices ``online``. A stripe goes when it is dropped or copied; one
+    that can't be read stays as it is.
+    """
+    moving = actions.where("action IN ('repack', 'unstripe')")
+    small_batches(shards.sparkSession)
+    # written, as the bodies are read for their hashes and for their records, the copies for the index and for what goes
+    bodies = written(stripes.bodies(shards.join(moving, "segment_id", "left_semi"), k, m), "unstripe-bodies")
+    alive = records.headers(bodies).join(live.select("content_hash").distinct(), "content_hash", "left_semi")
+    alive = alive.groupBy("segment_id").agg(F.collect_set("content_hash").alias("alive"))
+    wanted = F.when(F.col("action") == "repack", F.coalesce("alive", F.array().cast("array<string>"))).alias("wanted")
+    chosen = bodies.join(moving, "segment_id").join(alive, "segment_id", "left").select("segment_id", "raw", wanted)
+    copies = written(records.copied(chosen), "unstripe-segments")
+    entries = copies.select(renamed.alias("segment_id"), F.explode("records").alias("r")).select("segment_id", "r.*")
+    gone = copies.select("segment_id").unionByName(actions.where("action = 'drop'").select("segment_id"))
+    staying = index.join(gone, "segment_id", "left_anti")
+    columns = ["content_hash", "vdev_id", "segment_id", "offset", "len"]
+    return staying.select(*columns).unionByName(entries.withColumn("vdev_id", F.explode(online)).select(*columns))
+
+
 def rekeyed(refs: DataFrame, memo: DataFrame) -> DataFrame:
     """Chunk lists under the new addresses: ino, list_hash, converted, left; lists are addressed bottom-up."""
     met = refs.join(memo.withColumnRenamed("old", "content_hash"), "content_hash", "left")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from siltstone.functions import addresses as A
 from siltstone.functions import codecs
 from siltstone.operators import recovery, stripes
+from siltstone.plans import maintenance
 from siltstone.plans.catalogue import query
 from siltstone.plans.sets.devices import copies
 from siltstone.sources import records
 from siltstone.sources import tables as T
+from siltstone.sources.work import small_batches, written
 
 sql = T.with_tables
 
@@ -105,6 +107,30 @@ def stripe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("good"))
 
 
+_UNSTRIPED = """, r AS (SELECT ino, ordinal, content_hash, substr(content_hash, 1, 1) < '4' AS live, len + octet_length(encode('{"magic": "SLT1", "hash": "' || content_hash || '", "kind": "RawChunk", "codec": "none", "stored": ' || len || ', "size": ' || len || '}')) + 8 AS n FROM chunk_ref),
+act AS (SELECT ino, CASE WHEN live = 0 THEN 'drop' WHEN ino % 13 = 0 THEN 'keep' WHEN live < 0.3 * total THEN 'repack' WHEN ino % 4 < 3 THEN 'unstripe' ELSE 'keep' END AS action
+  FROM (SELECT ino, sum(n) AS total, sum(CASE WHEN live THEN n ELSE 0 END) AS live FROM r GROUP BY ino)),
+kept AS (SELECT content_hash, ino, action, CAST(4096 + sum(n) OVER (PARTITION BY ino ORDER BY ordinal) - n AS BIGINT) AS "offset", CAST(n AS BIGINT) AS len FROM r JOIN act USING (ino) WHERE action IN ('keep', 'unstripe') OR action = 'repack' AND live)"""
+
+
+@query(sql(f"""{_UNSTRIPED} SELECT content_hash, -1 AS vdev_id, ino AS segment_id, "offset", len FROM kept WHERE action = 'keep'
+UNION ALL SELECT content_hash, unnest([0, 1, 3]), ino + 1099511627776, "offset", len FROM kept WHERE action <> 'keep'""", "chunk_ref"))
+def stripe_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as segments striped at 2 + 1 that lost a shard, after the upkeep for device 2 that leaves; each thirteenth lost two and can only be dropped."""
+    small_batches(spark)
+    segments = written(_segments(spark, sf_dir), "pass-segments")
+    scanned = written(records.scan_segments(segments, payloads=False).where("kind = 'record'"), "pass-index")
+    index = scanned.select("content_hash", F.lit(-1).alias("vdev_id"), "segment_id", F.col("start").alias("offset"), (F.col("stop") - F.col("start")).alias("len"))
+    alive = F.substring("content_hash", 1, 1) < "4"
+    per = index.groupBy("segment_id").agg(F.sum("len").alias("total_bytes"), F.sum(F.when(alive, F.col("len")).otherwise(0)).alias("live_bytes"))
+    devices = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: ((F.col("segment_id") + i) % 4).cast("int"))
+    actions = recovery.stripe_upkeep(per.withColumn("devices", devices), 0.3, F.lit(2))
+    shards = stripes.encoded(segments.select("segment_id", F.col("raw").alias("body")), 2, 1)
+    held = shards.where("shard_index <> segment_id % 3 AND (segment_id % 13 <> 0 OR shard_index <> (segment_id + 1) % 3)")
+    online = F.array(F.lit(0), F.lit(1), F.lit(3))
+    return maintenance.unstripe(held, index, actions, index.where(alive), online, 2, 1, F.col("segment_id") + T.SEGMENTS_A_SHARD)
+
+
 @query(sql("SELECT ino AS segment_id, ordinal AS place, content_hash FROM chunk_ref", "chunk_ref"))
 def header_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by their headers alone, payloads stepped over."""

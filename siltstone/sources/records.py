@@ -166,6 +166,33 @@ def write_segments(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("segment_id").applyInArrow(run, "segment_id long, raw binary")
 
 
+COPIED = "segment_id long, raw binary, records array<struct<content_hash:string,offset:long,len:long>>"
+_COPIED_ARROW = pa.schema([("segment_id", pa.int64()), ("raw", pa.binary()), ("records", pa.list_(pa.struct([("content_hash", pa.string()), ("offset", pa.int64()), ("len", pa.int64())])))])
+
+
+def copied(segments: DataFrame) -> DataFrame:
+    """segment_id, raw, wanted (hashes; null: all) to segments of the wanted records alone, byte for byte, and where these are; without any, raw is null.
+
+    A segment that is damaged, or of which a wanted record doesn't verify, has no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for segment, raw, wanted in zip(b["segment_id"].to_pylist(), b["raw"].to_pylist(), b["wanted"].to_pylist(), strict=True):
+                events, own = list(scan(raw)), None if wanted is None else set(wanted)
+                keep = [(start, stop, h) for kind, start, stop, h in events if kind == "record" and (own is None or h["hash"] in own)]
+                sound = all(hashlib.sha256(raw[stop - h["stored"] : stop]).hexdigest() == h["hash"] for _, stop, h in keep)
+                if sound and all(kind != "damaged" for kind, *_ in events):
+                    own, at = [], PAGE
+                    for start, stop, h in keep:
+                        own.append({"content_hash": h["hash"], "offset": at, "len": stop - start})
+                        at += stop - start
+                    whole = b"".join([raw[:PAGE], *(raw[start:stop] for start, stop, _ in keep), FOOTER]) if keep else None
+                    yield pa.RecordBatch.from_pylist([{"segment_id": segment, "raw": whole, "records": own}], schema=_COPIED_ARROW)
+
+    return segments.select("segment_id", "raw", "wanted").mapInArrow(run, COPIED)
+
+
 def with_damage(segments: DataFrame, at: int, length: int) -> DataFrame:
     """The segments with some bytes overwritten, for tests of the scan."""
     raw = F.col("raw")

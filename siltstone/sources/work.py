@@ -19,6 +19,15 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that go to a Python worker at once where rows hold whole segments, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: written to the shared folder and read back."""
     path = fresh(df.sparkSession, label)

@@ -417,3 +417,34 @@ def test_every_device_or_a_refusal(spark):
     more = spark.range(most + 1).select(F.col("id").cast("int").alias("vdev_id"))
     with pytest.raises(Exception, match=f"more than {most} devices"):
         replicas.on_every_device(hashes, more).collect()
+
+
+def test_stripes_are_copied_forward_or_stay(spark):
+    from siltstone.plans import maintenance
+
+    texts = {s: [f"{s}-{i}".encode() * 50 for i in range(6)] for s in range(7)}
+    address = lambda b: hashlib.sha256(b).hexdigest()
+    chunks = [(s, i, address(p) if (s, i) != (5, 2) else address(b"another"), p) for s, own in texts.items() for i, p in enumerate(own)]
+    segments = records.write_segments(spark.createDataFrame(chunks, "segment_id long, seq long, content_hash string, payload binary"))
+    raw = {r["segment_id"]: bytes(r["raw"]) for r in segments.collect()}
+    held = records.scan_segments(segments).where("kind = 'record'").collect()
+    index = [(r["content_hash"], -1, r["segment_id"], r["start"], r["stop"] - r["start"]) for r in held]
+    # 0 stays, 1 goes, 2 keeps two records (one of them isn't in the index), 3 and 5 to be turned back, 4 has lost two shards, 6 has nothing live
+    told = [(0, "keep"), (1, "drop"), (2, "repack"), (3, "unstripe"), (4, "repack"), (5, "unstripe"), (6, "repack")]
+    lost = {(2, 0), (3, 1), (4, 0), (4, 2)}
+    bodies = spark.createDataFrame(list(raw.items()), "segment_id long, body binary")
+    shards = stripes.encoded(bodies, 2, 1).where(~F.concat_ws("-", "segment_id", "shard_index").isin([f"{a}-{b}" for a, b in lost]))
+    live = [(address(texts[s][i]),) for s in (0, 2, 4) for i in (1, 4)]
+    unknown = address(texts[2][4])
+    columns = "content_hash string, vdev_id int, segment_id long, offset long, len long"
+    known = spark.createDataFrame([r for r in index if r[0] != unknown], columns)
+    after = maintenance.unstripe(
+        shards, known, spark.createDataFrame(told, "segment_id long, action string"), spark.createDataFrame(live * 2, "content_hash string"), F.array(F.lit(0), F.lit(3)), 2, 1, F.col("segment_id") + 100
+    )
+    size = {r[0]: r[4] for r in index}
+    want = [r for r in index if r[2] in (0, 4, 5)]  # a record of 5 isn't what its hash says, so the stripe stays
+    for vdev in (0, 3):
+        want += [(h, vdev, s + 100, at, n) for h, _, s, at, n in index if s == 3]
+        first, second = address(texts[2][1]), unknown
+        want += [(first, vdev, 102, records.PAGE, size[first]), (second, vdev, 102, records.PAGE + size[first], size[second])]
+    assert sorted(map(tuple, after.collect())) == sorted(want)
